@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, simhash, tokens
+from . import chat, mixing, simhash, tokens, urls
 
 QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
+    "op4_url_filter": urls.op4_url_filter,
     "op6_simhash": simhash.op6_simhash,
     "op7_token_output": tokens.op7_token_output,
     "op10_chat_format": chat.op10_chat_format,
 }
 
 ORACLE_SQL = {
+    "op4_url_filter": urls.OP4_SQL,
     "op10_chat_format": chat.OP10_SQL,
 }
