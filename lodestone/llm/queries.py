@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, simhash, tokens, urls
+from . import chat, embeddings, mixing, simhash, tokens, toxicity, urls
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op4_url_filter": urls.op4_url_filter,
     "op6_simhash": simhash.op6_simhash,
     "op7_token_output": tokens.op7_token_output,
+    "op8_embedding_dedup": embeddings.op8_embedding_dedup,
     "op10_chat_format": chat.op10_chat_format,
 }
 
 ORACLE_SQL = {
     "op4_url_filter": urls.OP4_SQL,
+    "op8_embedding_dedup": embeddings.OP8_SQL,
     "op10_chat_format": chat.OP10_SQL,
 }
