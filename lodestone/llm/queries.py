@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, mixing, simhash, tokens, toxicity, urls
+from . import chat, embeddings, mixing, ppm, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op4_url_filter": urls.op4_url_filter,
+    "op5_lm_scores": ppm.op5_lm_scores,
     "op6_simhash": simhash.op6_simhash,
     "op7_token_output": tokens.op7_token_output,
     "op8_embedding_dedup": embeddings.op8_embedding_dedup,
