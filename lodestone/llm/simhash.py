@@ -17,6 +17,8 @@ from .components import connected_components
 STEP = 1 << 16
 #: A key with more fingerprints than this is not compared within; its fingerprints are cut further.
 GROUP = 2048
+#: Keys are broadcast up to this many (16 bytes each), and joined by a shuffle beyond.
+BROADCAST_KEYS = 1_000_000
 
 
 def fingerprint(text: str | None, size: int) -> int:
@@ -67,12 +69,15 @@ def variants(bits: list[int], differing: int) -> list[tuple[int, int]]:
     return out
 
 
-def _signatures(fps: DataFrame, bits: list[int], differing: int, key: Column | None) -> DataFrame:
-    """Rows (fp, key, wild): fingerprints with one key agree in a segment, or in all of it but the wild bit."""
+def _signatures(fps: DataFrame, bits: list[int], differing: int, nested: bool) -> DataFrame:
+    """Rows (fp, key, no, wild): fingerprints with one key agree in segment variant ``no``, but for the wild bit.
+
+    The key is a digest; were two to collide, the pairs would fail verification.
+    """
     masks = F.array(*[F.struct(F.lit(k).alias("no"), F.lit(_signed(keep)).alias("keep"), F.lit(_signed(wild)).alias("wild")) for k, (keep, wild) in enumerate(variants(bits, differing))])
+    above = [F.col("above")] if nested else []
     rows = fps.withColumn("m", F.explode(masks))
-    parts = ([key] if key is not None else []) + [F.col("m.no"), F.expr("fp & m.keep")]
-    return rows.select("fp", F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)]).alias("key"), F.col("m.wild").alias("wild"))
+    return rows.select("fp", F.xxhash64(F.col("m.no"), F.expr("fp & m.keep"), *above).alias("key"), F.col("m.no").alias("no"), F.col("m.wild").alias("wild"))
 
 
 def _verified(a: str, b: str, differing: int) -> Column:
@@ -91,20 +96,18 @@ def links(fps: DataFrame, differing: int, group: int = GROUP) -> DataFrame:
     argument, until the groups are small or no bits are left to tell them apart.
     """
     found = []
-    everything = list(range(64))
-    # Each entry: members of keys still too large, the bits still open, and how many keys lie above.
-    queue: list[tuple[DataFrame, list[int], bool]] = [(fps, everything, False)]
-    depth = 0
+    # Each entry: fingerprints (below the first level with the key above), and the bits still open.
+    queue: list[tuple[DataFrame, list[int], bool]] = [(fps, list(range(64)), False)]
     while queue:
         rows, bits, nested = queue.pop()
-        signed = _signatures(rows, bits, differing, F.col("key") if nested else None)
-        stats = stored(signed.groupBy("key", "wild").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), f"sim-keys{depth}")
-        twos = stats.where("n = 2").where(_verified("lo", "hi", differing)).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-        found.append(twos)
+        signed = _signatures(rows, bits, differing, nested)
+        stats = stored(signed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "sim-keys")
+        found.append(stats.where("n = 2").where(_verified("lo", "hi", differing)).select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         more = stats.where("n > 2").select("key", "n")
-        if more.isEmpty():
+        crowded = more.count()
+        if not crowded:
             continue
-        members = stored(signed.join(more, "key"), f"sim-members{depth}")
+        members = stored(signed.join(F.broadcast(more) if crowded <= BROADCAST_KEYS else more, "key"), "sim-members")
         some = members.where(F.col("n") <= group)
         a, b = some.select("key", "wild", F.col("fp").alias("u")), some.select("key", F.col("fp").alias("v"))
         # With a wild bit only the two values of that bit are new to each other; equal ones meet under the whole segment.
@@ -112,33 +115,20 @@ def links(fps: DataFrame, differing: int, group: int = GROUP) -> DataFrame:
         large = members.where(F.col("n") > group)
         if large.isEmpty():
             continue
-        depth += 1
+        first = 0
         for segment in cut(bits, differing // 2 + 1):
+            last = first + len(segment)
             rest = [x for x in bits if x not in segment]
-            mask = _signed(sum(1 << x for x in segment))
-            inside = large.where((F.col("key.k1" if nested else "key.k0") < len(variants(bits, differing)))).where(F.expr(f"(wild = 0 AND {_whole(bits, segment, differing, nested)}) OR (wild & {mask}L) <> 0"))
-            if not rest:
-                # Nothing else can differ but the wild bit: link each to the smallest.
-                low = inside.groupBy("key").agg(F.min("fp").alias("u"))
-                found.append(inside.join(low, "key").select("u", F.col("fp").alias("v")).where("u <> v").where(_verified("u", "v", differing)))
-            else:
-                queue.append((inside.select("fp", F.xxhash64("key", "wild").alias("key")).distinct(), rest, True))
+            inside = large.where(F.col("no").between(first, last)).select("fp", F.col("key").alias("above"))
+            if rest:  # without further bits a key has two fingerprints at most
+                queue.append((inside, rest, True))
+            first = last + 1
     out = found[0]
     for f in found[1:]:
         out = out.unionAll(f)
     return out.distinct()
 
 
-def _whole(bits: list[int], segment: list[int], differing: int, nested: bool) -> str:
-    """SQL: the signature's number is that of the whole ``segment``."""
-    at = 0
-    for s in cut(bits, differing // 2 + 1):
-        if s == segment:
-            break
-        at += len(s) + 1
-    return f"{'key.k1' if nested else 'key.k0'} = {at}"
-
-
 def simhash_classes(docs: DataFrame, size: int = 5, differing: int = 3, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """``(doc_id, fp, component_id)``: documents whose fingerprints are linked, directly or by steps.
 
