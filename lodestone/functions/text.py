@@ -44,25 +44,45 @@ def remove_headers_footers(c: Column | str) -> Column:
     return F.regexp_replace(text_or_empty(c), HEADER_FOOTER, "")
 
 
+def _bind(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, not once for each element that ``then`` looks at."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def remove_toc(c: Column | str) -> Column:
     """Cut the first table of contents: its title and the blank or dotted lines after it.
 
     With ``start`` the first title and ``stop`` the first other line behind it, what
-    stays is every line before the one and from the other on.
+    stays is every line before the one and from the other on.  A line is judged
+    once, so the cost is linear in the text.
     """
-    t = _lines(text_or_empty(c))
-    start = F.array_position(F.transform(t, lambda x: x.rlike(TOC_START)), True)
-    entry = F.transform(t, lambda x, i: ((i + 1) > start) & (trimmed(x) != "") & ~x.rlike(TOC_LINE))
-    stop = F.array_position(entry, True)
-    last = F.when(stop > 0, stop).otherwise(F.size(t) + 1)
-    return F.when(_col(c).isNull(), "").otherwise(_joined(F.when(start > 0, F.filter(t, lambda x, i: ((i + 1) < start) | ((i + 1) >= last))).otherwise(t)))
+
+    def cut(t: Column) -> Column:
+        marks = F.transform(t, lambda x: F.struct(x.alias("line"), x.rlike(TOC_START).alias("title"), ((trimmed(x) != "") & ~x.rlike(TOC_LINE)).alias("other")))
+        return _bind(marks, lambda m: _bind(F.array_position(F.transform(m, lambda x: x["title"]), True), lambda start: kept(m, start)))
+
+    def kept(m: Column, start: Column) -> Column:
+        stop = F.array_position(F.transform(m, lambda x, i: ((i + 1) > start) & x["other"]), True)
+        lines = F.transform(m, lambda x: x["line"])
+        behind = _bind(F.when(stop > 0, stop).otherwise(F.size(m) + 1), lambda last: F.concat(F.slice(lines, F.lit(1), (start - 1).cast("int")), F.slice(lines, last.cast("int"), F.size(lines))))
+        return F.when(start > 0, behind).otherwise(lines)
+
+    return F.when(_col(c).isNull(), "").otherwise(_joined(_bind(_lines(text_or_empty(c)), cut)))
 
 
 def remove_duplicate_lines(c: Column | str) -> Column:
-    """Keep the first of lines that are equal after trimming, anywhere in the text; blank lines all stay."""
-    t = _lines(text_or_empty(c))
-    keys = F.transform(t, trimmed)
-    return F.when(_col(c).isNull(), "").otherwise(_joined(F.filter(t, lambda x, i: (trimmed(x) == "") | (F.array_position(keys, trimmed(x)) == i + 1))))
+    """Keep the first of lines that are equal after trimming, anywhere in the text; blank lines all stay.
+
+    Keys are looked up in an array, n squared in the lines of one text;
+    ``remove_duplicate_lines_long`` takes texts of very many lines.
+    """
+
+    def firsts(z: Column) -> Column:
+        keys = F.transform(z, lambda x: x["key"])
+        return _bind(keys, lambda k: F.transform(F.filter(z, lambda x, i: (x["key"] == "") | (F.array_position(k, x["key"]) == i + 1)), lambda x: x["line"]))
+
+    keyed = F.transform(_lines(text_or_empty(c)), lambda x: F.struct(x.alias("line"), trimmed(x).alias("key")))
+    return F.when(_col(c).isNull(), "").otherwise(_joined(_bind(keyed, firsts)))
 
 
 def normalize(c: Column | str) -> Column:

@@ -207,7 +207,7 @@ def page_table_segments(spark, sf):
 @query
 def html_h1_segments(spark, sf):
     s = segments.html_segments(_read(spark, sf, "pages"))
-    return s.where("heading_level = 1 AND content = section_title").select("doc_id", "content")
+    return s.where("heading_level = 1").groupBy("doc_id").agg(F.min_by("section_title", "seg_idx").alias("content"))
 
 
 @query
