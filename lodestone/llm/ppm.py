@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import bucket, need, read, stored
 
 #: Bytes of context.
-ORDER = 5
+ORDER = 4
 #: Text of a block, the unit in which model entries are fetched.
 BLOCK_BYTES = 32_000_000
 #: Bytes handled at once inside a block.
@@ -44,18 +45,6 @@ def context_keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray
     return keys[x[order:] != START], lengths
 
 
-def _batched(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
-    held, n = [], 0
-    for t in texts:
-        held.append(t)
-        n += len(t)
-        if n >= size:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 def _count(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and how often each occurs (``n``: weights)."""
     if n is None:
@@ -81,8 +70,7 @@ class Tally:
         self.held: tuple[list[bytes], list[bytes]] = ([], [])
         self.size = 0
 
-    def add(self, text: str | None, learn: bool) -> None:
-        s = symbols(text)
+    def add(self, s: bytes, learn: bool) -> None:
         self.held[learn].append(s)
         w = s[:-1].split()
         if learn:
@@ -120,46 +108,107 @@ class Tally:
         return keys, n, hashes, counts
 
 
-ROW = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("keys", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("wn", pa.list_(pa.int64()))])
-ROW_DDL = "block long, doc_id long, text string, keys array<long>, n array<long>, words array<long>, wn array<long>"
+#: Kinds of rows: packed texts, counts of contexts, counts of words.
+TEXTS, GRAMS, WORDS = 0, 1, 2
+ROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+ROW_DDL = "block long, kind int, part int, keys binary, n binary"
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part, of ``parts``, that counts a key."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def _delta(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, which compress well."""
+    return np.diff(keys, prepend=np.int64(0)).tobytes()
+
+
+def _undelta(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.int64))
+
+
+def _split(block: int, kind: int, keys: np.ndarray, n: np.ndarray, parts: int) -> list[dict]:
+    """Rows of (keys, n) by part, keys ascending in each."""
+    by = np.lexsort((keys, p := part_of(keys, parts)))
+    keys, n, p = keys[by], n[by], p[by]
+    ends = np.searchsorted(p, np.arange(parts + 1))
+    return [{"block": block, "kind": kind, "part": k, "keys": _delta(keys[a:z]), "n": n[a:z].tobytes()} for k, (a, z) in enumerate(zip(ends, ends[1:], strict=False)) if z > a]
+
+
+def pack_texts(ids: list[int | None], texts: list[bytes]) -> tuple[bytes, bytes]:
+    """Texts compressed together, and their ids, null marks and lengths."""
+    marks = np.array([[0 if i is None else i, i is None, len(t)] for i, t in zip(ids, texts, strict=True)], np.int64).reshape(-1, 3)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(texts)), marks.tobytes()
+
+
+def unpack_texts(payload: bytes, marks: bytes) -> tuple[list[int | None], list[bytes]]:
+    m = np.frombuffer(marks, np.int64).reshape(-1, 3)
+    ends = np.cumsum(m[:, 2])
+    raw = zstandard.ZstdDecompressor().decompress(payload, max_output_size=max(1, int(ends[-1]) if len(m) else 1))
+    return [None if none else i for i, none, _ in m.tolist()], [raw[z - n : z] for z, n in zip(ends.tolist(), m[:, 2].tolist(), strict=True)]
 
 
-def blocks(docs: DataFrame, learn: Column, order: int) -> DataFrame:
-    """Documents in blocks of a task's input, and after each block a row with its counts."""
+def blocks(docs: DataFrame, learn: Column, order: int, parts: int) -> DataFrame:
+    """Blocks of a task's input: rows of packed texts, and the block's counts by part.
+
+    Arrays travel as binaries, thousands of counts a row, so the JVM handles few rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, k, size = TaskContext.get().partitionId() << 32, 0, 0
+        block, size = TaskContext.get().partitionId() << 32, 0
         tally = Tally(order)
+        ids: list[int | None] = []
+        held: list[bytes] = []
+        held_size = 0
 
-        def counts() -> pa.RecordBatch:
+        def texts() -> dict:
+            payload, marks = pack_texts(ids, held)
+            return {"block": block, "kind": TEXTS, "part": None, "keys": payload, "n": marks}
+
+        def counts() -> list[dict]:
             keys, n, hashes, wn = tally.result()
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
-            return pa.RecordBatch.from_arrays([pa.array([base + k]), pa.array([None], pa.int64()), pa.array([None], pa.string()), one(keys), one(n), one(hashes), one(wn)], schema=ROW)
+            return _split(block, GRAMS, keys, n, parts) + _split(block, WORDS, hashes, wn, parts)
 
         for b in batches:
-            texts, learned = b.column(1).to_pylist(), b.column(2).to_pylist()
-            ids = b.column(0)
-            first, at = 0, []
-            for r, (t, y) in enumerate(zip(texts, learned, strict=True)):
-                tally.add(t, y)
-                at.append(base + k)
-                size += len(t or "")
+            for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = symbols(t)
+                tally.add(s, y)
+                ids.append(i)
+                held.append(s)
+                held_size += len(s)
+                size += len(s)
+                if held_size >= STEP:
+                    yield pa.RecordBatch.from_pylist([texts()], ROW)
+                    ids, held, held_size = [], [], 0
                 if size >= BLOCK_BYTES:
-                    yield _docs(at, ids.slice(first, r + 1 - first), b.column(1).slice(first, r + 1 - first))
-                    yield counts()
-                    first, at = r + 1, []
-                    tally, k, size = Tally(order), k + 1, 0
-            if at:
-                yield _docs(at, ids.slice(first), b.column(1).slice(first))
-        if tally.words[0] or tally.words[1]:
-            yield counts()
+                    if held:
+                        yield pa.RecordBatch.from_pylist([texts()], ROW)
+                    yield pa.RecordBatch.from_pylist(counts(), ROW)
+                    block, size, tally = block + 1, 0, Tally(order)
+                    ids, held, held_size = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist([texts()], ROW)
+        if size:
+            yield pa.RecordBatch.from_pylist(counts(), ROW)
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), learn.alias("learn")).mapInArrow(run, ROW_DDL)
 
 
-def _docs(at: list[int], ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-    none = pa.nulls(len(at), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), ids, texts, none, none, none, none], schema=ROW)
+def _total(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of one part added up over its blocks, a few blocks at a time."""
+    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+    for k, c in zip(table.column("keys"), table.column("n"), strict=True):
+        held.append((_undelta(k.as_py()), np.frombuffer(c.as_py(), np.int64)))
+        waiting += len(held[-1][0])
+        if waiting > max(1_000_000, len(keys)):
+            keys, n = _count(np.concatenate([keys, *(h[0] for h in held)]), np.concatenate([n, *(h[1] for h in held)]))
+            held, waiting = [], 0
+    if held:
+        keys, n = _count(np.concatenate([keys, *(h[0] for h in held)]), np.concatenate([n, *(h[1] for h in held)]))
+    return keys, n
 
 
 def code_table(total: DataFrame, order: int) -> DataFrame:
@@ -200,7 +249,7 @@ def code_table(total: DataFrame, order: int) -> DataFrame:
     return at.select("key", F.log10("f").alias("logp"))
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
 def score_documents(docs: DataFrame, learn: Column, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,8 +258,8 @@ def score_documents(docs: DataFrame, learn: Column, order: int = ORDER, id_col:
     ``score`` is the log10 probability that the byte model of the documents with
     ``learn`` true gives to the lower-cased text and its end; ``base_score`` that of
     the smoothed word unigram.  Every task counts byte contexts and words of its
-    block first; the counts are added up over all blocks, turned into code lengths
-    by joins, and each block gets back the entries it uses, which its size bounds.
+    block; counts are added up by part of the key space, turned into code lengths by
+    joins, and each block gets back the entries it uses, which its size bounds.
     So the model is never in one place and grows with the corpus.
 
     Null texts are empty; an empty text is its end alone.  A null id is scored like
@@ -220,51 +269,84 @@ def score_documents(docs: DataFrame, learn: Column, order: int = ORDER, id_col:
     """
     if not 1 <= order <= 6:
         raise ValueError("order must be from 1 to 6")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = need(docs, (id_col, text_col)).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    table = stored(blocks(rows, F.coalesce(learn, F.lit(False)), order), "ppm-blocks")
-    tallies = table.where("keys IS NOT NULL")
-    pairs = lambda k, n: tallies.select("block", F.explode(F.arrays_zip(k, n)).alias("x")).select("block", F.col(f"x.{k}").alias("key"), F.col(f"x.{n}").alias("n"))
-    grams, found = pairs("keys", "n"), pairs("words", "wn")
-    codes = code_table(stored(grams.groupBy("key").agg(F.sum("n").alias("c")), "ppm-grams"), order)
-    vocabulary = stored(found.groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"), "ppm-words")
-    row = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = row["n"] or 0, row["v"]
-    entries = grams.select("block", "key").join(codes, "key").select("block", F.lit(0).alias("kind"), "key", F.col("logp").alias("v"))
-    entries = entries.unionAll(found.select("block", "key").join(vocabulary, "key").select("block", F.lit(1), "key", F.col("c").cast("double")))
-    bottom = math.log10(total + 0.1 * (distinct + 1))
+    table = stored(blocks(rows, F.coalesce(learn, F.lit(False)), order, parts), "ppm-blocks", compression="zstd")
+    grams, found = table.where(F.col("kind") == GRAMS), table.where(F.col("kind") == WORDS)
+
+    def add(t: pa.Table) -> pa.Table:
+        keys, n = _total(t)
+        return pa.table({"key": keys, "c": n})
+
+    total = stored(grams.groupBy("part").applyInArrow(add, "key long, c long"), "ppm-grams")
+    codes = code_table(total, order)
+
+    def known(t: pa.Table) -> pa.Table:
+        """Word counts: what each block asked for, and a row for the whole part."""
+        keys, n = _total(t)
+        seen = n[n > 0]
+        out = [{"block": None, "keys": None, "v": np.array([seen.sum(), len(seen)], np.float64).tobytes()}]
+        for b, k in zip(t.column("block").to_pylist(), t.column("keys"), strict=True):
+            own = _undelta(k.as_py())
+            c = n[np.searchsorted(keys, own)]
+            out.append({"block": b, "keys": _delta(own[c > 0]), "v": c[c > 0].astype(np.float64).tobytes()})
+        return pa.Table.from_pylist(out, ENTRY)
+
+    vocabulary = stored(found.groupBy("part").applyInArrow(known, ENTRY_DDL), "ppm-words", compression="zstd")
+    sums = vocabulary.where("block IS NULL").select("v").collect()  # a row for each part
+    tokens, distinct = (int(x) for x in sum((np.frombuffer(r["v"]) for r in sums), np.zeros(2)))
+
+    def look_up(t: pa.Table, model: pa.Table) -> pa.Table:
+        keys, logp = model.column("key").to_numpy(), model.column("logp").to_numpy()
+        by = np.argsort(keys)
+        keys, logp = keys[by], logp[by]
+        out = [{"block": b, "keys": k.as_py(), "v": logp[np.searchsorted(keys, _undelta(k.as_py()))].tobytes()} for b, k in zip(t.column("block").to_pylist(), t.column("keys"), strict=True)]
+        return pa.Table.from_pylist(out, ENTRY)
+
+    asked = grams.select("block", "part", "keys").groupBy("part").cogroup(_with_part(codes, parts).groupBy("model_part")).applyInArrow(look_up, ENTRY_DDL)
+    entries = asked.select(F.lit(GRAMS).alias("kind"), "block", "keys", "v").unionAll(vocabulary.where("block IS NOT NULL").select(F.lit(WORDS), "block", "keys", "v"))
 
     def score(texts: pa.Table, model: pa.Table) -> pa.Table:
-        kind = model.column("kind").to_numpy()
-        key, v = model.column("key").to_numpy(), model.column("v").to_numpy()
-        keys, logp = key[kind == 0], v[kind == 0]
+        kinds = model.column("kind").to_numpy()
+        one = lambda kind: [[f(x.as_py()) for x in model.column(c).filter(pa.array(kinds == kind))] for c, f in (("keys", _undelta), ("v", np.frombuffer))]
+        keys, logp = map(np.concatenate, one(GRAMS))
         by = np.argsort(keys)
         keys, logp = keys[by], logp[by]
-        counts = dict(zip(key[kind == 1].tolist(), v[kind == 1].tolist(), strict=True))
-        known: dict[bytes, float] = {}
-        unseen = math.log10(0.1) - bottom
+        ks, vs = one(WORDS)
+        counts = dict(zip(np.concatenate(ks).tolist(), np.concatenate(vs).tolist(), strict=True)) if ks else {}
+        logs: dict[bytes, float | None] = {}
         out = []
-        ids = texts.column("doc_id").to_pylist()
-        done = 0
-        raw = (symbols(t) for chunk in texts.column("text").chunks for t in chunk.to_pylist())
-        for part in _batched(raw, STEP):
+        for payload, marks in zip(texts.column("keys"), texts.column("n"), strict=True):
+            ids, part = unpack_texts(payload.as_py(), marks.as_py())
             k, n = context_keys(part, order)
             scores = np.add.reduceat(logp[np.searchsorted(keys, k)], np.cumsum(n) - n)
-            for t, s in zip(part, scores.tolist(), strict=True):
+            for i, t, s in zip(ids, part, scores.tolist(), strict=True):
                 w = t[:-1].split()
                 w.append(END_WORD)
                 for x in w:
-                    if x not in known:
-                        c = counts.get(word_hash(x), 0.0)
-                        known[x] = math.log10(c + 0.1) - bottom if c else 0.0
-                got = [known[x] for x in w]
-                n_known = len(got) - got.count(0.0)
-                out.append((ids[done], len(w), n_known, math.fsum(got) + (len(got) - n_known) * unseen, s))
-                done += 1
+                    if x not in logs:
+                        c = counts.get(word_hash(x))
+                        logs[x] = math.log10(c + 0.1) if c else None
+                got = [v for v in map(logs.__getitem__, w) if v is not None]
+                out.append((i, len(w), len(got), math.fsum(got) + (len(w) - len(got)) * math.log10(0.1), s))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), OUT, strict=True)], schema=OUT) if out else OUT.empty_table()
 
-    documents = table.where("keys IS NULL").select("block", "doc_id", "text")
-    scored = documents.groupBy("block").cogroup(entries.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    packed = table.where(F.col("kind") == TEXTS).select("block", "keys", "n")
+    scored = packed.groupBy("block").cogroup(entries.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base double, score double")
+    bottom = math.log10(tokens + 0.1 * (distinct + 1))
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(bottom)).alias("base_score"), "score")
+
+
+ENTRY = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("v", pa.binary())])
+ENTRY_DDL = "block long, keys binary, v binary"
+
+
+def _with_part(codes: DataFrame, parts: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(b.column(0).to_numpy(), parts).astype(np.int32)), b.column(0), b.column(1)], ["model_part", "key", "logp"])
+
+    return codes.mapInArrow(run, "model_part int, key long, logp double")
 
 
 class Trie:
