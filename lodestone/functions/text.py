@@ -146,7 +146,8 @@ def overlap_ratio(a: Column | str, b: Column | str, least_step: int = 1) -> Colu
     n = F.length(short)
     step = F.least(n, F.greatest(F.lit(least_step), F.floor(n / 100).cast("int")))
     hits = F.aggregate(F.sequence(F.lit(0), n - step, step), F.lit(0), lambda m, i: m + F.when(F.contains(long_, F.substring(short, i + 1, step)), step).otherwise(0))
-    return F.when(n == 0, 0.0).otherwise(hits / n)
+    covered = n if least_step == 1 else F.floor(n / step) * step
+    return F.when(n == 0, 0.0).otherwise(hits / covered)
 
 
 def terms(c: Column | str) -> Column:

@@ -35,12 +35,16 @@ def filter_by_threshold(hits: DataFrame, threshold: float) -> DataFrame:
 
 
 def overlap(a: str, b: str, least_step: int) -> float:
-    """Share of the shorter text whose sampled windows occur in the longer."""
+    """Share of the shorter text whose sampled windows occur in the longer.
+
+    With ``least_step=1`` the share is of all characters, else of those in windows.
+    """
     short, long_ = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 0.0
     step = min(len(short), max(least_step, len(short) // 100))
-    return sum(step for i in range(0, len(short) - step + 1, step) if short[i : i + step] in long_) / len(short)
+    windows = range(0, len(short) - step + 1, step)
+    return sum(short[i : i + step] in long_ for i in windows) * step / (len(short) if least_step == 1 else len(windows) * step)
 
 
 def deduplicate(hits: DataFrame, threshold: float = 0.9, least_step: int = 8) -> DataFrame:

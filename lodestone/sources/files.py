@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from .parsers import PARSERS, Parsed, parse_file
 
 _OUT = "doc_id string, doc_name string, md5 string, seg_idx int, content string, content_type string, page_num int, section_title string, heading_level int, table_markdown string, metadata map<string,string>, error string"
 
+_SCHEMA = pa.schema([("doc_id", pa.string()), ("doc_name", pa.string()), ("md5", pa.string()), ("seg_idx", pa.int32()), ("content", pa.string()), ("content_type", pa.string()), ("page_num", pa.int32()), ("section_title", pa.string()), ("heading_level", pa.int32()), ("table_markdown", pa.string()), ("metadata", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
+
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, doc_name, source_path, file_type, file_size, md5, updated_at, content)`` of every file under ``path``."""
@@ -25,17 +28,16 @@ def parse_files(files: DataFrame, parsers: dict[str, Callable[[bytes], Parsed]]
     """Segments of ``files(doc_id, doc_name, content)``; unknown types and broken files give a row with ``error``."""
     known = PARSERS if parsers is None else parsers
     rows = files.select(F.col("doc_id").cast("string"), "doc_name", file_type("doc_name").alias("file_type"), fingerprint("content").alias("md5"), "content")
-    names = [f.split(" ")[0] for f in _OUT.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [{"doc_id": r.doc_id, "doc_name": r.doc_name, "md5": r.md5} | s for r in f.itertuples() for s in parse_file(r.file_type, r.content, known)]
-            made = pd.DataFrame(out, columns=names)
-            for c in ("seg_idx", "page_num", "heading_level"):
-                made[c] = made[c].astype("Int32")
-            yield made.astype({"error": "object"}).where(made.notna(), None)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc_id, name, kind, md5, data in zip(*(b.column(c).to_pylist() for c in ("doc_id", "doc_name", "file_type", "md5", "content")), strict=True):
+                for s in parse_file(kind, data, known):
+                    out.append({"doc_id": doc_id, "doc_name": name, "md5": md5} | s | {"metadata": list(s.get("metadata", {}).items())})
+            yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 
-    parsed = rows.mapInPandas(run, _OUT)
+    parsed = rows.mapInArrow(run, _OUT)
     return parsed.withColumn("seg_id", F.sha2(F.concat_ws("|", "doc_id", F.col("seg_idx").cast("string"), "content"), 256))
 
 
