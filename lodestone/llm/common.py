@@ -27,6 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Send rows to Python a thousand at a time, unless the session says otherwise.
+
+    The default of 10,000 rows buffers as many whole texts on both sides of the pipe.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "1000")
+
+
 def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 
@@ -35,6 +45,7 @@ def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     deals both sides anew and adaptive execution can split hot keys.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     _TABLES.append(path)
@@ -73,6 +84,7 @@ def bucket(doc_id: Column | str, n: int) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

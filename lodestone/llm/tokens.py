@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ BLOCK_IDS = 1 << 16
 #: Ids between two bit-offset checkpoints.
 CHECKPOINT_IDS = 128
 #: Pieces whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -33,45 +34,96 @@ class Encoder:
 
     A byte-level BPE with the usual pattern never joins text across a space that
     a non-space follows, so a text is cut there, and ids of pieces are remembered.
-    Tokenizers of other kinds encode whole texts.
+    New pieces are encoded together, and their ids told apart by the bytes that
+    each id stands for.  Tokenizers of other kinds encode whole texts.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
-        pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+        pre, model, added = spec.get("pre_tokenizer") or {}, spec.get("model") or {}, spec.get("added_tokens", [])
         self.by_piece = (
             not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
             and model.get("type") == "BPE" and not model.get("dropout")
-            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec.get("added_tokens", []))
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
         )
-        self.vocab = self.tokenizer.get_vocab_size()
-        self.first: dict[str, bytes] = {"": b""}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.dtype = id_type(max(vocab.values()))
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        if self.by_piece:
+            for token, k in vocab.items():
+                self.width[k] = len(token)  # a byte-level token has one character for each byte
+            for t in added:
+                self.width[t["id"]] = len(t["content"].encode())
+        self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        fresh = list(pieces - known.keys())
+    def forget(self) -> None:
+        """Give the memory back: an idle worker keeps what its process holds."""
+        self.first, self.later = {}, {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece after a space."""
+        out: list[bytes] = []
+        for k in range(0, len(pieces), 4096):
+            part = pieces[k : k + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.cumsum(self.width[ids])
+            stops = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + 1)
+            at = np.searchsorted(ends, stops)
+            if len(ids) and at[-1] < len(ends) and (ends[at] == stops).all():
+                raw, cuts = ids.tobytes(), [0, *((at + 1) * ids.itemsize).tolist()]
+                out += [raw[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+            else:
+                out += self._ids([" " + p for p in part])
+        return out
+
+    def _known(self, known: dict[str, bytes], pieces: set[str], later: bool) -> dict[str, bytes]:
+        """Ids of the pieces at hand: a small table, which the many look-ups of a batch find in the cache."""
+        keys = list(pieces)
+        local = dict(zip(keys, map(known.get, keys), strict=True))
+        fresh = [k for k, v in local.items() if v is None]
         if len(known) + len(fresh) > REMEMBERED:
             known.clear()
-            fresh = list(pieces)
-        for piece, e in zip(fresh, self.tokenizer.encode_batch_fast([lead + p for p in fresh], add_special_tokens=False), strict=True):
-            known[piece] = np.array(e.ids, "<u4").tobytes()
+        new = dict(zip(fresh, self._together(fresh) if later else self._ids(fresh), strict=True))
+        known.update(new)
+        local.update(new)
+        return local
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text, little-endian, in ``dtype``."""
         if not self.by_piece:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return self._ids(texts)
         odd, cut = re.compile(r" (?!\S)").search, re.compile(r" (?=\S)").split
         split = [cut(t) if odd(t) else t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in split} | {""}, "")
+        heads = [p.pop(0) for p in split]
+        first = self._known(self.first, set(heads) - {""}, False)
+        first[""] = b""
         wanted: set[str] = set()
         for p in split:
-            wanted.update(p[1:])
-        self._learn(self.later, wanted, " ")
-        later = self.later.__getitem__
-        return [self.first[p[0]] + b"".join(map(later, p[1:])) for p in split]
+            wanted.update(p)
+        later = self._known(self.later, wanted, True).__getitem__
+        return [first[h] + b"".join(map(later, p)) for h, p in zip(heads, split, strict=True)]
+
+
+def largest_id(path: str) -> int:
+    """The largest id of a tokenizer file, found without building the tokenizer (the driver needs no more)."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab = spec["model"]["vocab"]
+    most = max(vocab.values(), default=0) if isinstance(vocab, dict) else len(vocab) - 1
+    return max([most, *(t["id"] for t in spec.get("added_tokens", []))])
+
+
+def id_type(largest: int) -> str:
+    """Two bytes an id where the vocabulary allows it, else four."""
+    return "<u2" if largest < 1 << 16 else "<u4"
 
 
 def encoder(path: str) -> Encoder:
@@ -80,39 +132,45 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids)``: ids as a binary of little-endian unsigned 32-bit integers, ``end_id`` appended."""
+    """``(doc_id, ids, counts)``: ids as a binary of little-endian integers of two or four bytes (``id_type``), ``end_id`` appended.
+
+    Each task ends with one row that has only ``counts``: its ids and how often each
+    occurred, so that counting need not read the ids again.
+    """
     rows = need(docs, (id_col, text_col)).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    dtype = id_type(largest_id(tokenizer_path))
+    end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
+        total = np.zeros(max(len(enc.width), (end_id or 0) + 1), np.int64)
         for b in batches:
             for a in range(0, b.num_rows, 512):  # bounds what is held beside the batch
                 part = b.slice(a, 512)
                 ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                total += np.bincount(np.frombuffer(b"".join(ids), dtype), minlength=len(total))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], schema=ENCODED)
+        enc.forget()
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pylist([{"counts": np.stack([found, total[found]]).tobytes()}], ENCODED)
 
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 def id_counts(encoded: DataFrame) -> DataFrame:
-    """``(id, n)`` over all documents; every task adds up its own counts first."""
+    """``(id, n)`` over all documents, from the sums that the tasks wrote."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(x, "<u4"))
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
+                ids, n = np.frombuffer(x, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "n"])
 
-    return encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("counts").where("counts IS NOT NULL").mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 BLOCK = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("n_bits", pa.int64()), ("checkpoints", pa.binary()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64()))])
@@ -133,6 +191,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     """
     spark = docs.sparkSession
     encoded = stored(encode_documents(docs, tokenizer_path, end_id, id_col, text_col), "tokens")
+    dtype = id_type(largest_id(tokenizer_path))
     found = id_counts(encoded).collect()  # at most a row for each id of the vocabulary
     counts = np.zeros(max((r["id"] for r in found), default=-1) + 1, np.int64)
     for r in found:
@@ -140,6 +199,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     lengths = huffman.code_lengths(counts, max(limit, int(np.ceil(np.log2(max(2, np.count_nonzero(counts)))))))
     spark.range(1).select(F.lit(bytearray(lengths.tobytes())).alias("lengths"), F.lit(CHECKPOINT_IDS).alias("every")).coalesce(1).write.parquet(f"{path}/codebook")
     codes = huffman.canonical_codes(lengths)
+    bytes_each = np.dtype(dtype).itemsize
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, first = TaskContext.get().partitionId(), 0, 0
@@ -148,16 +208,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
         size = 0
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4").astype(np.int64)
+            ids = np.frombuffer(b"".join(held), dtype).astype(np.int64)
             payload, marks, bits = huffman.pack(ids, codes, lengths, CHECKPOINT_IDS)
-            row = {"shard": shard, "block": block, "first": first, "n_ids": len(ids), "n_bits": bits, "checkpoints": marks.astype("<i8").tobytes(), "payload": payload, "doc_ids": names, "doc_lens": [len(x) // 4 for x in held]}
+            row = {"shard": shard, "block": block, "first": first, "n_ids": len(ids), "n_bits": bits, "checkpoints": marks.astype("<i8").tobytes(), "payload": payload, "doc_ids": names, "doc_lens": [len(x) // bytes_each for x in held]}
             return pa.RecordBatch.from_pylist([row], BLOCK)
 
         for b in batches:
             for name, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 names.append(name)
                 held.append(x)
-                size += len(x) // 4
+                size += len(x) // bytes_each
                 if size >= BLOCK_IDS:
                     yield close()
                     block, first = block + 1, first + size
@@ -166,7 +226,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
             yield close()
 
     tie = F.xxhash64("ids")
-    dealt = encoded.withColumn("tie", tie).repartitionByRange(F.asc_nulls_first("doc_id"), F.asc("tie")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie", "ids")
+    dealt = encoded.where("ids IS NOT NULL").withColumn("tie", tie).repartitionByRange(F.asc_nulls_first("doc_id"), F.asc("tie")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie", "ids")
     dealt.select("doc_id", "ids").mapInArrow(blocks, BLOCK_DDL).write.parquet(f"{path}/blocks")
 
 

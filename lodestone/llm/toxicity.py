@@ -17,11 +17,11 @@ from .common import bucket, need, read, stored, words
 FEATURES = 1 << 20
 CHOSEN = 1 << 14
 #: Bounds of the training sample: confirmed positives and unlabelled documents.
-MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
+MAX_POSITIVE, MAX_UNLABELLED = 3_000, 6_000
 #: Lengths of the word beginnings that are features beside the whole word.
 STEMS = (4, 5, 6)
 #: Words whose features a worker remembers; beyond that it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _EDGE = b".,;:!?\"'()[]{}<>-"
 
 
@@ -77,7 +77,7 @@ class Rows:
         at = np.full(FEATURES, -1, np.int32)
         at[chosen] = np.arange(len(chosen))
         mapped = [(m := at[r])[m >= 0] for r in rows]
-        self.row = np.repeat(np.arange(len(rows)), [len(m) for m in mapped])
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(m) for m in mapped])
         self.col = np.concatenate(mapped) if mapped else np.zeros(0, np.int32)
         self.n, self.width = len(rows), len(chosen)
 
@@ -100,7 +100,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
     np_, nu = len(positive), len(unlabelled)
-    dp, du = (np.bincount(np.concatenate(x), minlength=FEATURES) for x in (positive, unlabelled))
+    dp, du = (sum((np.bincount(np.concatenate(x[k : k + 500]), minlength=FEATURES) for k in range(0, len(x), 500)), np.zeros(FEATURES, np.int64)) for x in (positive, unlabelled))
     p, u = dp / np_, du / nu
     pool = (dp + du) / (np_ + nu)
     z = (p - u) ** 2 / np.maximum(pool * (1 - pool), 1e-12) * (np_ * nu / (np_ + nu))
@@ -133,8 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col
     """Learn from documents confirmed toxic in ``labels`` and from text without regard to its labels.
 
     Labelled negatives are used for the class prior alone (the share of 1 among the
-    labels given), unless ``prior`` is given.  At most 6,000 positives and 12,000
-    unlabelled documents, those of smallest hash of id and text, are gathered.
+    labels given), unless ``prior`` is given.  At most 3,000 positives and 6,000
+    unlabelled documents, those of smallest hash, are gathered.
     """
     texts = need(docs, (id_col, text_col)).toDF("doc_id", "text")
     marks = need(labels, (id_col, label_col)).toDF("doc_id", "y").where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
