@@ -238,6 +238,24 @@ def test_leaks_and_recall_against_brute_force(spark):
     assert decontam.find_leaks(df.where("false"), bench).count() == 0 and decontam.find_leaks(df, bench.where("false")).count() == 0
 
 
+def test_many_items_are_found_verbatim_and_paraphrased(spark):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(9000)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randint(15, 59)))) for k in range(2100)]
+    made, want = [], set()
+    for k, text in items:
+        for kind in range(2):
+            w = [rng.choice(vocab) if kind and i % 7 == 3 else x for i, x in enumerate(text.split())]
+            around = [rng.choice(vocab) for _ in range(80)]
+            cut = rng.randrange(80)
+            made.append((2 * k + kind, " ".join(around[:cut] + w + around[cut:])))
+            want.add((2 * k + kind, k))
+    got = decontam.find_leaks(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    pairs = {(r.doc_id, r.item_id) for r in got}
+    verbatim = {p for p in want if p[0] % 2 == 0}
+    assert len(pairs & verbatim) >= 0.995 * len(verbatim) and len(pairs & want) >= 0.98 * len(want) and not pairs - want
+
+
 # Pipeline ----------------------------------------------------------------------
 
 
