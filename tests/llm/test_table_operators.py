@@ -256,6 +256,25 @@ def test_many_items_are_found_verbatim_and_paraphrased(spark):
     assert len(pairs & verbatim) >= 0.995 * len(verbatim) and len(pairs & want) >= 0.98 * len(want) and not pairs - want
 
 
+def test_texts_with_five_words_in_eight_are_candidates(spark):
+    rng = random.Random(13)
+    vocab = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(6000)]
+    often = vocab[:300]  # common words: what a paraphrase keeps may weigh little
+    items = [(k, " ".join(rng.choice(often if rng.random() < 0.4 else vocab) for _ in range(rng.randint(15, 59)))) for k in range(150)]
+    made, want = [], set()
+    for k, text in items:
+        w = [rng.choice(vocab) if i % 8 in (1, 4, 6) else x for i, x in enumerate(text.split())]
+        around = [rng.choice(often if rng.random() < 0.4 else vocab) for _ in range(80)]
+        cut = rng.randrange(80)
+        made.append((k, " ".join(around[:cut] + w + around[cut:])))
+        x = text.split()
+        if plain_lcs(x, w) >= decontam.LCS * len(x):
+            want.add((k, k))
+    got = decontam.find_leaks(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    pairs = {(r.doc_id, r.item_id) for r in got}
+    assert len(want) > 100 and len(pairs & want) >= 0.97 * len(want)
+
+
 # Pipeline ----------------------------------------------------------------------
 
 
