@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import need, read, stored, words
@@ -19,24 +19,39 @@ STEP = 1 << 16
 GROUP = 2048
 #: Keys are broadcast up to this many (16 bytes each), and joined by a shuffle beyond.
 BROADCAST_KEYS = 1_000_000
+#: Bands of minima of the shingle hashes, and minima in each: texts of similarity 0.8 share a band
+#: with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.996, texts of 0.9 nearly always.
+BANDS, ROWS = 14, 5
+#: Texts of a band's key that are all compared with each other; of more, within runs of as many and with the first.
+RUN = 256
 
 
-def fingerprint(text: str | None, size: int) -> int:
-    """64-bit SimHash of the word shingles, repeats included; without words it is 0."""
+def shingles(text: str | None, size: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles, repeats included, in runs of ``STEP``; of a shorter text all its words are one."""
     w = words(text)
     if not w:
-        return 0
+        return
     joined = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w))) + np.arange(len(w))
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(w) - size + 1)
     lo, hi = starts[:n].tolist(), (ends[size - 1 :] if len(w) >= size else ends[-1:]).tolist()
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for a in range(0, n, STEP):
-        h = np.fromiter([digest(joined[s:e], 42) for s, e in zip(lo[a : a + STEP], hi[a : a + STEP], strict=True)], np.uint64)
+        yield np.fromiter([digest(joined[s:e], 42) for s, e in zip(lo[a : a + STEP], hi[a : a + STEP], strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, size: int) -> int:
+    """64-bit SimHash of the word shingles, repeats included; without words it is 0."""
+    return _simhash(shingles(text, size))
+
+
+def _simhash(runs: Iterable[np.ndarray]) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for h in runs:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]) if n else 0
 
 
 def fingerprints(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,15 +163,99 @@ def simhash_classes(docs: DataFrame, size: int = 5, differing: int = 3, id_col:
     return fp.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def simhash_dedup(docs: DataFrame, size: int = 5, differing: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_TURNS = np.random.default_rng(17).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64, endpoint=False)
+
+
+def bands(own: np.ndarray) -> list[int]:
+    """A key for each band of minima over the distinct shingle hashes ``own``; no shingles, no keys."""
+    if not len(own):
+        return []
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(own), 1024):
+        low = np.minimum(low, (own[None, a : a + 1024] * (_TURNS[0] | np.uint64(1)) + _TURNS[1]).min(1))
+    return [xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+
+
+def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, text, fp, sid, bands)``, ``sid`` a digest of the set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, sid, keys = [], [], []
+            for t in b.column(1):
+                h = list(shingles(t.as_py(), size))
+                own = np.unique(np.concatenate(h)) if h else np.zeros(0, np.uint64)
+                fp.append(_simhash(h))
+                sid.append(xxhash.xxh64_intdigest(own.tobytes()))
+                keys.append(np.array(bands(own), np.uint64).view(np.int64))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (fp, sid)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *signed, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text", "fp", "sid", "bands"])
+
+    rows = need(docs, (id_col, text_col)).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(run, "doc_id long, text string, fp long, sid long, bands array<long>")
+
+
+def _as_similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those pairs ``(u, v)`` of ``sid`` whose sets of shingles have that Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = ({h for part in shingles(t.as_py(), size) for h in part.tolist()} for t in (x, y))
+                both = len(p & q)
+                keep.append(both >= similarity * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["u", "v"])
+
+    asked = pairs.select(F.col("u").alias("sid")).unionAll(pairs.select("v")).distinct()
+    held = stored(texts.join(asked, "sid", "left_semi").dropDuplicates(["sid"]), "sim-texts")
+    a, b = held.select(F.col("sid").alias("u"), F.col("text").alias("s")), held.select(F.col("sid").alias("v"), F.col("text").alias("t"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "s", "t").mapInArrow(run, "u long, v long")
+
+
+def similar_classes(docs: DataFrame, size: int = 5, differing: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, run: int = RUN) -> DataFrame:
+    """``(doc_id, fp, component_id)``: documents whose sets of shingles are as similar (Jaccard), directly or by steps.
+
+    Candidates are fingerprints at most ``differing`` bits apart and texts that share
+    a band of minima; a candidate counts if its exact similarity is enough.  Texts with
+    one set of shingles are one class before anything is compared.  Ids, empty texts and
+    repeated rows are as in ``simhash_classes``.
+    """
+    rows = stored(sketches(docs, size, id_col, text_col), "sim-sketches")
+    sets = stored(rows.groupBy("sid").agg(F.min("doc_id").alias("low"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "sim-sets")
+    byfp = stored(sets.groupBy("fp").agg(F.min("sid").alias("first")), "sim-classes")
+    near = links(byfp.select("fp"), differing, group)
+    near = near.join(byfp.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(byfp.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
+    same = sets.join(byfp, "fp").select(F.col("sid").alias("a"), F.col("first").alias("b"))
+    dealt = sets.select("sid", F.explode("bands").alias("key"))
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    w = Window.partitionBy("key").orderBy("sid")
+    dealt = stored(dealt.join(shared, "key").select("key", "sid", F.first("sid").over(w).alias("first"), F.floor((F.row_number().over(w) - 1) / run).alias("no")), "sim-bands")
+    a, b = dealt.select("key", "no", F.col("sid").alias("a")), dealt.select("key", "no", F.col("sid").alias("b"))
+    inside = a.join(b, ["key", "no"]).where("a < b").select("a", "b")
+    pairs = inside.unionAll(dealt.where("no > 0").select("sid", "first")).unionAll(near).unionAll(same).where("a <> b")
+    pairs = stored(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "sim-pairs")
+    found = connected_components(_as_similar(pairs, rows.select("sid", "text"), size, similarity))
+    joined = stored(sets.join(found, sets.sid == found.node, "left").select("sid", "low", F.coalesce("component", "sid").alias("c")), "sim-joined")
+    lows = stored(joined.groupBy("c").agg(F.min("low").alias("component_id")), "sim-lows")
+    named = stored(joined.join(lows, "c").select("sid", "component_id"), "sim-named")
+    return rows.select("doc_id", "fp", "sid").join(named, "sid").select("doc_id", "fp", "component_id")
+
+
+def simhash_dedup(docs: DataFrame, size: int = 5, differing: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """Keep one document, that of the smallest id, of each class; all columns stay.
 
+    With ``similarity`` classes are those of ``similar_classes``, else of ``simhash_classes``.
+
     Rows that share the smallest id of their class (repeated ids) collapse to one.
     A row without id is compared with the others but never removed, as nothing
     could say which of several it is.
     """
     key = F.col(f"`{id_col}`")
-    classes = simhash_classes(docs, size, differing, id_col, text_col)
+    if similarity is None:
+        classes = simhash_classes(docs, size, differing, id_col, text_col)
+    else:
+        classes = similar_classes(docs, size, differing, similarity, id_col, text_col)
     keep = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     named = docs.where(key.isNotNull()).join(keep, key == F.col("__kept"), "left_semi")
     if not named.groupBy(key).count().where("count > 1").isEmpty():

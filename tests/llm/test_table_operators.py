@@ -278,6 +278,28 @@ def test_texts_with_five_words_in_eight_are_candidates(spark):
 # Pipeline ----------------------------------------------------------------------
 
 
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    shingled = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    rows, alike = [], []
+    for k in range(400):
+        w = [rng.choice(vocab) for _ in range(rng.randint(60, 600))]
+        v = list(w)
+        for i in rng.sample(range(len(w)), max(1, round(len(w) * rng.uniform(0.002, 0.045)))):
+            v[i] = rng.choice(vocab)
+        rows += [(2 * k, " ".join(w), "en", "s", 0), (2 * k + 1, " ".join(v), "en", "s", 0)]
+        p, q = shingled(rows[-2][1]), shingled(rows[-1][1])
+        alike.append(len(p & q) / len(p | q))
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOC), "").select("doc_id").collect()}
+    assert {2 * k for k in range(400)} <= kept
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.01)):
+        pairs = [k for k in range(400) if low <= alike[k] < high]
+        assert len(pairs) >= 20 and sum(2 * k + 1 not in kept for k in pairs) >= 0.97 * len(pairs)
+    assert all(2 * k + 1 in kept for k in range(400) if alike[k] < 0.8)
+
+
+
 def test_pipeline(spark, tmp_path):
     docs, labels, bad = corpus(spark, 600)
     twice = docs.where("doc_id % 50 = 1").withColumn("doc_id", F.col("doc_id") + 10_000)
