@@ -7,6 +7,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -23,93 +24,217 @@ CODE_LIMIT = 18
 BLOCK_IDS = 1 << 16
 #: Ids between two bit-offset checkpoints.
 CHECKPOINT_IDS = 128
-#: Pieces whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 150_000
+#: Slots of a worker's table of pieces, and the most bytes and ids of a piece that is kept there.
+SLOTS, KEY_BYTES, KEPT_IDS = 1 << 20, 24, 8
+#: Bytes of text that are cut and looked up at once.
+WINDOW = 1 << 20
 
 _encoders: dict[str, Encoder] = {}
 
 
+def byte_symbols() -> str:
+    """The characters by which byte-level BPE writes bytes: printable ones themselves, the others from U+0100 on."""
+    same = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return "".join(chr(b) if b in set(same) else chr(next(others)) for b in range(256))
+
+
+def _spans(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of ``n`` elements from each start, one span after the other."""
+    return np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n)
+
+
+class Pieces:
+    """A table of bounded size from pieces of text to their ids, looked up for many pieces at once.
+
+    A piece of up to 24 bytes is its own key (three words and its length), so no two
+    are ever taken for one another.  Each has one slot; what comes later takes it over.
+    """
+
+    def __init__(self, dtype: str, slots: int = SLOTS):
+        self.shift = np.uint64(64 - (slots.bit_length() - 1))
+        self.keys = np.zeros((KEY_BYTES // 8, slots), np.uint64)
+        self.size = np.zeros(slots, np.uint8)
+        self.n = np.zeros(slots, np.uint8)
+        self.ids = np.zeros((slots, KEPT_IDS), dtype)
+
+    MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    #: Odd multipliers of the slot's number; any would do.
+    TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+    def keys_of(self, x: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Words of each piece (zero where it has ended) and its slot; ``x`` has 32 bytes after its end."""
+        words = np.ndarray((len(x) - 7,), "<u8", np.ascontiguousarray(x), 0, (1,))
+        keys = [words[starts + 8 * k] & self.MASKS[np.clip(size - 8 * k, 0, 8)] for k in range(2)]
+        third, long = np.zeros(len(starts), np.uint64), np.flatnonzero(size > 16)
+        third[long] = words[starts[long] + 16] & self.MASKS[np.clip(size[long] - 16, 0, 8)]
+        keys.append(third)
+        mixed = size.astype(np.uint64)
+        for key, turn in zip(keys, self.TURNS, strict=True):
+            mixed = (mixed ^ key) * turn
+            mixed ^= mixed >> np.uint64(32)
+        return keys, ((mixed * self.TURNS[0]) >> self.shift).astype(np.int64)
+
+    def holds(self, keys: list[np.ndarray], size: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        found = (self.size[slot] == size) & (size <= KEY_BYTES)
+        for own, key in zip(self.keys, keys, strict=True):
+            found &= own[slot] == key
+        return found
+
+    def put(self, keys: list[np.ndarray], size: np.ndarray, slot: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """``ids`` of all pieces one after the other, ``n`` of each; those that fit are kept."""
+        keep = np.flatnonzero((size <= KEY_BYTES) & (n <= KEPT_IDS))
+        slot, first = np.unique(slot[keep], return_index=True)
+        keep = keep[first]
+        for own, key in zip(self.keys, keys, strict=True):
+            own[slot] = key[keep]
+        self.size[slot], self.n[slot] = size[keep], n[keep]
+        rows = np.zeros((len(keep), KEPT_IDS), self.ids.dtype)
+        rows[np.arange(KEPT_IDS) < n[keep, None]] = ids[_spans((np.cumsum(n) - n)[keep], n[keep])]
+        self.ids[slot] = rows
+
+
 class Encoder:
     """A tokenizer that encodes each distinct piece of text once.
 
-    A byte-level BPE with the usual pattern never joins text across a space that
-    a non-space follows, so a text is cut there, and ids of pieces are remembered.
-    New pieces are encoded together, and their ids told apart by the bytes that
-    each id stands for.  Tokenizers of other kinds encode whole texts.
+    A byte-level BPE with the usual pattern never joins text at these places, so a
+    text is cut there and the pieces' ids are remembered: before a space that a
+    non-space follows, on both sides of line feeds beside what is no white space,
+    and between a letter and an ASCII mark that no added token has.  New pieces of
+    letters, a space before them or not, are one word of the pattern, so the library's BPE model gets
+    them side by side; their ids are told apart by the bytes that each id stands
+    for.  Other new pieces, and texts of tokenizers of other kinds, go through the
+    whole library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, slots: int = SLOTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre, model, added = spec.get("pre_tokenizer") or {}, spec.get("model") or {}, spec.get("added_tokens", [])
         self.by_piece = (
             not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-            and model.get("type") == "BPE" and not model.get("dropout")
+            and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
         )
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.dtype = id_type(max(vocab.values()))
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
-        if self.by_piece:
-            for token, k in vocab.items():
-                self.width[k] = len(token)  # a byte-level token has one character for each byte
-            for t in added:
-                self.width[t["id"]] = len(t["content"].encode())
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def forget(self) -> None:
-        """Give the memory back: an idle worker keeps what its process holds."""
-        self.first, self.later = {}, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _together(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece after a space."""
-        out: list[bytes] = []
+        if not self.by_piece:
+            return
+        for token, k in vocab.items():
+            self.width[k] = len(token)  # a byte-level token has one character for each byte
+        for t in added:
+            self.width[t["id"]] = len(t["content"].encode())
+        self.pieces = Pieces(self.dtype, slots)
+        self.symbols = dict(enumerate(byte_symbols())) | {0xFF: " "}  # no UTF-8 has the byte FF
+        self.word = Tokenizer(self.tokenizer.model)
+        self.word.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        # The pattern's alternatives begin with contractions, which have an apostrophe; letters up to U+024F are letters in every version of Unicode.
+        own = "".join(t["content"] for t in added)
+        self.plain = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+").fullmatch if all(re.search(r"[^\w\s]", t["content"]) for t in added) else re.compile(r"(?!)").fullmatch
+        byte = np.arange(256)
+        self.letter = ((byte | 32) >= 97) & ((byte | 32) <= 122)
+        self.printable = (byte > 32) & (byte < 127)
+        # First bytes of characters that are no white space: C2 and E1 to E3 begin some that are.
+        self.visible = self.printable | ((byte >= 0xC3) & (byte <= 0xE0)) | (byte >= 0xE4)
+        self.visible[[t["content"].encode()[0] for t in added if t["content"]]] = False  # white space before an added token stays together
+        self.mark = self.printable & ~self.letter & ~np.isin(byte, [ord(c) for c in "0123456789'" + own if c.isascii()])
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of letters, a space before them or not, and how many each has."""
+        out, counts = [], []
         for k in range(0, len(pieces), 4096):
             part = pieces[k : k + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.cumsum(self.width[ids])
-            stops = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + 1)
+            shown = "\xff".join([p.decode("latin-1") for p in part]).translate(self.symbols)
+            ids = np.array(self.word.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self.dtype)
+            ends, stops = np.cumsum(self.width[ids]), np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
             at = np.searchsorted(ends, stops)
-            if len(ids) and at[-1] < len(ends) and (ends[at] == stops).all():
-                raw, cuts = ids.tobytes(), [0, *((at + 1) * ids.itemsize).tolist()]
-                out += [raw[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+            if len(ids) and at[-1] == len(ids) - 1 and (ends[at] == stops).all():
+                out.append(ids)
+                counts.append(np.diff(at, prepend=-1))
             else:
-                out += self._ids([" " + p for p in part])
-        return out
-
-    def _known(self, known: dict[str, bytes], pieces: set[str], later: bool) -> dict[str, bytes]:
-        """Ids of the pieces at hand: a small table, which the many look-ups of a batch find in the cache."""
-        keys = list(pieces)
-        local = dict(zip(keys, map(known.get, keys), strict=True))
-        fresh = [k for k, v in local.items() if v is None]
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-        new = dict(zip(fresh, self._together(fresh) if later else self._ids(fresh), strict=True))
-        known.update(new)
-        local.update(new)
-        return local
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, little-endian, in ``dtype``."""
+                one = self._ids([p.decode() for p in part])
+                out += one
+                counts.append(np.fromiter(map(len, one), np.int64, len(one)))
+        return np.concatenate([np.zeros(0, self.dtype), *out]), np.concatenate([np.zeros(0, np.int64), *counts])
+
+    def _new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after the other, and how many each has."""
+        text = [p.decode() for p in pieces]
+        plain = np.fromiter((self.plain(t) is not None for t in text), bool, len(text))
+        ids, n = self._words(list(compress(pieces, plain)))
+        odd = list(compress(text, ~plain))
+        more = [x for a in range(0, len(odd), 4096) for x in self._ids(odd[a : a + 4096])]
+        counts = np.zeros(len(pieces), np.int64)
+        counts[plain], counts[~plain] = n, np.fromiter(map(len, more), np.int64, len(more))
+        out, own = np.zeros(int(counts.sum()), self.dtype), np.repeat(plain, counts)
+        out[own] = ids
+        if more:
+            out[~own] = np.concatenate(more)
+        return out, counts
+
+    def _starts(self, x: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """First bytes of the pieces of texts that stand side by side in ``x``; no piece is in two texts."""
+        cut = np.zeros(len(x), bool)
+        feed = x == 10
+        cut[:-1] = (feed | (x == 32))[:-1] & self.visible[x[1:]]  # the last of several white spaces is a word of the pattern
+        letter = self.letter[x]
+        letter[1:] |= (x[:-1] == 0xC3) & (x[1:] != 0x97) & (x[1:] != 0xB7)  # U+00C0 to U+00FF but the signs of times and division
+        cut[1:] |= (feed[1:] & (letter | self.printable[x])[:-1]) | (feed[:-1] & self.visible[x[1:]]) | (letter[:-1] & self.mark[x[1:]])
+        some = ends > begins
+        last = ends[some] - 1
+        cut[last[(x[last] == 32) | feed[last]]] = False  # what follows is another text
+        after_letter = last[feed[last] & (last > begins[some])]
+        cut[after_letter] = (letter | self.printable[x])[after_letter - 1]
+        cut[begins[some]] = True
+        return np.flatnonzero(cut)
+
+    def _window(self, x: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = self._starts(x, begins, ends)
+        size = np.diff(starts, append=len(x))
+        keys, slot = self.pieces.keys_of(np.concatenate([x, np.zeros(32, np.uint8)]), starts, size)
+        known = self.pieces.holds(keys, size, slot)
+        n = self.pieces.n[slot].astype(np.int64)
+        kept = self.pieces.ids[slot[known]][np.arange(KEPT_IDS) < n[known, None]]
+        missing = np.flatnonzero(~known)
+        raw = x.tobytes()
+        seen: dict[bytes, int] = {}
+        which = [seen.setdefault(raw[a : a + z], len(seen)) for a, z in zip(starts[missing].tolist(), size[missing].tolist(), strict=True)]
+        made, counts = self._new(list(seen))
+        which = np.array(which, np.int64)
+        n[missing] = counts[which]
+        old = np.repeat(known, n)
+        out = np.empty(len(old), self.dtype)
+        out[old] = kept
+        out[~old] = made[_spans((np.cumsum(counts) - counts)[which], counts[which])]
+        first = missing[np.unique(which, return_index=True)[1]]  # pieces are numbered as they come
+        self.pieces.put([k[first] for k in keys], size[first], slot[first], made, counts)
+        upto = np.concatenate([[0], np.cumsum(n)])
+        return out, upto[np.searchsorted(starts, ends)] - upto[np.searchsorted(starts, begins)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other in ``dtype``, and how many each has.  The texts are not null."""
         if not self.by_piece:
-            return self._ids(texts)
-        odd, cut = re.compile(r" (?!\S)").search, re.compile(r" (?=\S)").split
-        split = [cut(t) if odd(t) else t.split(" ") for t in texts]
-        heads = [p.pop(0) for p in split]
-        first = self._known(self.first, set(heads) - {""}, False)
-        first[""] = b""
-        wanted: set[str] = set()
-        for p in split:
-            wanted.update(p)
-        later = self._known(self.later, wanted, True).__getitem__
-        return [first[h] + b"".join(map(later, p)) for h, p in zip(heads, split, strict=True)]
+            ids = self._ids(texts.to_pylist())
+            return np.concatenate([np.zeros(0, self.dtype), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
+        texts = texts.cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        x = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        out, counts, a = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)], 0
+        while a < len(texts):
+            z = max(a + 1, int(np.searchsorted(at, at[a] + WINDOW, "right")) - 1)  # a longer text is alone
+            ids, n = self._window(x[at[a] : at[z]], at[a:z] - at[a], at[a + 1 : z + 1] - at[a])
+            out.append(ids)
+            counts.append(n)
+            a = z
+        return np.concatenate(out), np.concatenate(counts)
 
 
 def largest_id(path: str) -> int:
@@ -143,18 +268,26 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None, i
     """
     rows = need(docs, (id_col, text_col)).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     dtype = id_type(largest_id(tokenizer_path))
-    end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
+    end = end_id is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         total = np.zeros(max(len(enc.width), (end_id or 0) + 1), np.int64)
         for b in batches:
-            for a in range(0, b.num_rows, 512):  # bounds what is held beside the batch
-                part = b.slice(a, 512)
-                ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
-                total += np.bincount(np.frombuffer(b"".join(ids), dtype), minlength=len(total))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], schema=ENCODED)
-        enc.forget()
+            for a in range(0, b.num_rows, 256):  # bounds what is held beside the batch
+                part = b.slice(a, 256)
+                ids, n = enc.encode(part.column(1))
+                ends = np.cumsum(n + bool(end))
+                if end:
+                    own = np.ones(len(ids) + len(n), bool)
+                    own[ends - 1] = False
+                    with_end = np.full(len(own), end_id, dtype)
+                    with_end[own] = ids
+                    ids = with_end
+                total += np.bincount(ids, minlength=len(total))
+                at = np.concatenate([[0], ends]) * ids.itemsize
+                column = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), column, pa.nulls(len(n), pa.binary())], schema=ENCODED)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_pylist([{"counts": np.stack([found, total[found]]).tobytes()}], ENCODED)
 
