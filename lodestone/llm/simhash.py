@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import need, read, stored, words
@@ -22,8 +22,8 @@ BROADCAST_KEYS = 1_000_000
 #: Bands of minima of the shingle hashes, and minima in each: texts of similarity 0.8 share a band
 #: with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.996, texts of 0.9 nearly always.
 BANDS, ROWS = 14, 5
-#: Texts of a band's key that are all compared with each other; of more, within runs of as many and with the first.
-RUN = 256
+#: Keys of up to so many texts have all pairs compared at once; those of larger keys are taken in rounds.
+SMALL_KEY = 64
 
 
 def shingles(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -177,66 +177,127 @@ def bands(own: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, text, fp, sid, bands)``, ``sid`` a digest of the set of shingles."""
+    """``(doc_id, text, fp, sid, n, bands)``, ``sid`` a digest of the set of shingles and ``n`` its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, sid, keys = [], [], []
+            fp, sid, n, keys = [], [], [], []
             for t in b.column(1):
                 h = list(shingles(t.as_py(), size))
                 own = np.unique(np.concatenate(h)) if h else np.zeros(0, np.uint64)
                 fp.append(_simhash(h))
                 sid.append(xxhash.xxh64_intdigest(own.tobytes()))
+                n.append(len(own))
                 keys.append(np.array(bands(own), np.uint64).view(np.int64))
             signed = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (fp, sid)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *signed, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text", "fp", "sid", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *signed, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text", "fp", "sid", "n", "bands"])
 
     rows = need(docs, (id_col, text_col)).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, text string, fp long, sid long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, text string, fp long, sid long, n long, bands array<long>")
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """``(sid, own)``: the sorted hashes of the distinct shingles of ``texts(sid, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(t.as_py(), size)])).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["sid", "own"])
+
+    return texts.mapInArrow(run, "sid long, own binary")
 
 
 def _as_similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those pairs ``(u, v)`` of ``sid`` whose sets of shingles have that Jaccard similarity or more."""
+    """Those distinct pairs ``(u, v)`` of ``sid`` whose sets of shingles have that Jaccard similarity or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = ({h for part in shingles(t.as_py(), size) for h in part.tolist()} for t in (x, y))
-                both = len(p & q)
+                p, q = (np.frombuffer(h.as_buffer(), np.uint64) for h in (x, y))
+                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
                 keep.append(both >= similarity * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["u", "v"])
 
     asked = pairs.select(F.col("u").alias("sid")).unionAll(pairs.select("v")).distinct()
-    held = stored(texts.join(asked, "sid", "left_semi").dropDuplicates(["sid"]), "sim-texts")
-    a, b = held.select(F.col("sid").alias("u"), F.col("text").alias("s")), held.select(F.col("sid").alias("v"), F.col("text").alias("t"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "s", "t").mapInArrow(run, "u long, v long")
+    held = stored(_sets(texts.join(asked, "sid", "left_semi").dropDuplicates(["sid"]), size), "sim-sets-asked")
+    a, b = held.select(F.col("sid").alias("u"), F.col("own").alias("p")), held.select(F.col("sid").alias("v"), F.col("own").alias("q"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "p", "q").mapInArrow(run, "u long, v long")
 
 
-def similar_classes(docs: DataFrame, size: int = 5, differing: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, run: int = RUN) -> DataFrame:
+def _united(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(sid, c)``: the component of every text, itself where it has no edge."""
+    found = connected_components(edges)
+    return stored(sets.select("sid").join(found, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("component", "sid").alias("c")), "sim-labels")
+
+
+def _could(n: str, m: str, similarity: float) -> Column:
+    """Whether sets of these sizes can be as similar."""
+    return F.least(n, m) >= similarity * F.greatest(n, m)
+
+
+def _compared_keys(sets: DataFrame, members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``(sid, c)``: components over the pairs of ``members(key, sid, n)`` that share a key and are as similar.
+
+    Texts of a key need not all be compared: those of one component have nothing to
+    add.  Each round takes some texts of every key that is not yet one component (one
+    at first, then all of small keys and eight times as many of the others), none of
+    them in the component of the key's first text, and compares each with all texts of
+    the key outside its own component.  A text so taken is done with in that key; the
+    rounds end when every key is one component or all its other texts are done, so no
+    pair is left out and a group of thousands of near copies costs few comparisons a text.
+    """
+    labels, edges, done, k = sets.select("sid", F.col("sid").alias("c")), None, None, 1
+    while True:
+        named = members.join(labels, "sid")
+        state = stored(named.groupBy("key").agg(F.min_by("c", "sid").alias("main"), F.count("*").alias("texts"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "main", "texts"), "sim-open")
+        members = stored(members.join(state.select("key"), "key", "left_semi"), "sim-members")
+        waiting = members.join(labels, "sid").join(state, "key").where("c <> main")
+        if done is not None:
+            waiting = waiting.join(done, ["key", "sid"], "left_anti")
+        lot = F.pmod(F.xxhash64("sid", F.lit(k)), F.lit(k))
+        lot = lot if k == 1 else F.when(F.col("texts") <= SMALL_KEY, F.col("sid")).otherwise(lot)
+        taken = stored(waiting.groupBy("key", lot.alias("lot")).agg(F.min("sid").alias("sid")).select("key", "sid"), "sim-taken")
+        if taken.isEmpty():
+            return labels
+        own = labels.join(sets.select("sid", "n"), "sid")
+        pivots = taken.join(own, "sid").select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+        met = members.join(labels, "sid").join(pivots, "key").where(F.col("c") != F.col("ca")).where(_could("n", "na", similarity))
+        pairs = stored(met.select(F.least("sid", "a").alias("u"), F.greatest("sid", "a").alias("v")).distinct(), "sim-pairs")
+        alike = _as_similar(pairs, texts, size, similarity)
+        edges = stored(alike if edges is None else edges.unionAll(alike), "sim-edges")
+        labels = _united(sets, edges)
+        done = taken if done is None else stored(done.unionAll(taken), "sim-done")
+        k *= 8
+
+
+def similar_classes(docs: DataFrame, size: int = 5, differing: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """``(doc_id, fp, component_id)``: documents whose sets of shingles are as similar (Jaccard), directly or by steps.
 
     Candidates are fingerprints at most ``differing`` bits apart and texts that share
-    a band of minima; a candidate counts if its exact similarity is enough.  Texts with
+    a band of minima; a candidate counts if its exact similarity is enough.  Every
+    candidate is compared unless both texts are in one component already.  Texts with
     one set of shingles are one class before anything is compared.  Ids, empty texts and
     repeated rows are as in ``simhash_classes``.
     """
     rows = stored(sketches(docs, size, id_col, text_col), "sim-sketches")
-    sets = stored(rows.groupBy("sid").agg(F.min("doc_id").alias("low"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "sim-sets")
-    byfp = stored(sets.groupBy("fp").agg(F.min("sid").alias("first")), "sim-classes")
-    near = links(byfp.select("fp"), differing, group)
-    near = near.join(byfp.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(byfp.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
-    same = sets.join(byfp, "fp").select(F.col("sid").alias("a"), F.col("first").alias("b"))
-    dealt = sets.select("sid", F.explode("bands").alias("key"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    w = Window.partitionBy("key").orderBy("sid")
-    dealt = stored(dealt.join(shared, "key").select("key", "sid", F.first("sid").over(w).alias("first"), F.floor((F.row_number().over(w) - 1) / run).alias("no")), "sim-bands")
-    a, b = dealt.select("key", "no", F.col("sid").alias("a")), dealt.select("key", "no", F.col("sid").alias("b"))
-    inside = a.join(b, ["key", "no"]).where("a < b").select("a", "b")
-    pairs = inside.unionAll(dealt.where("no > 0").select("sid", "first")).unionAll(near).unionAll(same).where("a <> b")
-    pairs = stored(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "sim-pairs")
-    found = connected_components(_as_similar(pairs, rows.select("sid", "text"), size, similarity))
-    joined = stored(sets.join(found, sets.sid == found.node, "left").select("sid", "low", F.coalesce("component", "sid").alias("c")), "sim-joined")
+    texts = rows.select("sid", "text")
+    sets = stored(rows.groupBy("sid").agg(F.min("doc_id").alias("low"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bands").alias("bands")), "sim-sets")
+    dealt = sets.select(F.explode(F.concat(F.array(F.xxhash64(F.lit("fp"), "fp")), "bands")).alias("key"), "sid", "n")
+    shared = dealt.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
+    labels = _compared_keys(sets, stored(dealt.join(shared, "key"), "sim-bands"), texts, size, similarity)
+    # Fingerprints that differ stand for the texts that have them; only pairs of different components are left to compare.
+    byfp = stored(sets.join(labels, "sid").select("fp", "sid", "n", "c"), "sim-byfp")
+    near = links(byfp.select("fp").distinct(), differing, group)
+    side = lambda x, k: byfp.select(F.col("fp").alias(x), F.col("sid").alias(f"s{k}"), F.col("n").alias(f"n{k}"), F.col("c").alias(f"c{k}"))
+    left = near.join(side("u", 1).groupBy("u", "c1").agg(F.min("n1").alias("n1"), F.max("n1").alias("m1")), "u").join(side("v", 2).groupBy("v", "c2").agg(F.min("n2").alias("n2"), F.max("n2").alias("m2")), "v")
+    left = stored(left.where("c1 <> c2").where((F.col("m1") >= similarity * F.col("n2")) & (F.col("m2") >= similarity * F.col("n1"))).select("u", "v", "c1", "c2"), "sim-left")
+    met = left.join(side("u", 1), ["u", "c1"]).join(side("v", 2), ["v", "c2"]).where(_could("n1", "n2", similarity))
+    pairs = stored(met.select(F.least("s1", "s2").alias("u"), F.greatest("s1", "s2").alias("v")).distinct(), "sim-pairs")
+    alike = _as_similar(pairs, texts, size, similarity)
+    stars = labels.where("sid <> c").select(F.col("sid").alias("u"), F.col("c").alias("v"))
+    found = _united(sets, stars.unionAll(alike))
+    joined = stored(sets.select("sid", "low").join(found, "sid"), "sim-joined")
     lows = stored(joined.groupBy("c").agg(F.min("low").alias("component_id")), "sim-lows")
     named = stored(joined.join(lows, "c").select("sid", "component_id"), "sim-named")
     return rows.select("doc_id", "fp", "sid").join(named, "sid").select("doc_id", "fp", "component_id")
