@@ -112,7 +112,8 @@ def links(fps: DataFrame, differing: int, group: int = GROUP) -> DataFrame:
     """
     found = []
     # Each entry: fingerprints (below the first level with the key above), and the bits still open.
-    queue: list[tuple[DataFrame, list[int], bool]] = [(fps, list(range(64)), False)]
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row becomes dozens of signatures, so rows are dealt first
+    queue: list[tuple[DataFrame, list[int], bool]] = [(fps.repartition(parts, "fp"), list(range(64)), False)]
     while queue:
         rows, bits, nested = queue.pop()
         signed = _signatures(rows, bits, differing, nested)
@@ -207,6 +208,11 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "sid long, own binary")
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """``keys``, to be broadcast if they are counted to be at most BROADCAST_KEYS."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _as_similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """Those distinct pairs ``(u, v)`` of ``sid`` whose sets of shingles have that Jaccard similarity or more."""
 
@@ -219,16 +225,17 @@ def _as_similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float
                 keep.append(both >= similarity * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["u", "v"])
 
-    asked = pairs.select(F.col("u").alias("sid")).unionAll(pairs.select("v")).distinct()
-    held = stored(_sets(texts.join(asked, "sid", "left_semi").dropDuplicates(["sid"]), size), "sim-sets-asked")
+    asked = stored(pairs.select(F.col("u").alias("sid")).unionAll(pairs.select("v")).distinct(), "sim-asked")
+    held = stored(_sets(texts.join(_small(asked), "sid", "left_semi").dropDuplicates(["sid"]), size), "sim-sets-asked")
     a, b = held.select(F.col("sid").alias("u"), F.col("own").alias("p")), held.select(F.col("sid").alias("v"), F.col("own").alias("q"))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "p", "q").mapInArrow(run, "u long, v long")
 
 
-def _united(sets: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(sid, c)``: the component of every text, itself where it has no edge."""
-    found = connected_components(edges)
-    return stored(sets.select("sid").join(found, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("component", "sid").alias("c")), "sim-labels")
+def _united(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``labels(sid, c)`` after the components of both ends of each of ``pairs(u, v)`` are joined."""
+    own, other = (labels.select(F.col("sid").alias(x), F.col("c").alias(y)) for x, y in (("u", "cu"), ("v", "cv")))
+    found = connected_components(pairs.join(own, "u").join(other, "v"), "cu", "cv")
+    return stored(labels.join(found, F.col("c") == F.col("node"), "left").select("sid", F.coalesce("component", "c").alias("c")), "sim-labels")
 
 
 def _could(n: str, m: str, similarity: float) -> Column:
@@ -240,35 +247,39 @@ def _compared_keys(sets: DataFrame, members: DataFrame, texts: DataFrame, size:
     """``(sid, c)``: components over the pairs of ``members(key, sid, n)`` that share a key and are as similar.
 
     Texts of a key need not all be compared: those of one component have nothing to
-    add.  Each round takes some texts of every key that is not yet one component (one
-    at first, then all of small keys and eight times as many of the others), none of
-    them in the component of the key's first text, and compares each with all texts of
-    the key outside its own component.  A text so taken is done with in that key; the
-    rounds end when every key is one component or all its other texts are done, so no
-    pair is left out and a group of thousands of near copies costs few comparisons a text.
+    add.  At first every text is compared with the key's first.  Then each round takes
+    some texts of every key that is not yet one component (all of small keys, 32
+    times as many of the others as before), none of them in the component of the key's
+    first text, and compares each with all texts of the key outside its own component.
+    A text so taken is done with in that key; the rounds end when every key is one
+    component or all its other texts are done, so no pair is left out and a group of
+    thousands of near copies costs few comparisons a text.
     """
-    labels, edges, done, k = sets.select("sid", F.col("sid").alias("c")), None, None, 1
+
+    def compare(met: DataFrame, labels: DataFrame) -> DataFrame:
+        pairs = stored(met.select(F.least("sid", "a").alias("u"), F.greatest("sid", "a").alias("v")).distinct(), "sim-pairs")
+        return _united(labels, _as_similar(pairs, texts, size, similarity))
+
+    keys = members.groupBy("key").agg(F.count("*").alias("texts"), F.min(F.struct(F.col("sid").alias("a"), F.col("n").alias("na"))).alias("first")).where("texts > 1")
+    members = stored(members.join(keys.select("key", "texts", "first.*"), "key"), "sim-members")
+    labels = compare(members.where("sid <> a").where(_could("n", "na", similarity)), sets.select("sid", F.col("sid").alias("c")))
+    members, done, k = members.select("key", "sid", "n", "texts", F.col("a").alias("first")), None, 32
     while True:
         named = members.join(labels, "sid")
-        state = stored(named.groupBy("key").agg(F.min_by("c", "sid").alias("main"), F.count("*").alias("texts"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "main", "texts"), "sim-open")
-        members = stored(members.join(state.select("key"), "key", "left_semi"), "sim-members")
-        waiting = members.join(labels, "sid").join(state, "key").where("c <> main")
+        state = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("sid") == F.col("first"), F.col("c"))).alias("main")).where("lo <> hi")
+        members = stored(named.join(_small(stored(state.select("key", "main"), "sim-open")), "key"), "sim-members")
+        waiting = members.where("c <> main")
         if done is not None:
             waiting = waiting.join(done, ["key", "sid"], "left_anti")
-        lot = F.pmod(F.xxhash64("sid", F.lit(k)), F.lit(k))
-        lot = lot if k == 1 else F.when(F.col("texts") <= SMALL_KEY, F.col("sid")).otherwise(lot)
-        taken = stored(waiting.groupBy("key", lot.alias("lot")).agg(F.min("sid").alias("sid")).select("key", "sid"), "sim-taken")
+        lot = F.when(F.col("texts") <= SMALL_KEY, F.col("sid")).otherwise(F.pmod(F.xxhash64("sid", F.lit(k)), F.lit(k)))
+        taken = stored(waiting.groupBy("key", lot.alias("lot")).agg(F.min(F.struct(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))).alias("t")).select("key", "t.*"), "sim-taken")
         if taken.isEmpty():
             return labels
-        own = labels.join(sets.select("sid", "n"), "sid")
-        pivots = taken.join(own, "sid").select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        met = members.join(labels, "sid").join(pivots, "key").where(F.col("c") != F.col("ca")).where(_could("n", "na", similarity))
-        pairs = stored(met.select(F.least("sid", "a").alias("u"), F.greatest("sid", "a").alias("v")).distinct(), "sim-pairs")
-        alike = _as_similar(pairs, texts, size, similarity)
-        edges = stored(alike if edges is None else edges.unionAll(alike), "sim-edges")
-        labels = _united(sets, edges)
+        labels = compare(members.join(taken, "key").where("c <> ca").where(_could("n", "na", similarity)), labels)
+        members = members.join(_small(taken.select("key").distinct()), "key", "left_semi").select("key", "sid", "n", "texts", "first")
+        taken = taken.select("key", F.col("a").alias("sid"))
         done = taken if done is None else stored(done.unionAll(taken), "sim-done")
-        k *= 8
+        k *= 32
 
 
 def similar_classes(docs: DataFrame, size: int = 5, differing: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
@@ -284,8 +295,7 @@ def similar_classes(docs: DataFrame, size: int = 5, differing: int = 5, similari
     texts = rows.select("sid", "text")
     sets = stored(rows.groupBy("sid").agg(F.min("doc_id").alias("low"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bands").alias("bands")), "sim-sets")
     dealt = sets.select(F.explode(F.concat(F.array(F.xxhash64(F.lit("fp"), "fp")), "bands")).alias("key"), "sid", "n")
-    shared = dealt.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
-    labels = _compared_keys(sets, stored(dealt.join(shared, "key"), "sim-bands"), texts, size, similarity)
+    labels = _compared_keys(sets, dealt, texts, size, similarity)
     # Fingerprints that differ stand for the texts that have them; only pairs of different components are left to compare.
     byfp = stored(sets.join(labels, "sid").select("fp", "sid", "n", "c"), "sim-byfp")
     near = links(byfp.select("fp").distinct(), differing, group)
@@ -295,8 +305,7 @@ def similar_classes(docs: DataFrame, size: int = 5, differing: int = 5, similari
     met = left.join(side("u", 1), ["u", "c1"]).join(side("v", 2), ["v", "c2"]).where(_could("n1", "n2", similarity))
     pairs = stored(met.select(F.least("s1", "s2").alias("u"), F.greatest("s1", "s2").alias("v")).distinct(), "sim-pairs")
     alike = _as_similar(pairs, texts, size, similarity)
-    stars = labels.where("sid <> c").select(F.col("sid").alias("u"), F.col("c").alias("v"))
-    found = _united(sets, stars.unionAll(alike))
+    found = _united(labels, alike)
     joined = stored(sets.select("sid", "low").join(found, "sid"), "sim-joined")
     lows = stored(joined.groupBy("c").agg(F.min("low").alias("component_id")), "sim-lows")
     named = stored(joined.join(lows, "c").select("sid", "component_id"), "sim-named")
