@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import huffman
 from .common import _TABLES, need, read, shared_dir, stored
+from .wordscan import KEY_BYTES, keys_of
 
 #: Longest code in bits; a window of that many bits indexes the decoding table.
 CODE_LIMIT = 18
@@ -24,8 +25,8 @@ CODE_LIMIT = 18
 BLOCK_IDS = 1 << 16
 #: Ids between two bit-offset checkpoints.
 CHECKPOINT_IDS = 128
-#: Slots of a worker's table of pieces, and the most bytes and ids of a piece that is kept there.
-SLOTS, KEY_BYTES, KEPT_IDS = 1 << 20, 24, 8
+#: Slots of a worker's table of pieces, and the most ids of a piece that is kept there.
+SLOTS, KEPT_IDS = 1 << 20, 8
 #: Bytes of text that are cut and looked up at once.
 WINDOW = 1 << 20
 
@@ -58,30 +59,18 @@ class Pieces:
         self.n = np.zeros(slots, np.uint8)
         self.ids = np.zeros((slots, KEPT_IDS), dtype)
 
-    MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-    #: Odd multipliers of the slot's number; any would do.
-    TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-
-    def keys_of(self, x: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Words of each piece (zero where it has ended) and its slot; ``x`` has 32 bytes after its end."""
-        words = np.ndarray((len(x) - 7,), "<u8", np.ascontiguousarray(x), 0, (1,))
-        keys = [words[starts + 8 * k] & self.MASKS[np.clip(size - 8 * k, 0, 8)] for k in range(2)]
-        third, long = np.zeros(len(starts), np.uint64), np.flatnonzero(size > 16)
-        third[long] = words[starts[long] + 16] & self.MASKS[np.clip(size[long] - 16, 0, 8)]
-        keys.append(third)
-        mixed = size.astype(np.uint64)
-        for key, turn in zip(keys, self.TURNS, strict=True):
-            mixed = (mixed ^ key) * turn
-            mixed ^= mixed >> np.uint64(32)
-        return keys, ((mixed * self.TURNS[0]) >> self.shift).astype(np.int64)
-
-    def holds(self, keys: list[np.ndarray], size: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    def keys_of(self, x: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Key of each piece and its slot; ``x`` has 32 bytes after its end."""
+        keys, mixed = keys_of(x, starts, size)
+        return keys, (mixed >> self.shift).astype(np.int64)
+
+    def holds(self, keys: np.ndarray, size: np.ndarray, slot: np.ndarray) -> np.ndarray:
         found = (self.size[slot] == size) & (size <= KEY_BYTES)
         for own, key in zip(self.keys, keys, strict=True):
             found &= own[slot] == key
         return found
 
-    def put(self, keys: list[np.ndarray], size: np.ndarray, slot: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+    def put(self, keys: np.ndarray, size: np.ndarray, slot: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
         """``ids`` of all pieces one after the other, ``n`` of each; those that fit are kept."""
         keep = np.flatnonzero((size <= KEY_BYTES) & (n <= KEPT_IDS))
         slot, first = np.unique(slot[keep], return_index=True)
@@ -214,7 +203,7 @@ class Encoder:
         out[old] = kept
         out[~old] = made[_spans((np.cumsum(counts) - counts)[which], counts[which])]
         first = missing[np.unique(which, return_index=True)[1]]  # pieces are numbered as they come
-        self.pieces.put([k[first] for k in keys], size[first], slot[first], made, counts)
+        self.pieces.put(keys[:, first], size[first], slot[first], made, counts)
         upto = np.concatenate([[0], np.cumsum(n)])
         return out, upto[np.searchsorted(starts, ends)] - upto[np.searchsorted(starts, begins)]
 
