@@ -16,8 +16,8 @@ from .common import bucket, need, read, stored, words
 #: Hashed features, and how many of them a model may weigh.
 FEATURES = 1 << 20
 CHOSEN = 1 << 14
-#: Bounds of the training sample: confirmed positives and unlabelled documents.
-MAX_POSITIVE, MAX_UNLABELLED = 3_000, 6_000
+#: Default bounds of the training sample (see ``train``).
+MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
 #: Lengths of the word beginnings that are features beside the whole word.
 STEMS = (4, 5, 6)
 #: Words whose features a worker remembers; beyond that it starts afresh.
@@ -71,15 +71,12 @@ class Model:
 
 
 class Rows:
-    """Sparse 0/1 rows over the chosen features."""
+    """Sparse 0/1 rows; each is an array of column numbers."""
 
-    def __init__(self, rows: list[np.ndarray], chosen: np.ndarray):
-        at = np.full(FEATURES, -1, np.int32)
-        at[chosen] = np.arange(len(chosen))
-        mapped = [(m := at[r])[m >= 0] for r in rows]
-        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(m) for m in mapped])
-        self.col = np.concatenate(mapped) if mapped else np.zeros(0, np.int32)
-        self.n, self.width = len(rows), len(chosen)
+    def __init__(self, rows: list[np.ndarray], width: int):
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        self.col = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+        self.n, self.width = len(rows), width
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.col], self.n)
@@ -88,79 +85,126 @@ class Rows:
         return np.bincount(self.col, v[self.row], self.width)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, lasso: float = 2e-4) -> Model:
-    """Minimise the non-negative PU risk with the logistic loss.
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def risk(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Non-negative PU risk of scores of positives and unlabelled, and the derivatives that are followed.
+
+    risk = prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]), l(g) = log(1 + exp(-g)).
+    Where the corrected negative part is below zero its own gradient is followed
+    upwards instead of the risk's downwards, as the estimator prescribes.
+    """
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    value = prior * np.logaddexp(0, -gp).mean() + max(0.0, negative)
+    neg_p, neg_u = -prior * _sigmoid(gp) / len(gp), _sigmoid(gu) / len(gu)
+    if negative >= 0:
+        return value, prior * (_sigmoid(gp) - 1) / len(gp) + neg_p, neg_u
+    return value, -neg_p, -neg_u
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], features: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, lasso: float = 2e-4) -> Model:
+    """Minimise the non-negative PU ``risk`` of a linear model; rows hold places in ``features``.
 
-    risk = prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]).
-    Where the corrected negative part falls below zero its gradient is followed
-    upwards instead, as the estimator prescribes.  Features are those whose share
-    among the positives stands out most from that among the unlabelled, by a
-    chi-square; steps are Adam with a proximal step that zeroes small weights.
+    Steps are Adam with a proximal step that zeroes small weights.
     """
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
-    np_, nu = len(positive), len(unlabelled)
-    dp, du = (sum((np.bincount(np.concatenate(x[k : k + 500]), minlength=FEATURES) for k in range(0, len(x), 500)), np.zeros(FEATURES, np.int64)) for x in (positive, unlabelled))
-    p, u = dp / np_, du / nu
-    pool = (dp + du) / (np_ + nu)
-    z = (p - u) ** 2 / np.maximum(pool * (1 - pool), 1e-12) * (np_ * nu / (np_ + nu))
-    z[dp + du < 5] = 0
-    chosen = np.sort(np.argsort(-z, kind="stable")[:CHOSEN])
-    chosen = chosen[z[chosen] > 6.6]
-    xp, xu = Rows(positive, chosen), Rows(unlabelled, chosen)
-    w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+    xp, xu = Rows(positive, len(features)), Rows(unlabelled, len(features))
+    w, b = np.zeros(len(features)), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(len(features) + 1), np.zeros(len(features) + 1)
     for k in range(1, rounds + 1):
-        gp, gu = xp.dot(w) + b, xu.dot(w) + b
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        # Derivatives by the scores: l(g) = log(1 + exp(-g)), l(-g) = log(1 + exp(g)).
-        neg_p, neg_u = -prior * sigmoid(gp) / np_, sigmoid(gu) / nu
-        if negative >= 0:
-            by_p, by_u = prior * (sigmoid(gp) - 1) / np_ + neg_p, neg_u
-        else:
-            by_p, by_u = -neg_p, -neg_u
+        _, by_p, by_u = risk(xp.dot(w) + b, xu.dot(w) + b, prior)
         grad = np.concatenate([xp.transposed_dot(by_p) + xu.transposed_dot(by_u), [by_p.sum() + by_u.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
         shrink = rate * lasso / (np.sqrt(v[:-1] / (1 - 0.999**k)) + 1e-8)
         w = np.sign(w) * np.maximum(0, np.abs(w) - np.minimum(shrink, rate))
-    return Model(chosen, w, float(b))
+    return Model(features, w, float(b))
+
+
+def _sample(texts: DataFrame, marks: DataFrame, max_positive: int, max_unlabelled: int) -> DataFrame:
+    """``(doc_id, p, u, f)``: features of the documents to learn from, by id, and whether they are a positive, an unlabelled one, or both.
+
+    Ids are chosen without their texts, by smallest hash.  Unlabelled are documents
+    of ``marks`` whatever their label there, or, where it has no other label than 1,
+    any documents.  Of rows that share an id the one of smallest features counts.
+    """
+    positive = marks.where("y = 1")
+    pool = marks if not marks.where("y <> 1").isEmpty() else texts.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    choose = lambda df, most, salt: df.select("doc_id", F.xxhash64(F.lit(salt), "doc_id").alias("o")).orderBy("o").limit(most).select("doc_id")
+    p = choose(positive, max_positive, "p").select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u"))
+    u = choose(pool, max_unlabelled, "u").select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u"))
+    ids = stored(p.unionAll(u).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u")), "tox-ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([document_features(t.as_py()).tobytes() for t in b.column(3)], pa.binary())], ["doc_id", "p", "u", "f"])
 
+    # The bounds of the sample bound what is broadcast.
+    rows = texts.join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("string"), "p", "u", "text").mapInArrow(run, "doc_id string, p int, u int, f binary")
+    return stored(rows.groupBy("doc_id", "p", "u").agg(F.min("f").alias("f")), "tox-sample")
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+
+def _standing_out(sample: DataFrame, np_: int, nu: int) -> np.ndarray:
+    """The features whose share among the positives stands out most from that among the unlabelled, by a chi-square."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, u = np.zeros(FEATURES, np.int32), np.zeros(FEATURES, np.int32)
+        for b in batches:
+            for is_p, is_u, f in zip(*(b.column(k) for k in (1, 2, 3)), strict=True):
+                own = np.frombuffer(f.as_buffer(), np.uint32)
+                p[own] += is_p.as_py()
+                u[own] += is_u.as_py()
+        got = np.flatnonzero(p | u)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (got, p[got], u[got])], ["feature", "p", "u"])
+
+    counts = sample.mapInArrow(run, "feature int, p int, u int").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p + u >= 5")
+    pool = (F.col("p") + F.col("u")) / F.lit(np_ + nu)
+    z = F.pow(F.col("p") / F.lit(np_) - F.col("u") / F.lit(nu), 2) / F.greatest(pool * (1 - pool), F.lit(1e-12)) * F.lit(np_ * nu / (np_ + nu))
+    best = counts.select("feature", z.alias("z")).where("z > 6.6").orderBy(F.desc("z"), "feature").limit(CHOSEN)
+    return np.array(sorted(r["feature"] for r in best.select("feature").collect()), np.int64)  # CHOSEN rows at most
+
+
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """Learn from documents confirmed toxic in ``labels`` and from text without regard to its labels.
 
-    Labelled negatives are used for the class prior alone (the share of 1 among the
-    labels given), unless ``prior`` is given.  At most 3,000 positives and 6,000
-    unlabelled documents, those of smallest hash, are gathered.
+    ``max_positive`` confirmed and ``max_unlabelled`` other documents bound the sample
+    of labelled rows that the model is fitted on: those of smallest hash of the id.
+    Unlabelled text is that of documents of ``labels``, their labels ignored, or any
+    text where ``labels`` knows toxic documents only.  Labelled negatives are used for
+    the class prior alone (the share of 1 among all labels given), unless ``prior`` is
+    given.  Of rows that share an id one is learned from; of labels that disagree the
+    larger counts; null ids and labels are ignored.  Features are computed and counted
+    in the tasks; at most 16,384 of them and the sample's places in them reach the driver.
     """
     texts = need(docs, (id_col, text_col)).toDF("doc_id", "text")
-    marks = need(labels, (id_col, label_col)).toDF("doc_id", "y").where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
+    marks = stored(need(labels, (id_col, label_col)).toDF("doc_id", "y").where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y")), "tox-marks")
     if prior is None:
         share = marks.agg(F.avg((F.col("y") == 1).cast("double")).alias("p")).first()["p"]
         prior = min(0.9, max(1e-4, share)) if share is not None else 1e-4
-    order = F.xxhash64("doc_id", "text")
+    sample = _sample(texts, marks, max_positive, max_unlabelled)
+    size = sample.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.coalesce(F.sum("u"), F.lit(0)).alias("u")).first()
+    if not size["p"] or not size["u"]:
+        return fit([], [], np.zeros(0, np.int64), prior)
+    features = _standing_out(sample, size["p"], size["u"])
 
-    def gather(rows: DataFrame, most: int) -> list[np.ndarray]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([document_features(t.as_py()).tobytes() for t in b.column(0)], pa.binary())], ["f"])
-
-        # The ids of the sample are found without their texts.
-        return [np.frombuffer(r["f"], np.uint32) for r in rows.select("text").limit(most).mapInArrow(run, "f binary").collect()]
-
-    def smallest(rows: DataFrame, most: int) -> DataFrame:
-        ids = rows.select("doc_id", order.alias("o")).orderBy("o").limit(most).select("doc_id").distinct()
-        return texts.join(F.broadcast(ids), "doc_id", "left_semi")  # at most ``most`` ids
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.full(FEATURES, -1, np.int32)
+        at[features] = np.arange(len(features))
+        for b in batches:
+            rows = [(m := at[np.frombuffer(f.as_buffer(), np.uint32)])[m >= 0].astype(np.uint16).tobytes() for f in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rows, pa.binary())], ["doc_id", "p", "u", "f"])
 
-    positive = texts.join(F.broadcast(marks.where("y = 1").select("doc_id", F.xxhash64("doc_id").alias("o")).orderBy("o").limit(MAX_POSITIVE).select("doc_id")), "doc_id", "left_semi")
-    return fit(gather(positive, 2 * MAX_POSITIVE), gather(smallest(texts, MAX_UNLABELLED), 2 * MAX_UNLABELLED), prior)
+    got = sample.mapInArrow(place, "doc_id string, p int, u int, f binary").orderBy("doc_id").collect()  # the sample's bounds
+    rows = lambda k: [np.frombuffer(r["f"], np.uint16) for r in got if r[k]]
+    return fit(rows("p"), rows("u"), features, prior)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` columns asked for plus ``score`` and ``predicted``: ``(doc_id, score, predicted)``."""
+    """``(doc_id, score, predicted)`` of every row; a null or empty text has the score of no features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
@@ -189,7 +233,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs`` without those predicted toxic; all columns stay."""
+    """``docs`` without those predicted toxic; all columns stay.
+
+    Rows are judged by their text alone, so ids may repeat or be null; null and empty
+    texts get the score of a text without features.  Training is as in
+    ``toxicity_scores``.  An empty table stays empty.
+    """
     model = train(docs.where(~held_out()), labels.where(~held_out()))
     names = docs.columns
 

@@ -177,7 +177,47 @@ def test_toxicity_held_out(spark):
 
 
 def test_non_negative_risk_falls_back_to_the_prior():
-    assert toxicity.fit([], [], 0.2).scorer()("any text") == pytest.approx(0.2)
+    assert toxicity.fit([], [], np.zeros(0, int), 0.2).scorer()("any text") == pytest.approx(0.2)
+
+
+@pytest.mark.parametrize("shift", [0.0, -6.0])
+def test_risk_and_gradient_against_a_plain_form(shift):
+    rng = random.Random(8)
+    gp, gu, prior = [rng.gauss(2, 2) for _ in range(7)], [rng.gauss(0, 2) + shift for _ in range(19)], 0.3
+
+    def parts(gp, gu):
+        loss = lambda g: np.log(1 + np.exp(-g))
+        positive = prior * sum(loss(g) for g in gp) / len(gp)
+        return positive, sum(loss(-g) for g in gu) / len(gu) - prior * sum(loss(-g) for g in gp) / len(gp)
+
+    positive, negative = parts(gp, gu)
+    assert (negative < 0) == (shift < 0)  # both sides of the correction
+    value, by_p, by_u = toxicity.risk(np.array(gp), np.array(gu), prior)
+    assert value == pytest.approx(positive + max(0, negative))
+    followed = lambda gp, gu: sum(parts(gp, gu)) if negative >= 0 else -parts(gp, gu)[1]
+    for scores, by in ((gp, by_p), (gu, by_u)):
+        for k in range(len(scores)):
+            kept = scores[k]
+            scores[k] = kept + 1e-5
+            up = followed(gp, gu)
+            scores[k] = kept - 1e-5
+            assert by[k] == pytest.approx((up - followed(gp, gu)) / 2e-5, abs=1e-7)
+            scores[k] = kept
+
+
+def test_training_ignores_repeated_ids_and_bounds_its_sample(spark):
+    docs, labels, bad = corpus(spark, 800)
+    again = docs.where("doc_id = 8").withColumn("n_chars", F.explode(F.sequence(F.lit(1), F.lit(500)))).select(docs.columns)
+    known = labels.where("toxic = 1").agg(F.min("doc_id")).first()[0]
+    odd = labels.unionAll(spark.createDataFrame([(known, 0, None), (None, 0, 1), (known, 0, 0)], labels.schema))
+    one, two = toxicity.train(docs, labels), toxicity.train(docs.unionAll(again), odd)
+    assert (one.features == two.features).all() and one.weights == pytest.approx(two.weights)
+    few = toxicity.train(docs, labels.where("toxic = 1"), prior=0.125, max_positive=50, max_unlabelled=300)  # confirmed toxic documents alone
+    score = few.scorer()
+    said = {r.doc_id: score(r.text) >= 0.3 for r in docs.collect()}
+    assert sum(said[i] == (i in bad) for i in said) / len(said) > 0.9
+    kept = toxicity.drop_toxic(docs.unionAll(spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0)], DOC)).withColumn("f", F.lit("clash")), labels)
+    assert kept.where("doc_id IS NULL").count() == 2 and "f" in kept.columns and toxicity.drop_toxic(docs.where("false"), labels).count() == 0
 
 
 # Decontamination ---------------------------------------------------------------
