@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
@@ -15,55 +14,84 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share for intermediate data.
+    """The folder that driver and executors share for intermediate data: ``spark.checkpoint.dir`` of the session.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset
-    (single-machine tests) a temporary folder is made and set.
+    Where that is unset and no checkpoint folder was set either, there is no folder
+    that is known to be shared, and an error says so; tests set one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-        found = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return found.rstrip("/")
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Send rows to Python a thousand at a time, unless the session says otherwise.
+    """Send rows to Python a thousand at a time in this session, where it has Spark's default of 10,000.
 
-    The default of 10,000 rows buffers as many whole texts on both sides of the pipe.
+    The default buffers as many whole texts on both sides of the pipe.  This changes
+    the session's setting; one that is to stay at 10,000 can say 9,999.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, "1000")
 
 
-def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "snappy", measures: dict[str, Column] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation.
     Unlike ``checkpoint()`` the table carries no partitioning, so a later join
-    deals both sides anew and adaptive execution can split hot keys.
+    deals both sides anew and adaptive execution can split hot keys.  ``measures``
+    are aggregates taken while writing; ``measured`` has them.
     """
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    seen = Observation() if measures else None
+    rows = df.observe(seen, *[c.alias(k) for k, c in measures.items()]) if measures else df
+    rows.write.option("compression", compression).parquet(path)
     _TABLES.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at, out._measured = path, dict(seen.get) if measures else {}
+    return out
+
+
+def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``stored``, and how many rows were written."""
+    out = stored(df, label, measures={"n": F.count(F.lit(1))})
+    return out, out._measured.get("n", 0)
 
 
 _TABLES: list[str] = []
 
 
+def _delete(spark: SparkSession, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the intermediate tables written so far; call it once results are saved."""
     done = 0
     while _TABLES:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        done += _delete(spark, _TABLES.pop())
     return done
 
 
+def marked() -> int:
+    """Where the list of intermediate tables ends now, for ``discard``."""
+    return len(_TABLES)
+
+
+def discard(spark: SparkSession, mark: int, *kept: DataFrame) -> None:
+    """Delete the tables written since ``mark`` but those of ``kept``, which were written from them."""
+    keep = {df._stored_at for df in kept}
+    gone = [t for t in _TABLES[mark:] if t not in keep]
+    for t in gone:
+        _delete(spark, t)
+        _TABLES.remove(t)
+
+
 def lower_ascii(text: Column | str) -> Column:
     """Lower-case A-Z only, whatever the locale."""
     return F.translate(F.col(text) if isinstance(text, str) else text, _UPPER, _UPPER.lower())

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, marked, stored
 
-
-def _print(edges: DataFrame) -> tuple[int, int]:
+def _state() -> dict[str, Column]:
     """Row count and an order-free digest, to see whether a round changed anything."""
-    row = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
-    return row["n"], row["x"] or 0
+    return {"n": F.count(F.lit(1)), "x": F.expr("bit_xor(xxhash64(a, b))")}
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
@@ -27,19 +25,21 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     An empty table gives an empty result.  Ids may be of any ordered type.
     """
     x, y = F.col(f"`{u}`"), F.col(f"`{v}`")
-    e = stored(edges.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "cc-edges")
-    state = _print(e)
-    if not state[0]:
+    e = stored(edges.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "cc-edges", measures=_state())
+    state = e._measured
+    if not state.get("n"):
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(max_rounds):
+        mark = marked()
         both = e.select(F.col("a").alias("n"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("n"), F.col("a").alias("v")))
         low = stored(both.groupBy("n").agg(F.min("v").alias("m")).select("n", F.least("n", "m").alias("m")), "cc-low")
         large = both.where("v > n").join(low, "n").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = stored(large, "cc-large")
         root = stored(large.groupBy("a").agg(F.min("b").alias("m")), "cc-root")
         small = large.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(root.select("a", F.col("m").alias("b"))).distinct()
-        e = stored(small, "cc-edges")
-        before, state = state, _print(e)
+        e = stored(small, "cc-edges", measures=_state())
+        discard(e.sparkSession, mark, e)
+        before, state = state, e._measured
         if before == state:
             break
     else:

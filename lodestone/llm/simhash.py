@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import need, read, stored, words
+from .common import counted, discard, marked, need, read, stored, words
 from .components import connected_components
 
 #: Texts are hashed this many shingles at a time, however long they are.
@@ -85,14 +85,14 @@ def variants(bits: list[int], differing: int) -> list[tuple[int, int]]:
 
 
 def _signatures(fps: DataFrame, bits: list[int], differing: int, nested: bool) -> DataFrame:
-    """Rows (fp, key, no, wild): fingerprints with one key agree in segment variant ``no``, but for the wild bit.
+    """Rows (fp, c, key, no, wild): fingerprints with one key agree in segment variant ``no``, but for the wild bit.
 
     The key is a digest; were two to collide, the pairs would fail verification.
     """
     masks = F.array(*[F.struct(F.lit(k).alias("no"), F.lit(_signed(keep)).alias("keep"), F.lit(_signed(wild)).alias("wild")) for k, (keep, wild) in enumerate(variants(bits, differing))])
     above = [F.col("above")] if nested else []
     rows = fps.withColumn("m", F.explode(masks))
-    return rows.select("fp", F.xxhash64(F.col("m.no"), F.expr("fp & m.keep"), *above).alias("key"), F.col("m.no").alias("no"), F.col("m.wild").alias("wild"))
+    return rows.select("fp", "c", F.xxhash64(F.col("m.no"), F.expr("fp & m.keep"), *above).alias("key"), F.col("m.no").alias("no"), F.col("m.wild").alias("wild"))
 
 
 def _verified(a: str, b: str, differing: int) -> Column:
@@ -109,25 +109,30 @@ def links(fps: DataFrame, differing: int, group: int = GROUP) -> DataFrame:
     so unlinked pairs are never rows.  A key above that is never compared within:
     its members are cut again over the bits the key leaves open, with the same
     argument, until the groups are small or no bits are left to tell them apart.
+    With a column ``c`` (a component known already) only pairs of different ``c``
+    are found; a fingerprint may then be in several rows.
     """
     found = []
+    known = "c" in fps.columns
+    fps = fps if known else fps.withColumn("c", F.col("fp"))
     # Each entry: fingerprints (below the first level with the key above), and the bits still open.
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row becomes dozens of signatures, so rows are dealt first
     queue: list[tuple[DataFrame, list[int], bool]] = [(fps.repartition(parts, "fp"), list(range(64)), False)]
     while queue:
         rows, bits, nested = queue.pop()
         signed = _signatures(rows, bits, differing, nested)
-        stats = stored(signed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "sim-keys")
+        ends = [F.min("c").alias("cl"), F.max("c").alias("ch")] if known else []
+        stats = signed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), *ends).where("n > 1 AND lo <> hi")
+        stats = stored(stats.where("cl <> ch") if known else stats, "sim-keys")
         found.append(stats.where("n = 2").where(_verified("lo", "hi", differing)).select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        more = stats.where("n > 2").select("key", "n")
-        crowded = more.count()
+        more, crowded = counted(stats.where("n > 2").select("key", "n"), "sim-crowded")
         if not crowded:
             continue
         members = stored(signed.join(F.broadcast(more) if crowded <= BROADCAST_KEYS else more, "key"), "sim-members")
         some = members.where(F.col("n") <= group)
-        a, b = some.select("key", "wild", F.col("fp").alias("u")), some.select("key", F.col("fp").alias("v"))
+        a, b = some.select("key", "wild", F.col("fp").alias("u"), F.col("c").alias("cu")), some.select("key", F.col("fp").alias("v"), F.col("c").alias("cv"))
         # With a wild bit only the two values of that bit are new to each other; equal ones meet under the whole segment.
-        found.append(a.join(b, "key").where("u < v").where("wild = 0 OR ((u ^ v) & wild) <> 0").where(_verified("u", "v", differing)).select("u", "v"))
+        found.append(a.join(b, "key").where("u < v").where("cu <> cv").where("wild = 0 OR ((u ^ v) & wild) <> 0").where(_verified("u", "v", differing)).select("u", "v"))
         large = members.where(F.col("n") > group)
         if large.isEmpty():
             continue
@@ -135,7 +140,7 @@ def links(fps: DataFrame, differing: int, group: int = GROUP) -> DataFrame:
         for segment in cut(bits, differing // 2 + 1):
             last = first + len(segment)
             rest = [x for x in bits if x not in segment]
-            inside = large.where(F.col("no").between(first, last)).select("fp", F.col("key").alias("above"))
+            inside = large.where(F.col("no").between(first, last)).select("fp", "c", F.col("key").alias("above"))
             if rest:  # without further bits a key has two fingerprints at most
                 queue.append((inside, rest, True))
             first = last + 1
@@ -208,9 +213,10 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "sid long, own binary")
 
 
-def _small(keys: DataFrame) -> DataFrame:
-    """``keys``, to be broadcast if they are counted to be at most BROADCAST_KEYS."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+def _small(keys: DataFrame, label: str) -> DataFrame:
+    """``keys`` as a table, to be broadcast if they are counted to be at most BROADCAST_KEYS."""
+    table, n = counted(keys, label)
+    return F.broadcast(table) if n <= BROADCAST_KEYS else table
 
 
 def _as_similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -225,8 +231,8 @@ def _as_similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float
                 keep.append(both >= similarity * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["u", "v"])
 
-    asked = stored(pairs.select(F.col("u").alias("sid")).unionAll(pairs.select("v")).distinct(), "sim-asked")
-    held = stored(_sets(texts.join(_small(asked), "sid", "left_semi").dropDuplicates(["sid"]), size), "sim-sets-asked")
+    asked = _small(pairs.select(F.col("u").alias("sid")).unionAll(pairs.select("v")).distinct(), "sim-asked")
+    held = stored(_sets(texts.join(asked, "sid", "left_semi").dropDuplicates(["sid"]), size), "sim-sets-asked")
     a, b = held.select(F.col("sid").alias("u"), F.col("own").alias("p")), held.select(F.col("sid").alias("v"), F.col("own").alias("q"))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "p", "q").mapInArrow(run, "u long, v long")
 
@@ -257,8 +263,13 @@ def _compared_keys(sets: DataFrame, members: DataFrame, texts: DataFrame, size:
     """
 
     def compare(met: DataFrame, labels: DataFrame) -> DataFrame:
+        mark = marked()
         pairs = stored(met.select(F.least("sid", "a").alias("u"), F.greatest("sid", "a").alias("v")).distinct(), "sim-pairs")
-        return _united(labels, _as_similar(pairs, texts, size, similarity))
+        out = _united(labels, _as_similar(pairs, texts, size, similarity))
+        discard(spark, mark, out)
+        return out
+
+    spark, mark = sets.sparkSession, marked()
 
     keys = members.groupBy("key").agg(F.count("*").alias("texts"), F.min(F.struct(F.col("sid").alias("a"), F.col("n").alias("na"))).alias("first")).where("texts > 1")
     members = stored(members.join(keys.select("key", "texts", "first.*"), "key"), "sim-members")
@@ -267,16 +278,18 @@ def _compared_keys(sets: DataFrame, members: DataFrame, texts: DataFrame, size:
     while True:
         named = members.join(labels, "sid")
         state = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("sid") == F.col("first"), F.col("c"))).alias("main")).where("lo <> hi")
-        members = stored(named.join(_small(stored(state.select("key", "main"), "sim-open")), "key"), "sim-members")
+        members = stored(named.join(_small(state.select("key", "main"), "sim-open"), "key"), "sim-members")
         waiting = members.where("c <> main")
         if done is not None:
             waiting = waiting.join(done, ["key", "sid"], "left_anti")
         lot = F.when(F.col("texts") <= SMALL_KEY, F.col("sid")).otherwise(F.pmod(F.xxhash64("sid", F.lit(k)), F.lit(k)))
-        taken = stored(waiting.groupBy("key", lot.alias("lot")).agg(F.min(F.struct(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))).alias("t")).select("key", "t.*"), "sim-taken")
-        if taken.isEmpty():
+        taken, n = counted(waiting.groupBy("key", lot.alias("lot")).agg(F.min(F.struct(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))).alias("t")).select("key", "t.*"), "sim-taken")
+        if not n:
+            if hasattr(labels, "_stored_at"):
+                discard(spark, mark, labels)
             return labels
         labels = compare(members.join(taken, "key").where("c <> ca").where(_could("n", "na", similarity)), labels)
-        members = members.join(_small(taken.select("key").distinct()), "key", "left_semi").select("key", "sid", "n", "texts", "first")
+        members = members.join(F.broadcast(taken.select("key")) if n <= BROADCAST_KEYS else taken.select("key"), "key", "left_semi").select("key", "sid", "n", "texts", "first")
         taken = taken.select("key", F.col("a").alias("sid"))
         done = taken if done is None else stored(done.unionAll(taken), "sim-done")
         k *= 32
@@ -298,7 +311,7 @@ def similar_classes(docs: DataFrame, size: int = 5, differing: int = 5, similari
     labels = _compared_keys(sets, dealt, texts, size, similarity)
     # Fingerprints that differ stand for the texts that have them; only pairs of different components are left to compare.
     byfp = stored(sets.join(labels, "sid").select("fp", "sid", "n", "c"), "sim-byfp")
-    near = links(byfp.select("fp").distinct(), differing, group)
+    near = links(byfp.select("fp", "c").distinct(), differing, group)
     side = lambda x, k: byfp.select(F.col("fp").alias(x), F.col("sid").alias(f"s{k}"), F.col("n").alias(f"n{k}"), F.col("c").alias(f"c{k}"))
     left = near.join(side("u", 1).groupBy("u", "c1").agg(F.min("n1").alias("n1"), F.max("n1").alias("m1")), "u").join(side("v", 2).groupBy("v", "c2").agg(F.min("n2").alias("n2"), F.max("n2").alias("m2")), "v")
     left = stored(left.where("c1 <> c2").where((F.col("m1") >= similarity * F.col("n2")) & (F.col("m2") >= similarity * F.col("n1"))).select("u", "v", "c1", "c2"), "sim-left")

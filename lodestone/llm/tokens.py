@@ -319,7 +319,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     for r in found:
         counts[r["id"]] = r["n"]
     lengths = huffman.code_lengths(counts, max(limit, int(np.ceil(np.log2(max(2, np.count_nonzero(counts)))))))
-    spark.range(1).select(F.lit(bytearray(lengths.tobytes())).alias("lengths"), F.lit(CHECKPOINT_IDS).alias("every")).coalesce(1).write.parquet(f"{path}/codebook")
+    spark.createDataFrame([(bytearray(lengths.tobytes()), CHECKPOINT_IDS)], "lengths binary, every int").coalesce(1).write.parquet(f"{path}/codebook")
     codes = huffman.canonical_codes(lengths)
     bytes_each = np.dtype(dtype).itemsize
 
