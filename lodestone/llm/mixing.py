@@ -91,9 +91,46 @@ def solve_tilts(cells: DataFrame, targets: dict[str | None, float], totals: dict
             if step == tilts[s]:
                 open_.discard(s)
             tilts[s] = step
+    if open_:
+        raise RuntimeError(f"no tilt found in {rounds} rounds for {sorted(map(str, open_))[:5]}")
     return tilts
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """``rows(doc_id, text, source, ...)`` with their ``size`` in words and a ``hash`` of id and text."""
+    return rows.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("hash", F.xxhash64(F.lit(7), "doc_id", F.coalesce("text", F.lit(""))))
+
+
+def _rated(sized: DataFrame, plan: DataFrame, cap: int) -> DataFrame:
+    """With ``rate``, its ``whole`` part, and the ``order`` in which fractions are rounded up."""
+    rated = sized.join(F.broadcast(plan), sized.source.eqNullSafe(plan.k)).withColumn("rate", F.when(F.col("size") > 0, rate(F.col("tilt"), F.col("size") / F.col("mean"), cap)).otherwise(0.0))
+    part = F.col("rate") - F.floor("rate")
+    # A uniform number over the fraction: documents below a threshold near 1 are rounded up.
+    return rated.withColumn("whole", F.floor("rate").cast("long")).withColumn("order", F.when(part > 0, F.pmod("hash", F.lit(1 << 52)) / F.lit(float(1 << 52)) / part))
+
+
+def _copied(rated: DataFrame, limit: DataFrame) -> DataFrame:
+    return rated.join(F.broadcast(limit), rated.source.eqNullSafe(limit.c)).withColumn("copies", F.col("whole") + F.when(F.col("order") <= F.col("cut"), 1).otherwise(0))
+
+
+def _planned(slim: DataFrame, weights: Sequence[float], share: float, cap: int) -> tuple[DataFrame, DataFrame]:
+    """A row a source: what ``_rated`` and what ``_copied`` need to know of it."""
+    spark = slim.sparkSession
+    cells = stored(slim.groupBy("source", "size").agg(F.count("*").alias("docs")), "mix-cells")
+    found = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("words"), F.sum(F.when(F.col("size") > 0, F.col("docs")).otherwise(0)).alias("docs")).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+    sizes = [r["words"] for r in found]
+    shares = water_fill(sizes, [weights[k % len(weights)] for k in range(len(found))], share * sum(sizes), cap)
+    targets = {r["source"]: t for r, t in zip(found, shares, strict=True)}
+    totals = {r["source"]: (r["words"], r["docs"]) for r in found}
+    tilts = solve_tilts(cells, targets, totals, cap)
+    plan = _table(spark, [{"k": s, "source_size": totals[s][0], "mean": totals[s][0] / max(1, totals[s][1]), "target": targets[s], "tilt": tilts[s]} for s in targets], "k string, source_size long, mean double, target double, tilt double")
+    cuts = _thresholds(spark, _rated(slim, plan, cap), targets)
+    return plan, _table(spark, [{"c": s, "cut": c} for s, c in cuts.items()], "c string, cut double")
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(doc_id, size, source_size, target, taken, copies, rate)`` for every document.
 
@@ -109,32 +146,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     take nothing and have rate 0; a null id is hashed as such.  A source without words
     has target 0.  An empty table gives an empty result.  Further columns are ignored.
     """
-    spark = docs.sparkSession
     rows = need(docs, (id_col, text_col, source_col)).toDF("doc_id", "text", "source")
-    slim = stored(
-        rows.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(7), "doc_id", F.coalesce("text", F.lit(""))).alias("hash")), "mix-docs")
-    cells = stored(slim.groupBy("source", "size").agg(F.count("*").alias("docs")), "mix-cells")
-    found = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("words"), F.sum(F.when(F.col("size") > 0, F.col("docs")).otherwise(0)).alias("docs")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["words"] for r in found]
-    shares = water_fill(sizes, [weights[k % len(weights)] for k in range(len(found))], share * sum(sizes), cap)
-    targets = {r["source"]: t for r, t in zip(found, shares, strict=True)}
-    totals = {r["source"]: (r["words"], r["docs"]) for r in found}
-    tilts = solve_tilts(cells, targets, totals, cap)
-    plan = _table(spark, [{"k": s, "source_size": totals[s][0], "mean": totals[s][0] / max(1, totals[s][1]), "target": targets[s], "tilt": tilts[s]} for s in targets], "k string, source_size long, mean double, target double, tilt double")
-    rated = slim.join(F.broadcast(plan), slim.source.eqNullSafe(plan.k)).withColumn("rate", F.when(F.col("size") > 0, rate(F.col("tilt"), F.col("size") / F.col("mean"), cap)).otherwise(0.0))
-    whole = F.floor("rate").cast("long")
-    part = F.col("rate") - F.floor("rate")
-    # A uniform number over the fraction: documents below a threshold near 1 are rounded up.
-    order = F.when(part > 0, F.pmod("hash", F.lit(1 << 52)) / F.lit(float(1 << 52)) / part)
-    rated = rated.withColumn("whole", whole).withColumn("order", order)
-    cuts = _thresholds(spark, rated, targets)
-    limit = _table(spark, [{"c": s, "cut": c} for s, c in cuts.items()], "c string, cut double")
-    copies = F.col("whole") + F.when(F.col("order") <= F.col("cut"), 1).otherwise(0)
-    return rated.join(F.broadcast(limit), rated.source.eqNullSafe(limit.c)).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "rate")
+    slim = stored(_sized(rows).select("doc_id", "source", "size", "hash"), "mix-docs")
+    plan, limit = _planned(slim, weights, share, cap)
+    return _copied(_rated(slim, plan, cap), limit).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
 def _thresholds(spark: SparkSession, rated: DataFrame, targets: dict[str | None, float]) -> dict[str | None, float]:
@@ -189,15 +204,18 @@ def _lookup(values: dict[str | None, float]) -> Column:
     return F.when(F.col("source").isNull(), F.lit(values[None])).otherwise(out) if None in values else out
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: every document as often as it has copies, with the columns of ``docs``.
+def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it has copies, with all its columns.
 
-    Ids must be unique and not null where a document is to be left out or repeated;
-    rows that share an id get the copies of each of them in turn added up.
+    The copies are those of ``mix_sources``: a row's follow from its source, id and
+    text, so rows are neither shuffled nor told apart by their ids, which may repeat or
+    be null.  Rows without words are left out.  An empty table stays empty.
     """
-    plan = mix_sources(docs, id_col=id_col, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("__n"))
-    joined = docs.join(plan.withColumnRenamed("doc_id", "__id"), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__id", "__n", "__k")
+    rows = need(docs, (id_col, text_col, source_col)).toDF("doc_id", "text", "source")
+    plan, limit = _planned(stored(_sized(rows).select("source", "size", "hash"), "mix-docs"), weights, share, cap)
+    whole = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    copied = _copied(_rated(_sized(whole), plan, cap), limit).where("copies > 0")
+    return copied.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,11 +61,42 @@ def test_rates_solve_the_dual(spark):
 
 
 def test_mixed_rows_have_their_copies(spark):
-    docs = mix_docs(spark, 200).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    docs = mix_docs(spark, 200)
+    again = docs.where("doc_id < 60").withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(7).cast("long")))  # repeated and null ids
+    docs = docs.unionAll(again)
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
-    copies = {r.doc_id: r.copies for r in mixing.mix_sources(docs).collect() if r.copies}
-    assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == copies
+    plan = [r for r in mixing.mix_sources(docs).withColumnRenamed("rate", "r").collect() if r.copies]
+    got = [(r.doc_id, r.source, len(words(r.text))) for r in out.collect()]
+    assert sum(n for *_, n in got) == sum(r.taken for r in plan) and len(got) == sum(r.copies for r in plan)
+    sizes, targets = {}, {r.source_size: r.target for r in plan}
+    for r in docs.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len(words(r.text))
+    for s, size in sizes.items():
+        mine = [n for _, x, n in got if x == s]
+        if size in targets:
+            assert abs(sum(mine) - targets[size]) <= 2 * max(mine)
+    assert mixing.mixed(docs.where("false")).count() == 0
+
+
+def test_rates_against_a_plain_solver(spark):
+    docs = mix_docs(spark)
+    rows = mixing.mix_sources(docs).collect()
+    by = {}
+    for r in rows:
+        if r["size"]:
+            by.setdefault((r.source_size, r.target), []).append(r)
+    for (size, target), part in by.items():
+        mean, low, high = size / len(part), -50.0, 50.0
+        if target >= 2 * size - 1e-6:
+            continue
+        for _ in range(200):  # bisection on the one multiplier
+            mid = (low + high) / 2
+            if sum(r["size"] * min(2, np.exp(min(50, mid * r["size"] / mean))) for r in part) < target:
+                low = mid
+            else:
+                high = mid
+        assert all(r.rate == pytest.approx(min(2, np.exp(min(50, low * r["size"] / mean))), rel=1e-5) for r in part)
 
 
 # URLs --------------------------------------------------------------------------
