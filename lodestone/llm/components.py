@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +47,17 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     pairs = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the smallest it is linked with over the edges (i, j), directly or by steps."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

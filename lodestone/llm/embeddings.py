@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import need, read, stored
-from .components import connected_components
+from .components import connected_components, lowest
 
-#: Vectors compared as one block, and the most tiles that the bounded sample is cut into.
+#: Vectors compared as one block, and the most tiles that space is cut into (their boxes are on the driver).
 BLOCK = 1024
-TILES = 1024
+TILES = 1 << 13
 #: Vectors from which the tiles' cutting planes are taken (every vector is put in a tile).
 SAMPLE = 20_000
 #: Leading dimensions that tile boxes cover.
@@ -28,6 +28,12 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; they are brought near 1 by a power of two first, so that no square overflows or vanishes."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def second_moments(vectors: DataFrame, dim: int) -> np.ndarray:
     """Sum of outer products of the unit vectors; each task adds up its own, dim * dim numbers reach the driver."""
 
@@ -36,7 +42,7 @@ def second_moments(vectors: DataFrame, dim: int) -> np.ndarray:
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column(0), dim)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(x)
                 total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], ["k", "v"])
 
@@ -83,6 +89,7 @@ def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) ->
     the suffix norms.  Pairs that cannot reach the threshold are dropped, and the
     tile is left as soon as few are alive; those are settled by exact cosines.
     """
+    a, b = (np.ldexp(z, -np.frexp(np.abs(z).max(1, initial=0))[1][:, None]) for z in (a, b))  # exact, and no square overflows
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     x, y = (a / na[:, None]) @ axes, (b / nb[:, None]) @ axes
     dim = x.shape[1]
@@ -108,20 +115,6 @@ def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) ->
     return i[keep], j[keep]
 
 
-def _lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of ``n`` nodes the smallest it is linked with over the edges (i, j), directly or by steps."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def embedding_classes(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row for each vector.
 
@@ -136,22 +129,27 @@ def embedding_classes(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     blocks cover all vectors, and a tile of any size is dealt out in blocks of 1024.
 
     Vectors that are null, zero, or hold null or non-finite components link with
-    nothing; neither do vectors of another length than the most frequent (of
-    equally frequent ones the longest).  A null id is a vector like any other that
-    names no component unless all ids there are null; repeated ids stay apart.  An
-    empty table gives an empty result; further columns are ignored.
+    nothing; the others are compared with those of their own length, one length after
+    the other.  A null id is a vector like any other that names no component unless all
+    ids there are null; repeated ids stay apart.  An empty table gives an empty result;
+    further columns are ignored.  Components are compared in the precision they have.
     """
-    spark = vectors.sparkSession
-    rows = need(vectors, (id_col, vector_col)).toDF("vec_id", "embedding").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"))
+    rows = need(vectors, (id_col, vector_col)).toDF("vec_id", "embedding")
+    kind = "float" if dict(rows.dtypes)["embedding"] == "array<float>" else "double"
+    rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     sound = F.coalesce(~bad & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    lengths = rows.where(sound).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    dim = lengths[0]["d"] if lengths else 0
-    sound = sound & (F.size("embedding") == dim)
-    alone = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not lengths:
-        return alone
-    good = rows.where(sound)
+    out = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    lengths = rows.where(sound).select(F.size("embedding").alias("d")).distinct().collect()  # embeddings have few lengths
+    for dim in sorted(r["d"] for r in lengths):
+        out = out.unionAll(_classes_of(rows.where(sound & (F.size("embedding") == dim)), dim, threshold, kind))
+    return out
+
+
+def _classes_of(good: DataFrame, dim: int, threshold: float, kind: str) -> DataFrame:
+    """``embedding_classes`` of vectors of one length, none of them odd."""
+    spark = good.sparkSession
+    packed = np.float32 if kind == "float" else np.float64
     classes = stored(good.groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")).withColumn("cls", F.monotonically_increasing_id()), "emb-classes")
     axes = principal_axes(second_moments(classes, dim))
     n = classes.count()
@@ -160,20 +158,24 @@ def embedding_classes(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     lead = np.ascontiguousarray(axes[:, :box])
     chosen = classes.orderBy(F.xxhash64("cls")).limit(SAMPLE).select("embedding").toPandas()["embedding"]
     sample = np.stack(chosen.to_numpy()).astype(np.float64)
-    levels = cutting_planes(sample / np.linalg.norm(sample, axis=1, keepdims=True) @ lead, depth)
+    levels = cutting_planes(_unit(sample) @ lead, depth)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(1), dim)
-            p = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ lead
+            p = _unit(x) @ lead
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(tile_of(p, levels)), pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), box).cast(pa.list_(pa.float64()))], ["cls", "embedding", "copies", "tile", "lead"])
 
-    tiled = stored(classes.select("cls", "embedding", "copies").mapInArrow(place, "cls long, embedding array<float>, copies long, tile long, lead array<double>"), "emb-tiled")
+    tiled = stored(classes.select("cls", "embedding", "copies").mapInArrow(place, f"cls long, embedding array<{kind}>, copies long, tile long, lead array<double>"), "emb-tiled")
     corners = tiled.groupBy("tile").agg(F.count("*").alias("n"), *[f(F.col("lead")[k]).alias(f"{w}{k}") for k in range(box) for w, f in (("lo", F.min), ("hi", F.max))]).orderBy("tile").toPandas()  # at most TILES rows
     lo, hi = (corners[[f"{w}{k}" for k in range(box)]].to_numpy() for w in ("lo", "hi"))
-    gap = np.maximum(0, np.maximum(lo[:, None] - hi[None], lo[None] - hi[:, None]))
     # Unit vectors at cosine c are sqrt(2 - 2c) apart, and no projection stretches that.
-    near = np.argwhere(np.triu((gap**2).sum(2) <= 2 - 2 * threshold + EPS))
+    near = []
+    for k in range(len(lo)):
+        gap = np.maximum(0, np.maximum(lo[k] - hi[k:], lo[k:] - hi[k]))
+        close = np.flatnonzero((gap**2).sum(1) <= 2 - 2 * threshold + EPS) + k
+        near.append(np.stack([np.full(len(close), k), close], axis=1))
+    near = np.concatenate(near)
     parts = np.ceil(corners["n"].to_numpy() / BLOCK).astype(int)
     counts = dict(zip(corners["tile"].tolist(), parts.tolist(), strict=True))
     shares = F.element_at(F.create_map(*[F.lit(v) for kv in counts.items() for v in kv]), F.col("tile"))
@@ -181,7 +183,7 @@ def embedding_classes(vectors: DataFrame, threshold: float = 0.95, id_col: str =
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("cls")
-        return pd.DataFrame({"block": frame["block"].iloc[:1], "ids": [frame["cls"].to_numpy(np.int64).tobytes()], "copies": [frame["copies"].to_numpy(np.int64).tobytes()], "data": [np.stack(frame["embedding"].to_numpy()).astype(np.float32).tobytes()]})
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "ids": [frame["cls"].to_numpy(np.int64).tobytes()], "copies": [frame["copies"].to_numpy(np.int64).tobytes()], "data": [np.stack(frame["embedding"].to_numpy()).astype(packed).tobytes()]})
 
     blocks = stored(blocked.select("cls", "embedding", "copies", "block").groupBy("block").applyInPandas(pack, "block long, ids binary, copies binary, data binary"), "emb-blocks")
     pairs = pd.DataFrame({"ta": corners["tile"].to_numpy()[near[:, 0]], "tb": corners["tile"].to_numpy()[near[:, 1]], "na": parts[near[:, 0]], "nb": parts[near[:, 1]]})
@@ -196,7 +198,7 @@ def embedding_classes(vectors: DataFrame, threshold: float = 0.95, id_col: str =
             for r in range(batch.num_rows):
                 v = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
                 ia, ca, ib, cb = (np.frombuffer(v[c], np.int64) for c in ("ia", "ca", "ib", "cb"))
-                da, db = (np.frombuffer(v[c], np.float32).reshape(-1, dim).astype(np.float64) for c in ("da", "db"))
+                da, db = (np.frombuffer(v[c], packed).reshape(-1, dim).astype(np.float64) for c in ("da", "db"))
                 i, j = compare(da, db, axes, threshold)
                 if v["a"] == v["b"]:
                     up = i < j
@@ -211,7 +213,7 @@ def embedding_classes(vectors: DataFrame, threshold: float = 0.95, id_col: str =
                 j = j + shift
                 links = np.bincount(i, copies[j], size) + np.bincount(j, copies[i], size)
                 got = np.flatnonzero(links)
-                low = _lowest(size, i, j)
+                low = lowest(size, i, j)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[got]), pa.array(links[got].astype(np.int64)), pa.array(ids[low[got]])], ["cls", "links", "root"])
 
     matched = stored(joined.mapInArrow(match, "cls long, links long, root long"), "emb-matched")
@@ -222,7 +224,7 @@ def embedding_classes(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     lows = stored(told.groupBy("c").agg(F.min("low").alias("component_id")), "emb-lows")
     named = stored(told.join(lows, "c").select("embedding", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id"), "emb-named")
     linked = good.join(named, "embedding").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
-    return linked.unionAll(alone)
+    return linked
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

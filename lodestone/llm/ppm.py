@@ -22,6 +22,8 @@ ORDER = 4
 BLOCK_BYTES = 32_000_000
 #: Bytes handled at once inside a block.
 STEP = 2_000_000
+#: Text whose counts make a part of the key space, so that parts grow in number and not in size.
+PART_BYTES = 4_000_000
 #: These two never occur in UTF-8: what stands before a text, and its end.
 START, END = 0xFE, 0xFF
 SYMBOLS = 256
@@ -269,8 +271,8 @@ def score_documents(docs: DataFrame, learn: Column, order: int = ORDER, id_col:
     """
     if not 1 <= order <= 6:
         raise ValueError("order must be from 1 to 6")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = need(docs, (id_col, text_col)).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    parts = 1 + (rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // PART_BYTES
     table = stored(blocks(rows, F.coalesce(learn, F.lit(False)), order, parts), "ppm-blocks", compression="zstd")
     grams, found = table.where(F.col("kind") == GRAMS), table.where(F.col("kind") == WORDS)
 
@@ -389,7 +391,12 @@ class Trie:
 
 
 def adaptive_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, score)``: log10 probability of each text under a trie that starts empty and learns only that text."""
+    """``(doc_id, score)``: log10 probability of each text under a trie that starts empty and learns only that text.
+
+    A null text is empty; an empty one is its end alone.  Repeated rows and null ids are
+    scored each; an empty table gives an empty result.  The time of a text is in
+    proportion to its length.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

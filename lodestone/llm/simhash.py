@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import counted, discard, marked, need, read, stored, words
-from .components import connected_components
+from .components import connected_components, lowest
 
 #: Texts are hashed this many shingles at a time, however long they are.
 STEP = 1 << 16
@@ -24,6 +24,8 @@ BROADCAST_KEYS = 1_000_000
 BANDS, ROWS = 14, 5
 #: Keys of up to so many texts have all pairs compared at once; those of larger keys are taken in rounds.
 SMALL_KEY = 64
+#: Texts of a larger key that travel as one block.
+BLOCK = 128
 
 
 def shingles(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -237,6 +239,51 @@ def _as_similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float
     return pairs.join(a, "u").join(b, "v").select("u", "v", "p", "q").mapInArrow(run, "u long, v long")
 
 
+def _linked_blocks(members: DataFrame, pivots: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Rows ``(u, v)``, linked directly or by steps: ``pivots(key, a, ca)`` against ``members(key, sid, c, texts)`` of their keys.
+
+    Both sides are dealt in blocks, and a task compares two blocks; what it returns is
+    for every text the smallest row that it is linked with there, not the pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ps, ms in zip(b.column(0), b.column(1), strict=True):
+                (pid, pc, pown), (sid, c, own) = (([x.field("sid").to_numpy(), x.field("c").to_numpy(), [np.frombuffer(o.as_buffer(), np.uint64) for o in x.field("own")]]) for x in (ps.values, ms.values))
+                n = np.fromiter(map(len, own), np.int64, len(own))
+                every, first = np.concatenate(own), np.cumsum(n) - n
+                i, j = [], []
+                for k, p in enumerate(pown):
+                    could = (c != pc[k]) & (np.minimum(n, len(p)) >= similarity * np.maximum(n, len(p)))
+                    if could.any():
+                        at = np.minimum(np.searchsorted(p, every), len(p) - 1)
+                        both = np.add.reduceat((p[at] == every).astype(np.int64), first)
+                        got = np.flatnonzero(could & (both >= similarity * (n + len(p) - both)))
+                        i.append(np.full(len(got), len(own) + k))
+                        j.append(got)
+                if i:
+                    names = np.concatenate([sid, pid])
+                    low = lowest(len(names), np.concatenate(i), np.concatenate(j))
+                    told = np.flatnonzero(low != np.arange(len(names)))
+                    yield pa.RecordBatch.from_arrays([pa.array(names[told]), pa.array(names[low[told]])], ["u", "v"])
+
+    asked = _small(members.select("sid").distinct(), "sim-asked")
+    held = stored(_sets(texts.join(asked, "sid", "left_semi").dropDuplicates(["sid"]), size).where("length(own) > 0"), "sim-sets-asked")
+    lot = lambda x, n: F.pmod(F.xxhash64(F.lit("block"), x), F.ceil(n / BLOCK))
+    one = F.collect_list(F.struct("sid", "c", "own"))  # about BLOCK rows
+    left = pivots.withColumn("texts", F.lit(1)).select("key", F.col("a").alias("sid"), F.col("ca").alias("c"))
+    many = left.groupBy("key").agg(F.count("*").alias("texts"))
+    left = left.join(many, "key").join(held, "sid").groupBy("key", lot(F.col("sid"), F.col("texts")).alias("lot")).agg(one.alias("ps"))
+    right = members.join(held, "sid").groupBy("key", lot(F.col("sid"), F.col("texts")).alias("lot")).agg(one.alias("ms"))
+    spark, name = members.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8")  # a row is two blocks
+    try:
+        return stored(stored(left, "sim-pivots").drop("lot").join(stored(right, "sim-blocks").drop("lot"), "key").select("ps", "ms").mapInArrow(run, "u long, v long"), "sim-linked")
+    finally:
+        spark.conf.set(name, before)
+
+
 def _united(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """``labels(sid, c)`` after the components of both ends of each of ``pairs(u, v)`` are joined."""
     own, other = (labels.select(F.col("sid").alias(x), F.col("c").alias(y)) for x, y in (("u", "cu"), ("v", "cv")))
@@ -253,28 +300,34 @@ def _compared_keys(sets: DataFrame, members: DataFrame, texts: DataFrame, size:
     """``(sid, c)``: components over the pairs of ``members(key, sid, n)`` that share a key and are as similar.
 
     Texts of a key need not all be compared: those of one component have nothing to
-    add.  At first every text is compared with the key's first.  Then each round takes
-    some texts of every key that is not yet one component (all of small keys, 32
-    times as many of the others as before), none of them in the component of the key's
-    first text, and compares each with all texts of the key outside its own component.
-    A text so taken is done with in that key; the rounds end when every key is one
-    component or all its other texts are done, so no pair is left out and a group of
-    thousands of near copies costs few comparisons a text.
+    add.  At first every text is compared with the key's most central one, which shares
+    its keys with the most texts, as the origin of many copies does.  Then each round
+    takes some texts of every key that is not yet one component (all of small keys, 32
+    times as many of the others as before, the more central first), none of them in the
+    component of the key's most central text, and compares each with all texts of the
+    key outside its own component.  A text so taken is done with in that key; the rounds
+    end when every key is one component or all its other texts are done, so no pair is
+    left out and a group of thousands of near copies costs few comparisons a text.
     """
 
-    def compare(met: DataFrame, labels: DataFrame) -> DataFrame:
+    def compare(met: DataFrame, labels: DataFrame, members: DataFrame | None = None, pivots: DataFrame | None = None) -> DataFrame:
         mark = marked()
         pairs = stored(met.select(F.least("sid", "a").alias("u"), F.greatest("sid", "a").alias("v")).distinct(), "sim-pairs")
-        out = _united(labels, _as_similar(pairs, texts, size, similarity))
+        alike = _as_similar(pairs, texts, size, similarity)
+        out = _united(labels, alike if members is None else alike.unionAll(_linked_blocks(members, pivots, texts, size, similarity)))
         discard(spark, mark, out)
         return out
 
     spark, mark = sets.sparkSession, marked()
 
-    keys = members.groupBy("key").agg(F.count("*").alias("texts"), F.min(F.struct(F.col("sid").alias("a"), F.col("n").alias("na"))).alias("first")).where("texts > 1")
-    members = stored(members.join(keys.select("key", "texts", "first.*"), "key"), "sim-members")
+    keys = members.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
+    members = stored(members.join(keys, "key"), "sim-members")
+    central = members.groupBy("sid").agg(F.sum("texts").alias("w"))
+    members = stored(members.join(central, "sid"), "sim-members")
+    first = stored(members.groupBy("key").agg(F.max(F.struct("w", F.col("sid").alias("a"), F.col("n").alias("na"))).alias("t")).select("key", "t.a", "t.na"), "sim-first")
+    members = stored(members.join(first, "key"), "sim-members")
     labels = compare(members.where("sid <> a").where(_could("n", "na", similarity)), sets.select("sid", F.col("sid").alias("c")))
-    members, done, k = members.select("key", "sid", "n", "texts", F.col("a").alias("first")), None, 32
+    members, done, k = members.select("key", "sid", "n", "texts", "w", F.col("a").alias("first")), None, 32
     while True:
         named = members.join(labels, "sid")
         state = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("sid") == F.col("first"), F.col("c"))).alias("main")).where("lo <> hi")
@@ -283,13 +336,16 @@ def _compared_keys(sets: DataFrame, members: DataFrame, texts: DataFrame, size:
         if done is not None:
             waiting = waiting.join(done, ["key", "sid"], "left_anti")
         lot = F.when(F.col("texts") <= SMALL_KEY, F.col("sid")).otherwise(F.pmod(F.xxhash64("sid", F.lit(k)), F.lit(k)))
-        taken, n = counted(waiting.groupBy("key", lot.alias("lot")).agg(F.min(F.struct(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))).alias("t")).select("key", "t.*"), "sim-taken")
+        taken, n = counted(waiting.groupBy("key", lot.alias("lot")).agg(F.max(F.struct("w", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))).alias("t")).select("key", "t.a", "t.na", "t.ca"), "sim-taken")
         if not n:
             if hasattr(labels, "_stored_at"):
                 discard(spark, mark, labels)
             return labels
-        labels = compare(members.join(taken, "key").where("c <> ca").where(_could("n", "na", similarity)), labels)
-        members = members.join(F.broadcast(taken.select("key")) if n <= BROADCAST_KEYS else taken.select("key"), "key", "left_semi").select("key", "sid", "n", "texts", "first")
+        few, many = members.where(F.col("texts") <= SMALL_KEY), members.where(F.col("texts") > SMALL_KEY)
+        many = many.join(F.broadcast(taken.select("key")) if n <= BROADCAST_KEYS else taken.select("key"), "key", "left_semi")
+        crowded = None if many.isEmpty() else many
+        labels = compare(few.join(taken, "key").where("c <> ca").where(_could("n", "na", similarity)), labels, crowded, taken.join(many.select("key").distinct(), "key", "left_semi"))
+        members = members.join(F.broadcast(taken.select("key")) if n <= BROADCAST_KEYS else taken.select("key"), "key", "left_semi").select("key", "sid", "n", "texts", "w", "first")
         taken = taken.select("key", F.col("a").alias("sid"))
         done = taken if done is None else stored(done.unionAll(taken), "sim-done")
         k *= 32
