@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,14 +28,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Send rows to Python a thousand at a time in this session, where it has Spark's default of 10,000.
+    """Send rows to Python a thousand or 4 MB at a time in this session, where it has Spark's defaults of 10,000 and 64 MB.
 
-    The default buffers as many whole texts on both sides of the pipe.  This changes
-    the session's setting; one that is to stay at 10,000 can say 9,999.
+    The defaults buffer as many whole texts on both sides of the pipe.  This changes
+    the session's settings; one that is to stay at 10,000 can say 9,999.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, "1000")
+    for key, default, bound in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "4194304b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", bound)
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the machine; an idle worker keeps what its process holds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, with freed memory given back when a task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
 
 
 def stored(df: DataFrame, label: str, compression: str = "snappy", measures: dict[str, Column] | None = None) -> DataFrame:

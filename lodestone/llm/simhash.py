@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import counted, discard, marked, need, read, stored, words
+from .common import counted, discard, marked, need, read, stored, trimmed, words
 from .components import connected_components, lowest
 
 #: Texts are hashed this many shingles at a time, however long they are.
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: s
             fp = np.array([fingerprint(t.as_py(), size) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64), pa.int64())], ["doc_id", "fp"])
 
-    return need(docs, (id_col, text_col)).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return need(docs, (id_col, text_col)).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def cut(bits: list[int], parts: int) -> list[list[int]]:
@@ -201,7 +201,7 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *signed, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text", "fp", "sid", "n", "bands"])
 
     rows = need(docs, (id_col, text_col)).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, text string, fp long, sid long, n long, bands array<long>")
+    return rows.mapInArrow(trimmed(run), "doc_id long, text string, fp long, sid long, n long, bands array<long>")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -212,7 +212,7 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
             own = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(t.as_py(), size)])).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["sid", "own"])
 
-    return texts.mapInArrow(run, "sid long, own binary")
+    return texts.mapInArrow(trimmed(run), "sid long, own binary")
 
 
 def _small(keys: DataFrame, label: str) -> DataFrame:
@@ -236,7 +236,7 @@ def _as_similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float
     asked = _small(pairs.select(F.col("u").alias("sid")).unionAll(pairs.select("v")).distinct(), "sim-asked")
     held = stored(_sets(texts.join(asked, "sid", "left_semi").dropDuplicates(["sid"]), size), "sim-sets-asked")
     a, b = held.select(F.col("sid").alias("u"), F.col("own").alias("p")), held.select(F.col("sid").alias("v"), F.col("own").alias("q"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "p", "q").mapInArrow(run, "u long, v long")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "p", "q").mapInArrow(trimmed(run), "u long, v long")
 
 
 def _linked_blocks(members: DataFrame, pivots: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -277,9 +277,9 @@ def _linked_blocks(members: DataFrame, pivots: DataFrame, texts: DataFrame, size
     right = members.join(held, "sid").groupBy("key", lot(F.col("sid"), F.col("texts")).alias("lot")).agg(one.alias("ms"))
     spark, name = members.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, "8")  # a row is two blocks
+    spark.conf.set(name, "1")  # a row is two blocks
     try:
-        return stored(stored(left, "sim-pivots").drop("lot").join(stored(right, "sim-blocks").drop("lot"), "key").select("ps", "ms").mapInArrow(run, "u long, v long"), "sim-linked")
+        return stored(stored(left, "sim-pivots").drop("lot").join(stored(right, "sim-blocks").drop("lot"), "key").select("ps", "ms").mapInArrow(trimmed(run), "u long, v long"), "sim-linked")
     finally:
         spark.conf.set(name, before)
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import huffman
-from .common import _TABLES, need, read, shared_dir, stored
+from .common import _TABLES, need, read, shared_dir, stored, trimmed
 from .wordscan import KEY_BYTES, keys_of
 
 #: Longest code in bits; a window of that many bits indexes the decoding table.
@@ -26,7 +26,7 @@ BLOCK_IDS = 1 << 16
 #: Ids between two bit-offset checkpoints.
 CHECKPOINT_IDS = 128
 #: Slots of a worker's table of pieces, and the most ids of a piece that is kept there.
-SLOTS, KEPT_IDS = 1 << 20, 8
+SLOTS, KEPT_IDS = 1 << 19, 8
 #: Bytes of text that are cut and looked up at once.
 WINDOW = 1 << 20
 
@@ -280,7 +280,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None, i
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_pylist([{"counts": np.stack([found, total[found]]).tobytes()}], ENCODED)
 
-    return rows.mapInArrow(run, "doc_id long, ids binary, counts binary")
+    return rows.mapInArrow(trimmed(run), "doc_id long, ids binary, counts binary")
 
 
 def id_counts(encoded: DataFrame) -> DataFrame:
@@ -349,7 +349,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
 
     tie = F.xxhash64("ids")
     dealt = encoded.where("ids IS NOT NULL").withColumn("tie", tie).repartitionByRange(F.asc_nulls_first("doc_id"), F.asc("tie")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie", "ids")
-    dealt.select("doc_id", "ids").mapInArrow(blocks, BLOCK_DDL).write.parquet(f"{path}/blocks")
+    dealt.select("doc_id", "ids").mapInArrow(trimmed(blocks), BLOCK_DDL).write.parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -376,7 +376,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     before = F.expr("sum(n) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(before, F.lit(0)).alias("before"))
-    docs = blocks.mapInArrow(decode, "doc_id long, shard long, start long, n_tokens long, ids binary")
+    docs = blocks.mapInArrow(trimmed(decode), "doc_id long, shard long, start long, n_tokens long, ids binary")
     # One row a shard, and a shard is an output partition: that bounds what is broadcast.
     return docs.join(F.broadcast(shards), "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
 

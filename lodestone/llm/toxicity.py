@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, need, read, stored, words
+from .common import bucket, need, read, stored, trimmed, words
 
 #: Hashed features, and how many of them a model may weigh.
 FEATURES = 1 << 20
@@ -144,7 +144,7 @@ def _sample(texts: DataFrame, marks: DataFrame, max_positive: int, max_unlabelle
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([document_features(t.as_py()).tobytes() for t in b.column(3)], pa.binary())], ["doc_id", "p", "u", "f"])
 
     # The bounds of the sample bound what is broadcast.
-    rows = texts.join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("string"), "p", "u", "text").mapInArrow(run, "doc_id string, p int, u int, f binary")
+    rows = texts.join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("string"), "p", "u", "text").mapInArrow(trimmed(run), "doc_id string, p int, u int, f binary")
     return stored(rows.groupBy("doc_id", "p", "u").agg(F.min("f").alias("f")), "tox-sample")
 
 
@@ -161,7 +161,7 @@ def _standing_out(sample: DataFrame, np_: int, nu: int) -> np.ndarray:
         got = np.flatnonzero(p | u)
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (got, p[got], u[got])], ["feature", "p", "u"])
 
-    counts = sample.mapInArrow(run, "feature int, p int, u int").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p + u >= 5")
+    counts = sample.mapInArrow(trimmed(run), "feature int, p int, u int").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p + u >= 5")
     pool = (F.col("p") + F.col("u")) / F.lit(np_ + nu)
     z = F.pow(F.col("p") / F.lit(np_) - F.col("u") / F.lit(nu), 2) / F.greatest(pool * (1 - pool), F.lit(1e-12)) * F.lit(np_ * nu / (np_ + nu))
     best = counts.select("feature", z.alias("z")).where("z > 6.6").orderBy(F.desc("z"), "feature").limit(CHOSEN)
@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col
             rows = [(m := at[np.frombuffer(f.as_buffer(), np.uint32)])[m >= 0].astype(np.uint16).tobytes() for f in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rows, pa.binary())], ["doc_id", "p", "u", "f"])
 
-    got = sample.mapInArrow(place, "doc_id string, p int, u int, f binary").orderBy("doc_id").collect()  # the sample's bounds
+    got = sample.mapInArrow(trimmed(place), "doc_id string, p int, u int, f binary").orderBy("doc_id").collect()  # the sample's bounds
     rows = lambda k: [np.frombuffer(r["f"], np.uint16) for r in got if r[k]]
     return fit(rows("p"), rows("u"), features, prior)
 
@@ -212,7 +212,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             s = np.array([score(t.as_py()) for t in b.column(1)], np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return need(docs, (id_col, text_col)).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return need(docs, (id_col, text_col)).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, score double, predicted int")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -249,7 +249,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_
             keep = np.array([score(t.as_py()) < threshold for t in b.column(at)], bool)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns], schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
