@@ -105,12 +105,17 @@ def marked() -> int:
 
 
 def discard(spark: SparkSession, mark: int, *kept: DataFrame) -> None:
-    """Delete the tables written since ``mark`` but those of ``kept``, which were written from them."""
+    """Delete the tables written since ``mark`` but those of ``kept``, which were written from them.
+
+    Shuffle files and broadcasts go when the driver finds that nothing refers to them
+    any more, so it is asked to look.
+    """
     keep = {df._stored_at for df in kept}
     gone = [t for t in _TABLES[mark:] if t not in keep]
     for t in gone:
         _delete(spark, t)
         _TABLES.remove(t)
+    spark.sparkContext._jvm.System.gc()
 
 
 def lower_ascii(text: Column | str) -> Column:

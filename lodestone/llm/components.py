@@ -30,8 +30,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     state = e._measured
     if not state.get("n"):
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    mark = marked()
     for _ in range(max_rounds):
-        mark = marked()
         both = e.select(F.col("a").alias("n"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("n"), F.col("a").alias("v")))
         low = stored(both.groupBy("n").agg(F.min("v").alias("m")).select("n", F.least("n", "m").alias("m")), "cc-low")
         large = both.where("v > n").join(low, "n").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -39,12 +39,12 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         root = stored(large.groupBy("a").agg(F.min("b").alias("m")), "cc-root")
         small = large.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(root.select("a", F.col("m").alias("b"))).distinct()
         e = stored(small, "cc-edges", measures=_state())
-        discard(e.sparkSession, mark, e)
         before, state = state, e._measured
         if before == state:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    discard(e.sparkSession, mark, e)
     pairs = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 

@@ -239,8 +239,8 @@ def _as_similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float
     return pairs.join(a, "u").join(b, "v").select("u", "v", "p", "q").mapInArrow(trimmed(run), "u long, v long")
 
 
-def _linked_blocks(members: DataFrame, pivots: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Rows ``(u, v)``, linked directly or by steps: ``pivots(key, a, ca)`` against ``members(key, sid, c, texts)`` of their keys.
+def _linked_blocks(members: DataFrame, pivots: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Rows ``(u, v)``, linked directly or by steps: ``pivots(key, a, ca)`` against ``members(key, sid, c, texts)`` of their keys, with the sets ``held``.
 
     Both sides are dealt in blocks, and a task compares two blocks; what it returns is
     for every text the smallest row that it is linked with there, not the pairs.
@@ -267,8 +267,6 @@ def _linked_blocks(members: DataFrame, pivots: DataFrame, texts: DataFrame, size
                     told = np.flatnonzero(low != np.arange(len(names)))
                     yield pa.RecordBatch.from_arrays([pa.array(names[told]), pa.array(names[low[told]])], ["u", "v"])
 
-    asked = _small(members.select("sid").distinct(), "sim-asked")
-    held = stored(_sets(texts.join(asked, "sid", "left_semi").dropDuplicates(["sid"]), size).where("length(own) > 0"), "sim-sets-asked")
     lot = lambda x, n: F.pmod(F.xxhash64(F.lit("block"), x), F.ceil(n / BLOCK))
     one = F.collect_list(F.struct("sid", "c", "own"))  # about BLOCK rows
     left = pivots.withColumn("texts", F.lit(1)).select("key", F.col("a").alias("sid"), F.col("ca").alias("c"))
@@ -310,13 +308,9 @@ def _compared_keys(sets: DataFrame, members: DataFrame, texts: DataFrame, size:
     left out and a group of thousands of near copies costs few comparisons a text.
     """
 
-    def compare(met: DataFrame, labels: DataFrame, members: DataFrame | None = None, pivots: DataFrame | None = None) -> DataFrame:
-        mark = marked()
+    def compare(met: DataFrame, labels: DataFrame) -> DataFrame:
         pairs = stored(met.select(F.least("sid", "a").alias("u"), F.greatest("sid", "a").alias("v")).distinct(), "sim-pairs")
-        alike = _as_similar(pairs, texts, size, similarity)
-        out = _united(labels, alike if members is None else alike.unionAll(_linked_blocks(members, pivots, texts, size, similarity)))
-        discard(spark, mark, out)
-        return out
+        return _as_similar(pairs, texts, size, similarity)
 
     spark, mark = sets.sparkSession, marked()
 
@@ -326,28 +320,36 @@ def _compared_keys(sets: DataFrame, members: DataFrame, texts: DataFrame, size:
     members = stored(members.join(central, "sid"), "sim-members")
     first = stored(members.groupBy("key").agg(F.max(F.struct("w", F.col("sid").alias("a"), F.col("n").alias("na"))).alias("t")).select("key", "t.a", "t.na"), "sim-first")
     members = stored(members.join(first, "key"), "sim-members")
-    labels = compare(members.where("sid <> a").where(_could("n", "na", similarity)), sets.select("sid", F.col("sid").alias("c")))
-    members, done, k = members.select("key", "sid", "n", "texts", "w", F.col("a").alias("first")), None, 32
+    labels = sets.select("sid", F.col("sid").alias("c"))
+    labels = _united(labels, compare(members.where("sid <> a").where(_could("n", "na", similarity)), labels))
+    discard(spark, mark, members, labels)
+    members, held, k = members.select("key", "sid", "n", "texts", "w", F.col("a").alias("first"), F.lit(False).alias("done")), None, 32
     while True:
         named = members.join(labels, "sid")
         state = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("sid") == F.col("first"), F.col("c"))).alias("main")).where("lo <> hi")
         members = stored(named.join(_small(state.select("key", "main"), "sim-open"), "key"), "sim-members")
-        waiting = members.where("c <> main")
-        if done is not None:
-            waiting = waiting.join(done, ["key", "sid"], "left_anti")
         lot = F.when(F.col("texts") <= SMALL_KEY, F.col("sid")).otherwise(F.pmod(F.xxhash64("sid", F.lit(k)), F.lit(k)))
-        taken, n = counted(waiting.groupBy("key", lot.alias("lot")).agg(F.max(F.struct("w", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))).alias("t")).select("key", "t.a", "t.na", "t.ca"), "sim-taken")
+        taken = members.where("c <> main AND NOT done").groupBy("key", "texts", lot.alias("lot")).agg(F.max(F.struct("w", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))).alias("t")).select("key", F.col("texts").alias("of"), "t.a", "t.na", "t.ca")
+        taken = stored(taken, "sim-taken", measures={"n": F.count(F.lit(1)), "large": F.count_if(F.col("of") > SMALL_KEY)})
+        n, large = (taken._measured.get(x) or 0 for x in ("n", "large"))
         if not n:
-            if hasattr(labels, "_stored_at"):
-                discard(spark, mark, labels)
+            discard(spark, mark, labels)
             return labels
-        few, many = members.where(F.col("texts") <= SMALL_KEY), members.where(F.col("texts") > SMALL_KEY)
-        many = many.join(F.broadcast(taken.select("key")) if n <= BROADCAST_KEYS else taken.select("key"), "key", "left_semi")
-        crowded = None if many.isEmpty() else many
-        labels = compare(few.join(taken, "key").where("c <> ca").where(_could("n", "na", similarity)), labels, crowded, taken.join(many.select("key").distinct(), "key", "left_semi"))
-        members = members.join(F.broadcast(taken.select("key")) if n <= BROADCAST_KEYS else taken.select("key"), "key", "left_semi").select("key", "sid", "n", "texts", "w", "first")
-        taken = taken.select("key", F.col("a").alias("sid"))
-        done = taken if done is None else stored(done.unionAll(taken), "sim-done")
+        alike = []
+        if n > large:  # small keys are done with at once
+            met = members.where(F.col("texts") <= SMALL_KEY).join(taken.drop("of"), "key").where("c <> ca").where(_could("n", "na", similarity))
+            alike.append(compare(met, labels))
+        if large:
+            some = taken.where(F.col("of") > SMALL_KEY)
+            keys = some.select("key").distinct()
+            many = members.where(F.col("texts") > SMALL_KEY).join(F.broadcast(keys) if large <= BROADCAST_KEYS else keys, "key", "left_semi")
+            if held is None:  # what is still open later was open now
+                asked = _small(many.select("sid").distinct(), "sim-asked")
+                held = stored(_sets(texts.join(asked, "sid", "left_semi").dropDuplicates(["sid"]), size).where("length(own) > 0"), "sim-sets-asked")
+            alike.append(_linked_blocks(many, some, held, similarity))
+        labels = _united(labels, alike[0] if len(alike) == 1 else alike[0].unionAll(alike[1]))
+        spent = taken.select("key", F.col("a").alias("sid"), F.lit(True).alias("now"))
+        members = members.where(F.col("texts") > SMALL_KEY).join(spent, ["key", "sid"], "left").select("key", "sid", "n", "texts", "w", "first", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         k *= 32
 
 
