@@ -349,6 +349,20 @@ def test_texts_with_five_words_in_eight_are_candidates(spark):
     assert len(want) > 100 and len(pairs & want) >= 0.97 * len(want)
 
 
+def test_short_items_among_rare_words(spark):
+    rng = random.Random(14)
+    vocab = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(3, 5))) for _ in range(20000)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(3 + k % 5))) for k in range(40)]
+    made = []
+    for k, text in items:
+        around = [rng.choice(vocab) for _ in range(60)]
+        cut = rng.randrange(60)
+        made.append((k, " ".join([*around[:cut], text, *around[cut:]])))
+    got = decontam.find_leaks(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    pairs = {(r.doc_id, r.item_id) for r in got}
+    assert {(k, k) for k in range(40)} <= pairs
+
+
 # Pipeline ----------------------------------------------------------------------
 
 

@@ -114,6 +114,36 @@ def test_token_files(spark):
     assert tokens.token_digest(docs.where("false"), path, 2).count() == 0
 
 
+def test_pieces_against_the_whole_library():
+    import pyarrow as pa
+
+    enc = tokens.Encoder(tokens.public_tokenizer(), 1 << 10)
+    rng = random.Random(3)
+    parts = [*"abAZ '\n\t.,<|>#é×÷\u00a0\u2003\u3000\x1c\x85“—日Ñß0179 ", "<|endoftext|>", "'s", "'re", " the", "n't", "\r\n", "😀", "a" * 30]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(6000)]
+    ids, n = enc.encode(pa.array(texts))
+    whole = enc.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert n.tolist() == [len(e.ids) for e in whole] and ids.tolist() == [i for e in whole for i in e.ids]
+
+
+def test_words_of_many_texts():
+    import pyarrow as pa
+
+    from lodestone.llm import decontam, wordscan
+
+    rng = random.Random(4)
+    texts = [None, "", *("".join(rng.choice("abC .-\n\té日,") for _ in range(rng.randint(0, 80))) for _ in range(500)), "x" * 40 + " " + "x" * 39 + "y"]
+    vocab = sorted({w for t in texts[::3] for w in decontam.tokens(t)} | {b"x" * 40})
+    known = wordscan.Vocabulary(vocab, 12)
+    for first, words in wordscan.Splitter(decontam.PUNCTUATION).each(pa.array(texts)):
+        keys, mixed = words.keys()
+        numbers = known.numbers(words, keys, (mixed >> known.shift).astype(np.int64))
+        for k, (a, z) in enumerate(zip(words.first, words.first[1:], strict=False)):
+            want = decontam.tokens(texts[first + k])
+            assert [words.word(i) for i in range(a, z)] == want
+            assert numbers[a:z].tolist() == [vocab.index(w) if w in set(vocab) else -1 for w in want]
+
+
 # SimHash -----------------------------------------------------------------------
 
 
