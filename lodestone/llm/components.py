@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from .common import discard, marked, stored
 
+#: Edges (two ids each) up to this many are worked on by one task, without shuffles; they are counted first.
+FEW_EDGES = 1 << 18
+
+
 def _state() -> dict[str, Column]:
     """Row count and an order-free digest, to see whether a round changed anything."""
     return {"n": F.count(F.lit(1)), "x": F.expr("bit_xor(xxhash64(a, b))")}
@@ -22,6 +26,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     splits a hub with a third of all edges.  Each round ends in a written table.
     Nothing but a count and a digest reaches the driver.
 
+    Once a round leaves no more than ``FEW_EDGES`` edges, the same steps run on one
+    partition each, as dealing so few rows costs more than the work on them.
+
     Nulls in either column and self-loops are ignored, repeated edges count once.
     An empty table gives an empty result.  Ids may be of any ordered type.
     """
@@ -32,12 +39,17 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     mark = marked()
     for _ in range(max_rounds):
-        both = e.select(F.col("a").alias("n"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("n"), F.col("a").alias("v")))
+        few = state["n"] <= FEW_EDGES
+        near = lambda df: df.coalesce(1) if few else df  # noqa: B023, E731 - used in this round only
+        ends = F.array(*[F.struct(F.col(n).alias("n"), F.col(v).alias("v")) for n, v in (("a", "b"), ("b", "a"))])
+        both = near(e).select(F.inline(ends))
         low = stored(both.groupBy("n").agg(F.min("v").alias("m")).select("n", F.least("n", "m").alias("m")), "cc-low")
-        large = both.where("v > n").join(low, "n").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stored(large, "cc-large")
+        large = both.where("v > n").join(near(low), "n").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = near(stored(large, "cc-large"))
         root = stored(large.groupBy("a").agg(F.min("b").alias("m")), "cc-root")
-        small = large.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(root.select("a", F.col("m").alias("b"))).distinct()
+        # An edge (a, b) gives (b, m) for the smallest neighbour m of a, and the edge to m itself stays.
+        kept = F.when(F.col("b") == F.col("m"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = large.join(near(root), "a").select(kept.alias("e")).select("e.a", "e.b").distinct()
         e = stored(small, "cc-edges", measures=_state())
         before, state = state, e._measured
         if before == state:
