@@ -87,6 +87,14 @@ def retrieved_lists(runs: DataFrame, k: int) -> DataFrame:
     return cut.groupBy("route", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))), lambda s: s["chunk_id"]).alias("retrieved"))
 
 
+def sample_lists(samples: DataFrame, runs: DataFrame, k: int) -> DataFrame:
+    """``samples`` once for each route with ``retrieved``, which is empty where nothing was found."""
+    routes = runs.select("route").distinct()
+    found = retrieved_lists(runs, k)
+    rows = samples.crossJoin(F.broadcast(routes)).join(found, ["route", "query_id"], "left")
+    return rows.withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<string>")))
+
+
 def validate_requests(requests: DataFrame) -> DataFrame:
     """Evaluation requests with an ``error`` column: null where the request may run."""
     s = F.col("samples")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ChunkConfig, RetrievalConfig
-from ..operators import chunking, context, evaluation, indexing, retrieval, validation
+from ..operators import chunking, context, evaluation, fusion, indexing, retrieval, validation
 from ..sources import files as file_source
+from ..sources import json_inputs
 
 #: Adds ``output`` to rows with ``prompt``.
 Generator = Callable[[DataFrame], DataFrame]
@@ -64,3 +65,26 @@ def run_evaluation(requests: DataFrame, retrieve: Callable[[DataFrame], DataFram
     runs = retrieve(samples.select("query_id", "question"))
     qrels = samples.select("query_id", F.explode("ids").alias("chunk_id"))
     return evaluation.evaluate(samples, qrels, runs, k)
+
+
+def ablation(spark: SparkSession, snapshot: str, report: str) -> None:
+    """Compare the rankings of one snapshot file with each other and with their fusion.
+
+    Writes JSON lines below ``report``: ``metrics`` (a row for each route and metric) and
+    ``samples`` (a row for each route and query, with the ids it retrieved), every row
+    with the digest of the snapshot's bytes.  A report is replaced when written again.
+    """
+    frozen = json_inputs.read_snapshot(spark, snapshot)
+    heads = frozen.select("sha256", "snapshot.snapshotId", "snapshot.topK", "snapshot.rankConstant").take(2)
+    if len(heads) != 1:
+        raise ValueError("a report needs exactly one snapshot")
+    head = heads[0]
+    samples, qrels, routes = json_inputs.snapshot_tables(frozen)
+    fused = fusion.fuse(routes, head.rankConstant, head.topK).select("query_id", F.lit("rrf").alias("route"), F.col("rank").alias("pos"), "chunk_id")
+    runs = routes.unionByName(fused)
+    marks = [F.lit(head.sha256).alias("snapshotSha256"), F.lit(head.snapshotId).alias("snapshotId"), F.lit(head.topK).alias("topK")]
+    metrics = evaluation.report_lines(evaluation.evaluate(samples, qrels, runs, head.topK))
+    metrics.select(*marks, "route", "no", "metric", "value", "correct", "total", "line").write.mode("overwrite").json(f"{report}/metrics")
+    relevant = qrels.groupBy("query_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("relevant"))
+    lists = evaluation.sample_lists(samples.join(relevant, "query_id", "left"), runs, head.topK)
+    lists.select(*marks, "route", "query_id", "question", "category", "relevant", "retrieved").write.mode("overwrite").json(f"{report}/samples")
