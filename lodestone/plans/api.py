@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..config import ChunkConfig, RetrievalConfig
 from ..operators import chunking, context, evaluation, fusion, indexing, retrieval, validation
 from ..sources import files as file_source
 from ..sources import json_inputs
+from ..streaming import sync
 
 #: Adds ``output`` to rows with ``prompt``.
 Generator = Callable[[DataFrame], DataFrame]
@@ -58,6 +60,37 @@ def update(files: DataFrame, documents: DataFrame, chunks: DataFrame, config: Ch
     return kept.unionByName(fresh), indexing.upsert(documents.select("doc_id", "md5"), marks), errors
 
 
+def sync_documents(messages: DataFrame, table: str, dead_letters: str, checkpoint: str, config: ChunkConfig | None = None, available_now: bool = True) -> StreamingQuery:
+    """Read, parse and chunk the files that a stream of changes names, into the log at ``table``.
+
+    Each micro-batch adds ``chunks``, ``marks`` (documents that it replaced or deleted)
+    and ``failures`` (files that could not be read or parsed; such documents keep what
+    they had).  Nothing older is rewritten, and a batch that is delivered again replaces
+    its own folders only.  ``synced_chunks`` reads the present state.
+    """
+
+    def apply(upserts: DataFrame, deletions: DataFrame, batch_id: int) -> None:
+        spark, at = upserts.sparkSession, f"batch={batch_id}"
+        stored = file_source.read_stored(upserts)
+        chunks, errors = ingest(stored.where("error IS NULL").drop("error"), config)
+        unread = stored.where("error IS NOT NULL").select("doc_id", "doc_name", "error")
+        failures = f"{table}/failures/{at}"
+        unread.unionByName(errors).write.mode("overwrite").parquet(failures)
+        failed = spark.read.parquet(failures).select("doc_id").distinct()
+        ids = lambda df: df.select(F.col("docId").alias("doc_id"))
+        chunks.join(failed, "doc_id", "left_anti").write.mode("overwrite").parquet(f"{table}/chunks/{at}")
+        # Marks come last: without them a batch's chunks are not seen.
+        ids(upserts).join(failed, "doc_id", "left_anti").unionByName(ids(deletions)).write.mode("overwrite").parquet(f"{table}/marks/{at}")
+
+    return sync.apply_stream(messages, apply, dead_letters, checkpoint, available_now)
+
+
+def synced_chunks(spark: SparkSession, table: str) -> DataFrame:
+    """Chunks of the log at ``table`` that their document's last mark left; writing them elsewhere compacts it."""
+    last = spark.read.parquet(f"{table}/marks").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{table}/chunks").join(last, ["doc_id", "batch"]).drop("batch")
+
+
 def run_evaluation(requests: DataFrame, retrieve: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
     """Evaluate requests (``EVAL_REQUEST``) whose ``error`` is null with any retriever of ``(query_id, question)``."""
     checked = evaluation.validate_requests(requests).where("error IS NULL")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,34 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.sha2("path", 256).alias("doc_id"), name.alias("doc_name"), F.col("path").alias("source_path"), file_type(name).alias("file_type"), F.col("length").alias("file_size"), fingerprint("content").alias("md5"), F.col("modificationTime").alias("updated_at"), "content")
 
 
+def read_stored(messages: DataFrame) -> DataFrame:
+    """``(doc_id, doc_name, content, error)`` of the files that ``messages(docId, docName, storedPath)`` name.
+
+    Paths are absolute or URIs and are opened by the tasks.  A file that cannot be read
+    (no path, missing, no rights) has null content and an ``error``; a message without a
+    name goes by the last part of its path.
+    """
+    rows = messages.select(F.col("docId").alias("doc_id"), F.coalesce("docName", F.element_at(F.split("storedPath", "/"), -1)).alias("doc_name"), "storedPath")
+    schema = pa.schema([("doc_id", pa.string()), ("doc_name", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, name, path in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data, error = None, None
+                try:
+                    if path is None:
+                        raise FileNotFoundError("no stored path")
+                    where, inside = fs.FileSystem.from_uri(path)
+                    with where.open_input_stream(inside) as f:
+                        data = f.read()
+                except (OSError, ValueError) as e:
+                    error = f"cannot read: {e}"
+                # One file a batch, so that only one is held at a time.
+                yield pa.RecordBatch.from_pylist([{"doc_id": doc_id, "doc_name": name, "content": data, "error": error}], schema)
+
+    return rows.mapInArrow(run, "doc_id string, doc_name string, content binary, error string")
+
+
 def parse_files(files: DataFrame, parsers: dict[str, Callable[[bytes], Parsed]] | None = None) -> DataFrame:
     """Segments of ``files(doc_id, doc_name, content)``; unknown types and broken files give a row with ``error``."""
     known = PARSERS if parsers is None else parsers
