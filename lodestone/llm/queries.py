@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, embeddings, licenses, mixing, ppm, simhash, tokens, toxicity, urls
+from . import chat, decontam, embeddings, licenses, mixing, ppm, prefix_trie, sentencepieces, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_embedding_dedup": embeddings.op8_embedding_dedup,
     "op9_licenses": licenses.op9_licenses,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_sentencepiece": sentencepieces.op11_sentencepiece,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,5 @@ ORACLE_SQL = {
     "op8_embedding_dedup": embeddings.OP8_SQL,
     "op9_licenses": licenses.OP9_SQL,
     "op10_chat_format": chat.OP10_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
 }
