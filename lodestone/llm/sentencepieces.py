@@ -64,12 +64,16 @@ class Model:
         self.opens = [p.startswith(SPACE) and not special[k] for k, p in enumerate(names)]
         self.controls = {k for k in range(n) if sp.is_control(k)}
 
+        self.names = names
+        self.size = list(map(len, names))
         self.finder = ahocorasick.Automaton()
-        for p in self.ids:
-            self.finder.add_word(p, len(p))
+        for p, k in self.ids.items():
+            self.finder.add_word(p, k)
         self.finder.make_automaton()
-        #: Length of the longest piece that begins a piece and is shorter.
-        self.shorter = {p: next((z for z in range(len(p) - 1, 0, -1) if p[:z] in self.ids), 0) for p in self.ids}
+        #: The longest piece that begins a piece and is shorter, by id; -1 where there is none.
+        self.shorter = [-1] * n
+        for p, k in self.ids.items():
+            self.shorter[k] = next((self.ids[p[:z]] for z in range(len(p) - 1, 0, -1) if p[:z] in self.ids), -1)
 
         # No piece goes over these places, so a text may be cut there: before spaces, and around characters of no piece.
         alone = re.escape("".join(c for c in map(chr, range(0x80)) if c not in chars))
@@ -77,8 +81,8 @@ class Model:
         word = rf"[^{alone}]+" if inside else rf"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+"
         self.chunks = re.compile(rf"{word}|[{alone}]+" if alone else word).findall
         self.known = _Chunks(self)
-        self._whole: dict[str, bool] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._whole: dict[int, bool] = {}
+        self._pairs: dict[int, bool] = {}
         if self.encode(_PROBE) != sp.encode(_PROBE):
             raise ValueError("the model is not of the merge type")
 
@@ -100,58 +104,66 @@ class Model:
             if at + 1 < wall:
                 wall -= 1
 
-    def whole(self, piece: str) -> bool:
+    def whole(self, k: int) -> bool:
         """Merging makes this piece from its characters."""
-        if piece not in self._whole:
-            self._whole[piece] = self.merges_to(list(piece), 0)
-        return self._whole[piece]
-
-    def compatible(self, a: str, b: str) -> bool:
-        """Merging the characters of two whole pieces anew gives those two."""
-        found = self._pairs.get((a, b))
+        if k not in self._whole:
+            self._whole[k] = self.merges_to(list(self.names[k]), 0)
+        return self._whole[k]
+
+    def compatible(self, a: int, b: int) -> bool:
+        """``b`` is whole, and merging the characters of ``a`` (-1: no piece, but a border), which is whole, and ``b`` anew gives those two."""
+        pair = a * len(self.names) + b
+        found = self._pairs.get(pair)
         if found is None:
             if len(self._pairs) >= KEPT_PAIRS:
                 self._pairs.clear()
-            found = self._pairs[a, b] = self.merges_to(list(a + b), len(a))
+            found = self._pairs[pair] = self.whole(b) and (a < 0 or self.merges_to(list(self.names[a] + self.names[b]), self.size[a]))
         return found
 
     def search(self, s: str) -> list[int]:
         """Ids of a chunk.  Each place is given up at most once, so the steps are linear in the chunk."""
-        n = len(s)
-        longest = [0] * n
-        for end, size in self.finder.iter(s):
-            if size > longest[end - size + 1]:
-                longest[end - size + 1] = size
+        n, size, n_names = len(s), self.size, len(self.names)
+        longest = [-1] * (n + 1)
+        for end, k in self.finder.iter(s):
+            longest[end - size[k] + 1] = k  # of the pieces from one place the longest ends last
         failed = bytearray((n >> 3) + 1)  # a bit for each place from which no list goes on
-        taken: list[str | None] = []  # None is a character of no piece, which goes with every neighbour
-        at, size = 0, longest[0] if n else 0
+        fails = False
+        known, shorter = self._pairs.get, self.shorter
+        taken: list[int] = []  # below 0: a character of no piece, which goes with every neighbour
+        at, k, before = 0, longest[0], -1
         while at < n:
-            if not longest[at]:
-                taken.append(None)
+            if k < 0:
+                taken.append(-1)
                 at += 1
-                size = longest[at] if at < n else 0
+                before, k = -1, longest[at]
                 continue
-            piece, end = s[at : at + size], at + size
-            before = taken[-1] if taken else None
-            if not failed[end >> 3] >> (end & 7) & 1 and self.whole(piece) and (before is None or self.compatible(before, piece)):
-                taken.append(piece)
-                at = end
-                size = longest[at] if at < n else 0
+            end = at + size[k]
+            fits = known(before * n_names + k)
+            if fits is None:
+                fits = self.compatible(before, k)
+            if fits and not (fails and failed[end >> 3] >> (end & 7) & 1):
+                taken.append(k)
+                at, before = end, k
+                k = longest[at]
                 continue
-            size = self.shorter[piece]
-            while not size:
+            k = shorter[k]
+            while k < 0:
                 failed[at >> 3] |= 1 << (at & 7)
-                back = taken.pop()
-                at -= len(back)
-                size = self.shorter[back]
+                fails = True
+                k = taken.pop()
+                at -= size[k]
+                before = taken[-1] if taken else -1
+                k = shorter[k]
+        if -1 not in taken:
+            return taken
         out, at = [], 0
-        for piece in taken:
-            if piece is None:
+        for k in taken:
+            if k < 0:
                 out += [self.bytes[b] for b in s[at].encode()]
                 at += 1
             else:
-                out.append(self.ids[piece])
-                at += len(piece)
+                out.append(k)
+                at += size[k]
         return out
 
     def encode(self, text: str) -> list[int]:
