@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import ChunkConfig, RetrievalConfig
+from ..functions.text import clean_segments
 from ..operators import chunking, context, evaluation, fusion, indexing, retrieval, validation
 from ..sources import files as file_source
 from ..sources import json_inputs
@@ -60,37 +61,73 @@ def update(files: DataFrame, documents: DataFrame, chunks: DataFrame, config: Ch
     return kept.unionByName(fresh), indexing.upsert(documents.select("doc_id", "md5"), marks), errors
 
 
+_MARKS = "doc_id string, timestamp long, deleted boolean, md5 string"
+#: Of two messages for a document the one with the larger mark holds: later, then a deletion, then the larger md5, as within a batch.
+_MARK = f"struct(coalesce(timestamp, {-(1 << 63) + 1}L) AS timestamp, deleted, coalesce(md5, '') AS md5)"
+
+
+def _last_marks(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+    """``(doc_id, mark, batch)``: each document's largest mark, of the batches before one."""
+    log = spark.read.schema(f"{_MARKS}, batch int").parquet(f"{table}/marks")
+    if before is not None:
+        log = log.where(F.col("batch") < before)
+    last = log.groupBy("doc_id").agg(F.max(F.struct(F.expr(_MARK).alias("mark"), F.col("batch"))).alias("m"))
+    return last.select("doc_id", "m.mark", "m.batch")
+
+
 def sync_documents(messages: DataFrame, table: str, dead_letters: str, checkpoint: str, config: ChunkConfig | None = None, available_now: bool = True) -> StreamingQuery:
     """Read, parse and chunk the files that a stream of changes names, into the log at ``table``.
 
-    Each micro-batch adds ``chunks``, ``marks`` (documents that it replaced or deleted)
-    and ``failures`` (files that could not be read or parsed; such documents keep what
-    they had).  Nothing older is rewritten, and a batch that is delivered again replaces
-    its own folders only.  ``synced_chunks`` reads the present state.
+    Each micro-batch adds ``parsed`` (segments and errors of the files, each read and parsed once),
+    ``chunks`` with the message's ``tenant_id``, ``failures`` (files that could not be read or
+    parsed; such documents keep what they had) and, last, ``marks`` of the messages that were
+    applied.  A message that comes in a later batch but is older than the document's mark is
+    not applied, so the state follows the messages' order and not that of their arrival.
+    Nothing older is rewritten, and a batch that is delivered again replaces its own folders
+    only.  ``synced_chunks`` reads the present state.
     """
 
     def apply(upserts: DataFrame, deletions: DataFrame, batch_id: int) -> None:
         spark, at = upserts.sparkSession, f"batch={batch_id}"
-        stored = file_source.read_stored(upserts)
-        chunks, errors = ingest(stored.where("error IS NULL").drop("error"), config)
-        unread = stored.where("error IS NOT NULL").select("doc_id", "doc_name", "error")
-        failures = f"{table}/failures/{at}"
-        unread.unionByName(errors).write.mode("overwrite").parquet(failures)
-        failed = spark.read.parquet(failures).select("doc_id").distinct()
-        ids = lambda df: df.select(F.col("docId").alias("doc_id"))
-        chunks.join(failed, "doc_id", "left_anti").write.mode("overwrite").parquet(f"{table}/chunks/{at}")
+        if batch_id == 0:
+            spark.createDataFrame([], _MARKS).write.mode("overwrite").parquet(f"{table}/marks/batch=-1")
+        marked = upserts.withColumn("deleted", F.lit(False)).unionByName(deletions.withColumn("deleted", F.lit(True))).withColumnRenamed("docId", "doc_id").withColumn("own", F.expr(_MARK))
+        last = _last_marks(spark, table, batch_id).select("doc_id", "mark")
+        news = marked.join(last, "doc_id", "left").where("mark IS NULL OR own >= mark").drop("mark", "own")
+        stored = file_source.read_stored(news.where("NOT deleted").withColumnRenamed("doc_id", "docId"))
+        file_source.parse_files(stored).write.mode("overwrite").parquet(f"{table}/parsed/{at}")
+        parsed = spark.read.parquet(f"{table}/parsed/{at}")
+        parsed.where("error IS NOT NULL").select("doc_id", "doc_name", "error").write.mode("overwrite").parquet(f"{table}/failures/{at}")
+        failed = parsed.where("error IS NOT NULL").select("doc_id").distinct()
+        chunks = chunking.chunk(clean_segments(parsed.where("error IS NULL").drop("error")), config or ChunkConfig())
+        tenants = news.select("doc_id", F.col("tenantId").alias("tenant_id"))
+        chunks.join(failed, "doc_id", "left_anti").join(tenants, "doc_id").write.mode("overwrite").parquet(f"{table}/chunks/{at}")
         # Marks come last: without them a batch's chunks are not seen.
-        ids(upserts).join(failed, "doc_id", "left_anti").unionByName(ids(deletions)).write.mode("overwrite").parquet(f"{table}/marks/{at}")
+        news.join(failed, "doc_id", "left_anti").select("doc_id", "timestamp", "deleted", "md5").write.mode("overwrite").parquet(f"{table}/marks/{at}")
 
     return sync.apply_stream(messages, apply, dead_letters, checkpoint, available_now)
 
 
 def synced_chunks(spark: SparkSession, table: str) -> DataFrame:
-    """Chunks of the log at ``table`` that their document's last mark left; writing them elsewhere compacts it."""
-    last = spark.read.parquet(f"{table}/marks").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    """Chunks of the log at ``table`` that their document's largest mark left."""
+    last = _last_marks(spark, table).where("NOT mark.deleted").select("doc_id", "batch")
     return spark.read.parquet(f"{table}/chunks").join(last, ["doc_id", "batch"]).drop("batch")
 
 
+def compact_synced(spark: SparkSession, table: str, target: str) -> None:
+    """Write the log at ``table`` to ``target``, a path of its own, with the last marks and their chunks only, as one batch.
+
+    Marks of deleted documents stay, so that late messages still lose.  The stream is to be
+    stopped meanwhile and to go on with ``target`` and the same checkpoint.
+    """
+    last = _last_marks(spark, table)
+    batch = last.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+    chunks = spark.read.parquet(f"{table}/chunks").join(last.select("doc_id", "batch"), ["doc_id", "batch"]).drop("batch")
+    chunks.write.parquet(f"{target}/chunks/batch={batch}")
+    marks = last.select("doc_id", F.when(F.col("mark.timestamp") > 1 - (1 << 63), F.col("mark.timestamp")).alias("timestamp"), "mark.deleted", "mark.md5")
+    marks.write.parquet(f"{target}/marks/batch={batch}")
+
+
 def run_evaluation(requests: DataFrame, retrieve: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
     """Evaluate requests (``EVAL_REQUEST``) whose ``error`` is null with any retriever of ``(query_id, question)``."""
     checked = evaluation.validate_requests(requests).where("error IS NULL")

@@ -4,6 +4,25 @@ from __future__ import annotations
 
 TERM = r"'[\p{L}\p{N}]+'"
 
+
+def bm25_fields(**fields: str) -> str:
+    """The best of several fields' scores, each field an expression over ``documents``; ids and their order as text."""
+    parts = [
+        rf"""
+d_{f} AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower({e}), {TERM}) AS t FROM documents WHERE ({e}) IS NOT NULL),
+st_{f} AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d_{f}),
+tf_{f} AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM d_{f}) GROUP BY ALL),
+df_{f} AS (SELECT term, count(*) AS df FROM tf_{f} GROUP BY term),
+bm_{f} AS (SELECT query_id, chunk_id, sum(qtf * ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))) AS score
+  FROM wanted JOIN tf_{f} USING (term) JOIN df_{f} USING (term) CROSS JOIN st_{f} GROUP BY query_id, chunk_id)"""
+        for f, e in fields.items()
+    ]
+    every = " UNION ALL ".join(f"SELECT * FROM bm_{f}" for f in fields)
+    return rf"""wanted AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), {TERM})) AS term FROM benchmark) GROUP BY ALL),{",".join(parts)},
+best AS (SELECT query_id, CAST(chunk_id AS VARCHAR) AS chunk_id, round(max(score), 6) AS score FROM ({every}) GROUP BY ALL),
+bmr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM best)"""
+
+
 BM25 = rf"""
 wanted AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), {TERM})) AS term FROM benchmark) GROUP BY ALL),
 d AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), {TERM}) AS t FROM documents WHERE text IS NOT NULL),
@@ -57,9 +76,9 @@ seg AS (SELECT *, CASE WHEN seg_idx % 5 = 0 THEN 'S' || (seg_idx // 5 % 3) END A
   row_number() OVER (PARTITION BY doc_id ORDER BY seg_idx) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM seg0)""".replace("\\\\", "\\")
 
 
-def packed(overlap: int) -> str:
+def packed(overlap: int, lines: str = LINES) -> str:
     """The greedy fold as recursion over a document's segments; each step emits what it closes."""
-    return f"""{LINES},
+    return f"""{lines},
 fold AS (
   SELECT doc_id, 0::BIGINT AS i, '' AS buf, 0::BIGINT AS ids, 0::BIGINT AS pages, NULL::VARCHAR AS kind, 0::BIGINT AS idx,
     []::STRUCT(idx BIGINT, content VARCHAR, kind VARCHAR, page BIGINT, title VARCHAR, n BIGINT)[] AS closed FROM (SELECT DISTINCT doc_id FROM seg)
@@ -116,10 +135,16 @@ NORMAL = rf"trim(regexp_replace(regexp_replace(regexp_replace(translate(t, '{WID
 
 ANSWERS = "a AS (SELECT conv_id, turn, text || ' [' || turn || '] x [' || (turn + 2) || ']' AS answer, turn % 4 + 1 AS sources FROM conversations), b AS (SELECT *, list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)) AS cited FROM a), c AS (SELECT *, list_filter(cited, lambda x: x < 1 OR x > sources) AS bad FROM b)".replace("\\\\", "\\")
 
+TITLE = "split_part(text, chr(10), 1)"
+
 MARKS = "old AS (SELECT doc_id, md5(CASE WHEN doc_id % 9 = 1 THEN 'old' ELSE text END) AS md5 FROM documents WHERE doc_id % 3 <> 0)"
 
 ORACLE_SQL: dict[str, str] = {
     "bm25_topk": f"WITH {BM25} SELECT query_id, chunk_id, score, rank, 'bm25' AS source FROM bmr WHERE rank <= 10",
+    "bm25_indexed": f"WITH {bm25_fields(content='text')} SELECT query_id, chunk_id, score, rank, 'bm25' AS source FROM bmr WHERE rank <= 10",
+    "bm25_indexed_fields": f"WITH {bm25_fields(content='text', title=TITLE)} SELECT query_id, chunk_id, score, rank, 'bm25' AS source FROM bmr WHERE rank <= 10",
+    "bm25_fields": f"WITH {bm25_fields(content='text', title=TITLE)} SELECT query_id, chunk_id, score, rank, 'bm25' AS source FROM bmr WHERE rank <= 10",
+    "contained_items": "SELECT d.doc_id AS text_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "vector_topk": f"WITH {vector(EVERY_HUNDREDTH, ALL_VECTORS)} SELECT query_id, chunk_id, score, rank, 'vector' AS source FROM vr WHERE rank <= 10",
     "vector_topk_filtered": f"WITH {vector(EVERY_HUNDREDTH, ALL_VECTORS + ' WHERE label = 3')} SELECT query_id, chunk_id, score, rank, 'vector' AS source FROM vr WHERE rank <= 5",
     "hybrid_search": f"WITH {ROUTES}, {fused('routes')} SELECT query_id, chunk_id, score, rank, 'fusion' AS source FROM fus",

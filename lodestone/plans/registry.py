@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkConfig, RetrievalConfig, VectorIndexConfig
 from ..functions import text as T
-from ..operators import chunking, context, evaluation, fusion, indexing, rerank, retrieval, validation
+from ..operators import chunking, contains, context, evaluation, fusion, indexing, rerank, retrieval, textindex, validation
 from ..sources import parsers, segments
 from ..sources.files import parse_files
 from ..streaming import sync
+from .folders import new_folder
 from .oracle import ORACLE_SQL  # noqa: F401 - part of this module's interface
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,10 +74,22 @@ def _runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _qrels(spark: SparkSession, sf: str) -> DataFrame:
-    """Items and the documents that contain them: a stated query set, broadcast, against all documents."""
-    items = _read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    docs = _read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return docs.join(F.broadcast(items), F.contains("text", "item")).select("query_id", "chunk_id")
+    """Items and the documents that contain them."""
+    found = contains.contained_items(_texts(spark, sf), _items(spark, sf))
+    return found.select(F.col("item_id").alias("query_id"), F.col("text_id").alias("chunk_id"))
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
+
+
+def _titled(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as chunks with their first line as title; ids as text, as the stored index has them."""
+    return _read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"), F.substring_index("text", "\n", 1).alias("title"))
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,6 +107,34 @@ def bm25_topk(spark, sf):
     return retrieval.bm25_topk(_questions(spark, sf), _chunks(spark, sf).select("chunk_id", "content"), 10)
 
 
+@query
+def bm25_fields(spark, sf):
+    """The better of text and first line."""
+    return retrieval.bm25_topk(_questions(spark, sf), _titled(spark, sf), 10, ("content", "title"))
+
+
+@query
+def bm25_indexed(spark, sf):
+    """From a stored index, which is built first; the search reads nothing else."""
+    path = new_folder(spark, "text-index")
+    textindex.build(path, _titled(spark, sf))
+    return textindex.search(_questions(spark, sf), path, 10)
+
+
+@query
+def bm25_indexed_fields(spark, sf):
+    """The better of text and first line, from a stored index of three segments that replace parts of each other, merged."""
+    path, docs, fields = new_folder(spark, "text-index"), _titled(spark, sf), ("content", "title")
+    number = F.col("chunk_id").cast("long")
+    early, late = docs.where(number % 3 <= 1), docs.where(number % 3 >= 1)
+    stale = lambda df: df.withColumns({"content": F.concat_ws(" ", F.lit("stale"), "content"), "title": F.lit("stale")})
+    textindex.add_segment(path, 0, stale(early), fields=fields)
+    textindex.add_segment(path, 1, late, stale(early.where(number % 3 == 1)), fields)
+    textindex.add_segment(path, 2, docs.where(number % 3 == 0), stale(early.where(number % 3 == 0)), fields)
+    textindex.compact(spark, path, f"{path}-merged")
+    return textindex.search(_questions(spark, sf), f"{path}-merged", 10, fields)
+
+
 @query
 def vector_topk(spark, sf):
     return retrieval.vector_topk(_vector_queries(spark, sf), _vectors(spark, sf), 10)
@@ -126,6 +167,11 @@ def ivf_probe(spark, sf):
 # Evaluation --------------------------------------------------------------------
 
 
+@query
+def contained_items(spark, sf):
+    return contains.contained_items(_texts(spark, sf), _items(spark, sf))
+
+
 @query
 def eval_per_query(spark, sf):
     q = _qrels(spark, sf)

@@ -54,15 +54,19 @@ def read_stored(messages: DataFrame) -> DataFrame:
 
 
 def parse_files(files: DataFrame, parsers: dict[str, Callable[[bytes], Parsed]] | None = None) -> DataFrame:
-    """Segments of ``files(doc_id, doc_name, content)``; unknown types and broken files give a row with ``error``."""
+    """Segments of ``files(doc_id, doc_name, content)``; unknown types and broken files give a row with ``error``.
+
+    So does a file that comes with an ``error`` of its own, as ``read_stored`` gives it; it is not parsed.
+    """
     known = PARSERS if parsers is None else parsers
-    rows = files.select(F.col("doc_id").cast("string"), "doc_name", file_type("doc_name").alias("file_type"), fingerprint("content").alias("md5"), "content")
+    before = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    rows = files.select(F.col("doc_id").cast("string"), "doc_name", file_type("doc_name").alias("file_type"), fingerprint("content").alias("md5"), "content", before.alias("error"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc_id, name, kind, md5, data in zip(*(b.column(c).to_pylist() for c in ("doc_id", "doc_name", "file_type", "md5", "content")), strict=True):
-                for s in parse_file(kind, data, known):
+            for doc_id, name, kind, md5, data, error in zip(*(b.column(c).to_pylist() for c in ("doc_id", "doc_name", "file_type", "md5", "content", "error")), strict=True):
+                for s in [{"error": error}] if error is not None else parse_file(kind, data, known):
                     out.append({"doc_id": doc_id, "doc_name": name, "md5": md5} | s | {"metadata": list(s.get("metadata", {}).items())})
             yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 
