@@ -13,10 +13,10 @@ def _words(c: Column | str) -> Column:
     return F.split(c, " ")
 
 
-def _anchors(words: Column, n: int) -> Column:
-    """Digests of every ``n`` words in a row."""
-    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    return F.when(F.size(words) >= n, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n))))).otherwise(F.array().cast("array<long>"))
+def _anchors(text: str, n: int) -> Column:
+    """Digests of every ``n`` words in a row, once each; the text is split once."""
+    own = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n))))
+    return F.array_distinct(F.element_at(F.transform(F.array(_words(text)), own), 1))
 
 
 def contained_items(texts: DataFrame, items: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def contained_items(texts: DataFrame, items: DataFrame) -> DataFrame:
     candidates = None
     for n, which in ((ANCHOR, F.size("inner") >= ANCHOR), (1, F.size("inner").between(1, ANCHOR - 1))):
         asked = known.where(which).select("item_id", "item", F.xxhash64(F.slice("inner", 1, n)).alias("anchor"))
-        met = some.select("text_id", F.explode(_anchors(_words("text"), n)).alias("anchor")).join(asked, "anchor").select("text_id", "item_id", "item")
+        met = some.select("text_id", F.explode(_anchors("text", n)).alias("anchor")).join(asked, "anchor").select("text_id", "item_id", "item")
         candidates = met if candidates is None else candidates.unionByName(met)
     found = candidates.distinct().join(some, "text_id").where(F.contains("text", "item"))
     short = some.join(known.where(F.size("inner") == 0), F.contains("text", "item"))
