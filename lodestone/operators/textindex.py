@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
@@ -27,8 +27,10 @@ from .retrieval import DIGITS, top_k
 BUCKETS = 32
 #: Entries that a block of a common term has on average at most.
 BLOCK = 1 << 14
-#: Up to this many distinct terms of a batch of queries go into the scan's filters; beyond it nearly every bucket is read.
+#: Up to this many distinct terms of a batch of queries go into the scan's filters.
 FILTERED_TERMS = 1000
+#: Up to this many pairs of query and term are counted first and then broadcast; more are joined by term.
+SMALL = 50_000
 
 _TABLES = {
     "postings": "field string, term string, tier int, slice int, n long, max_tf long, min_dl long, entries array<struct<chunk_id: string, tf: long, dl: long>>, bucket int",
@@ -155,39 +157,45 @@ def search(queries: DataFrame, path: str, k: int = 20, fields: Sequence[str] = (
     query's other terms together stay below the floor, as none of its chunks can be among the ``k``.
     """
     spark = queries.sparkSession
-    wanted = queries.select("query_id", F.explode(terms("question")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = wanted.select("term").distinct()
-    few = asked.withColumn("bucket", _bucket(buckets)).limit(FILTERED_TERMS + 1).collect()
+    wanted = queries.where("query_id IS NOT NULL").select("query_id", F.explode(terms("question")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    few = wanted.withColumn("bucket", _bucket(buckets)).select("term", "bucket").limit(SMALL + 1).collect()
+    small = len(few) <= SMALL
+    # Every row of these has a term of a query: with the queries they are few or many.
+    beside = F.broadcast if small else lambda df: df
+    asked = {(r["term"], r["bucket"]) for r in few}
 
     def of_terms(table: str) -> DataFrame:
         rows = _read(spark, path, table).where(F.col("field").isin(list(fields)))
-        if len(few) > FILTERED_TERMS:
-            return rows.join(asked, "term", "left_semi")
-        return rows.where(F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin([r["term"] for r in few]))
+        if small:
+            rows = rows.where(F.col("bucket").isin(sorted({b for _, b in asked})))
+        if small and len(asked) <= FILTERED_TERMS:
+            return rows.where(F.col("term").isin(sorted(t for t, _ in asked)))
+        return rows.join(beside(wanted.select("term").distinct()), "term", "left_semi")
+
+    def share(tf: str, dl: str) -> Column:
+        """What an entry adds, but for the weight of its term."""
+        return F.col(tf) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / F.col("avgdl")))
 
     postings, dead = of_terms("postings"), _read(spark, path, "dead")
-    less = of_terms("gone").groupBy("field", "term").agg(F.sum("df").alias("less"))
-    df = postings.groupBy("field", "term").agg(F.sum("n").alias("df")).join(less, ["field", "term"], "left").select("field", "term", (F.col("df") - F.coalesce("less", F.lit(0))).alias("df"))
     # ``_stats`` has a row for each field.
-    idf = F.ln(1 + (F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.join(F.broadcast(_stats(spark, path).withColumnRenamed("n", "n_all")), "field").select("field", "term", idf.alias("idf"), "avgdl")
-
-    def part(tf: Column, dl: Column) -> Column:
-        return F.col("qtf") * F.col("idf") * tf / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
-
-    blocks = postings.join(weights, ["field", "term"]).join(wanted, "term").withColumn("bound", part(F.col("max_tf"), F.col("min_dl")))
+    sized = F.broadcast(_stats(spark, path).withColumnRenamed("n", "n_all"))
+    bound, block = share("max_tf", "min_dl"), F.struct("segment", "tier", "slice")
+    lists = postings.join(sized, "field").groupBy("field", "term", "n_all", "avgdl").agg(F.sum("n").alias("df"), F.max(bound).alias("most"), F.max_by(block, bound).alias("best"))
+    less = of_terms("gone").groupBy("field", "term").agg(F.sum("df").alias("less"))
+    df = F.col("df") - F.coalesce("less", F.lit(0))
+    weight = F.col("qtf") * F.ln(1 + (F.col("n_all") - df + 0.5) / (df + 0.5))
+    asks = wanted.join(lists.join(less, ["field", "term"], "left"), "term").select("query_id", "field", "term", "avgdl", "best", weight.alias("weight"), (weight * F.col("most")).alias("most"))
+    # ``others``: what a query's other terms can add in the field.
+    asks = asks.withColumn("others", F.sum("most").over(Window.partitionBy("query_id", "field")) - F.col("most"))
 
     def scored(some: DataFrame) -> DataFrame:
         """``(query_id, chunk_id, score)`` from some blocks: sums by field of what is alive, then the best field."""
-        flat = some.select("query_id", "field", "segment", "qtf", "idf", "avgdl", F.explode("entries").alias("e"))
-        sums = flat.groupBy("query_id", "field", "segment", F.col("e.chunk_id").alias("chunk_id")).agg(F.sum(part(F.col("e.tf"), F.col("e.dl"))).alias("score"))
+        flat = some.select("query_id", "field", "segment", "weight", "avgdl", F.explode("entries").alias("e")).select("query_id", "field", "segment", "e.chunk_id", (F.col("weight") * F.expr("e.tf") / (F.expr("e.tf") + k1 * (1 - b + b * F.expr("e.dl") / F.col("avgdl")))).alias("part"))
+        sums = flat.groupBy("query_id", "field", "segment", "chunk_id").agg(F.sum("part").alias("score"))
         return _live(sums, dead).groupBy("query_id", "chunk_id").agg(F.round(F.max("score"), DIGITS).alias("score"))
 
-    of_term = blocks.groupBy("query_id", "field", "term").agg(F.max("bound").alias("most"), F.max_by(F.struct("segment", "tier", "slice"), "bound").alias("best"))
-    total = of_term.groupBy("query_id", "field").agg(F.sum("most").alias("total"))
-    bounded = blocks.join(of_term.join(total, ["query_id", "field"]), ["query_id", "field", "term"])
-    seeds = scored(bounded.where(F.col("best") == F.struct("segment", "tier", "slice")))
+    seeds = scored(postings.join(beside(asks), ["field", "term"]).where(F.col("best") == block))
     floor = top_k(seeds, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     # Scores are rounded, and sums of doubles depend on their order: a little less than the floor is kept.
-    hopeful = bounded.join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("total") - F.col("most") + F.col("bound") >= F.col("floor") - 3 * 10.0**-DIGITS))
+    hopeful = postings.join(beside(asks.join(floor, "query_id", "left")), ["field", "term"]).where(F.col("floor").isNull() | (F.col("others") + F.col("weight") * bound >= F.col("floor") - 3 * 10.0**-DIGITS))
     return top_k(scored(hopeful), k).withColumn("source", F.lit("bm25"))
