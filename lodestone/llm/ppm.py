@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, need, read, stored
+from .common import bucket, counted, need, read, stored, trimmed
 
 #: Bytes of context.
 ORDER = 4
@@ -22,8 +22,10 @@ ORDER = 4
 BLOCK_BYTES = 32_000_000
 #: Bytes handled at once inside a block.
 STEP = 2_000_000
-#: Text whose counts make a part of the key space, so that parts grow in number and not in size.
-PART_BYTES = 4_000_000
+#: Distinct keys of a part of the key space, counted first; up to ``LEAST_PARTS`` parts may be smaller.
+PART_KEYS, SMALL_PART_KEYS, LEAST_PARTS = 1 << 20, 1 << 16, 64
+#: Blocks whose questions about a part are answered by one task.
+BIN_BLOCKS = 1 << 13
 #: These two never occur in UTF-8: what stands before a text, and its end.
 START, END = 0xFE, 0xFF
 SYMBOLS = 256
@@ -112,8 +114,8 @@ class Tally:
 
 #: Kinds of rows: packed texts, counts of contexts, counts of words.
 TEXTS, GRAMS, WORDS = 0, 1, 2
-ROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
-ROW_DDL = "block long, kind int, part int, keys binary, n binary"
+ROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+ROW_DDL = "block long, kind int, keys binary, n binary"
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -130,12 +132,10 @@ def _undelta(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, np.int64))
 
 
-def _split(block: int, kind: int, keys: np.ndarray, n: np.ndarray, parts: int) -> list[dict]:
-    """Rows of (keys, n) by part, keys ascending in each."""
-    by = np.lexsort((keys, p := part_of(keys, parts)))
-    keys, n, p = keys[by], n[by], p[by]
-    ends = np.searchsorted(p, np.arange(parts + 1))
-    return [{"block": block, "kind": kind, "part": k, "keys": _delta(keys[a:z]), "n": n[a:z].tobytes()} for k, (a, z) in enumerate(zip(ends, ends[1:], strict=False)) if z > a]
+def _counts(block: int, kind: int, keys: np.ndarray, n: np.ndarray) -> dict:
+    """One row of a block's (keys, n), keys ascending."""
+    by = np.argsort(keys)
+    return {"block": block, "kind": kind, "keys": _delta(keys[by]), "n": n[by].tobytes()}
 
 
 def pack_texts(ids: list[int | None], texts: list[bytes]) -> tuple[bytes, bytes]:
@@ -151,11 +151,8 @@ def unpack_texts(payload: bytes, marks: bytes) -> tuple[list[int | None], list[b
     return [None if none else i for i, none, _ in m.tolist()], [raw[z - n : z] for z, n in zip(ends.tolist(), m[:, 2].tolist(), strict=True)]
 
 
-def blocks(docs: DataFrame, learn: Column, order: int, parts: int) -> DataFrame:
-    """Blocks of a task's input: rows of packed texts, and the block's counts by part.
-
-    Arrays travel as binaries, thousands of counts a row, so the JVM handles few rows.
-    """
+def blocks(docs: DataFrame, learn: Column, order: int) -> DataFrame:
+    """Blocks of a task's input: rows of packed texts, and a row each for the block's counts of contexts and of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = TaskContext.get().partitionId() << 32, 0
@@ -166,11 +163,11 @@ def blocks(docs: DataFrame, learn: Column, order: int, parts: int) -> DataFrame:
 
         def texts() -> dict:
             payload, marks = pack_texts(ids, held)
-            return {"block": block, "kind": TEXTS, "part": None, "keys": payload, "n": marks}
+            return {"block": block, "kind": TEXTS, "keys": payload, "n": marks}
 
         def counts() -> list[dict]:
             keys, n, hashes, wn = tally.result()
-            return _split(block, GRAMS, keys, n, parts) + _split(block, WORDS, hashes, wn, parts)
+            return [_counts(block, GRAMS, keys, n), _counts(block, WORDS, hashes, wn)]
 
         for b in batches:
             for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -197,24 +194,65 @@ def blocks(docs: DataFrame, learn: Column, order: int, parts: int) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), learn.alias("learn")).mapInArrow(run, ROW_DDL)
 
 
-def _total(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of one part added up over its blocks, a few blocks at a time."""
-    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    waiting = 0
-    for k, c in zip(table.column("keys"), table.column("n"), strict=True):
-        held.append((_undelta(k.as_py()), np.frombuffer(c.as_py(), np.int64)))
-        waiting += len(held[-1][0])
-        if waiting > max(1_000_000, len(keys)):
-            keys, n = _count(np.concatenate([keys, *(h[0] for h in held)]), np.concatenate([n, *(h[1] for h in held)]))
-            held, waiting = [], 0
-    if held:
-        keys, n = _count(np.concatenate([keys, *(h[0] for h in held)]), np.concatenate([n, *(h[1] for h in held)]))
-    return keys, n
+def totals(counts: DataFrame) -> DataFrame:
+    """``(key, c)``: the counts of all blocks added up, in the JVM, tasks first."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, n in zip(b.column(0), b.column(1), strict=True):
+                keys, c = _undelta(k.as_py()), np.frombuffer(n.as_py(), np.int64)
+                for a in range(0, len(keys), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 16)]), pa.array(c[a : a + (1 << 16)])], ["key", "c"])
+
+    return counts.select("keys", "n").mapInArrow(trimmed(pairs), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def answers(asked: DataFrame, model: DataFrame, distinct: int, n_blocks: int) -> DataFrame:
+    """``(block, keys, v)``: of the keys that each row of ``asked(block, keys)`` has, those that ``model(key, v)`` has, with its value.
+
+    Keys are dealt by parts of about ``PART_KEYS`` of the ``distinct`` ones, so a block asks in
+    as many rows as there are parts and not in more when the corpus grows but its
+    contexts do not.  A task has the keys of one part and the questions of
+    at most some ``BIN_BLOCKS`` blocks; the model's part goes to each such bin.
+    """
+    parts = max(1, -(-distinct // PART_KEYS), min(LEAST_PARTS, -(-distinct // SMALL_PART_KEYS)))
+    bins = max(1, -(-n_blocks // BIN_BLOCKS))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                keys = _undelta(raw.as_py())
+                p = part_of(keys, parts)
+                by = np.argsort(p, kind="stable")
+                keys, p = keys[by], p[by]
+                found, starts = np.unique(p, return_index=True)
+                cuts = [_delta(k) for k in np.split(keys, starts[1:])] if len(keys) else []
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array(found.astype(np.int32)), pa.array(cuts, pa.binary())], ["block", "part", "keys"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(b.column(0).to_numpy(), parts).astype(np.int32)), b.column(0), b.column(1)], ["model_part", "key", "v"])
+
+    def look_up(questions: pa.Table, known: pa.Table) -> pa.Table:
+        keys, v = known.column("key").to_numpy(), known.column("v").to_numpy()
+        by = np.argsort(keys)
+        keys, v = keys[by], v[by]
+        out = []
+        for block, raw in zip(questions.column("block").to_pylist(), questions.column("keys"), strict=True):
+            wanted = _undelta(raw.as_py())
+            at = np.searchsorted(keys, wanted)
+            there = at < len(keys)
+            there[there] = keys[at[there]] == wanted[there]
+            out.append({"block": block, "keys": _delta(wanted[there]), "v": v[at[there]].tobytes()})
+        return pa.Table.from_pylist(out, ENTRY)
+
+    questions = asked.select("block", "keys").mapInArrow(trimmed(split), "block long, part int, keys binary").withColumn("bin", F.pmod(F.xxhash64("block"), F.lit(bins)))
+    shared = model.mapInArrow(trimmed(own), "model_part int, key long, v double").withColumn("model_bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    return questions.groupBy("part", "bin").cogroup(shared.groupBy("model_part", "model_bin")).applyInArrow(look_up, ENTRY_DDL)
 
 
 def code_table(total: DataFrame, order: int) -> DataFrame:
-    """``(key, logp)`` for every key of ``total(key, c)``: log10 of the symbol's probability after its context.
+    """``(key, v)`` for every key of ``total(key, c)``: ``v`` is log10 of the symbol's probability after its context.
 
     Method C: in a context with N counts of D symbols, a seen symbol has c / (N + D)
     and the escape D / (N + D); after an escape the shorter context leaves out the
@@ -248,7 +286,7 @@ def code_table(total: DataFrame, order: int) -> DataFrame:
         joined = joined.withColumn("q", q)
         f = F.when(F.col("n").isNull(), F.col("f0")).when(F.col("c") > 0, F.col("c") / (F.col("n") + F.col("d"))).otherwise(F.col("d") / (F.col("n") + F.col("d")) * F.col("q"))
         at = stored(joined.select("key", F.col("c").cast("double").alias("c"), F.coalesce("n", F.lit(0.0)).alias("n"), F.coalesce("d", F.lit(0.0)).alias("d"), "q", f.alias("f")), f"ppm-at{k}")
-    return at.select("key", F.log10("f").alias("logp"))
+    return at.select("key", F.log10("f").alias("v"))
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
@@ -260,7 +298,7 @@ def score_documents(docs: DataFrame, learn: Column, order: int = ORDER, id_col:
     ``score`` is the log10 probability that the byte model of the documents with
     ``learn`` true gives to the lower-cased text and its end; ``base_score`` that of
     the smoothed word unigram.  Every task counts byte contexts and words of its
-    block; counts are added up by part of the key space, turned into code lengths by
+    block; counts are added up, turned into code lengths by
     joins, and each block gets back the entries it uses, which its size bounds.
     So the model is never in one place and grows with the corpus.
 
@@ -272,41 +310,14 @@ def score_documents(docs: DataFrame, learn: Column, order: int = ORDER, id_col:
     if not 1 <= order <= 6:
         raise ValueError("order must be from 1 to 6")
     rows = need(docs, (id_col, text_col)).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    parts = 1 + (rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // PART_BYTES
-    table = stored(blocks(rows, F.coalesce(learn, F.lit(False)), order, parts), "ppm-blocks", compression="zstd")
-    grams, found = table.where(F.col("kind") == GRAMS), table.where(F.col("kind") == WORDS)
-
-    def add(t: pa.Table) -> pa.Table:
-        keys, n = _total(t)
-        return pa.table({"key": keys, "c": n})
-
-    total = stored(grams.groupBy("part").applyInArrow(add, "key long, c long"), "ppm-grams")
-    codes = code_table(total, order)
-
-    def known(t: pa.Table) -> pa.Table:
-        """Word counts: what each block asked for, and a row for the whole part."""
-        keys, n = _total(t)
-        seen = n[n > 0]
-        out = [{"block": None, "keys": None, "v": np.array([seen.sum(), len(seen)], np.float64).tobytes()}]
-        for b, k in zip(t.column("block").to_pylist(), t.column("keys"), strict=True):
-            own = _undelta(k.as_py())
-            c = n[np.searchsorted(keys, own)]
-            out.append({"block": b, "keys": _delta(own[c > 0]), "v": c[c > 0].astype(np.float64).tobytes()})
-        return pa.Table.from_pylist(out, ENTRY)
-
-    vocabulary = stored(found.groupBy("part").applyInArrow(known, ENTRY_DDL), "ppm-words", compression="zstd")
-    sums = vocabulary.where("block IS NULL").select("v").collect()  # a row for each part
-    tokens, distinct = (int(x) for x in sum((np.frombuffer(r["v"]) for r in sums), np.zeros(2)))
-
-    def look_up(t: pa.Table, model: pa.Table) -> pa.Table:
-        keys, logp = model.column("key").to_numpy(), model.column("logp").to_numpy()
-        by = np.argsort(keys)
-        keys, logp = keys[by], logp[by]
-        out = [{"block": b, "keys": k.as_py(), "v": logp[np.searchsorted(keys, _undelta(k.as_py()))].tobytes()} for b, k in zip(t.column("block").to_pylist(), t.column("keys"), strict=True)]
-        return pa.Table.from_pylist(out, ENTRY)
-
-    asked = grams.select("block", "part", "keys").groupBy("part").cogroup(_with_part(codes, parts).groupBy("model_part")).applyInArrow(look_up, ENTRY_DDL)
-    entries = asked.select(F.lit(GRAMS).alias("kind"), "block", "keys", "v").unionAll(vocabulary.where("block IS NOT NULL").select(F.lit(WORDS), "block", "keys", "v"))
+    table = stored(blocks(rows, F.coalesce(learn, F.lit(False)), order), "ppm-blocks", compression="zstd", measures={"n": F.count_if(F.col("kind") == GRAMS)})
+    grams, found, n_blocks = table.where(F.col("kind") == GRAMS), table.where(F.col("kind") == WORDS), table._measured.get("n", 0)
+    total, contexts = counted(totals(grams), "ppm-grams")
+    seen = stored(totals(found), "ppm-words", measures={"n": F.count(F.lit(1)), "tokens": F.sum("c"), "distinct": F.count_if(F.col("c") > 0)})
+    tokens, distinct = (int(seen._measured.get(k) or 0) for k in ("tokens", "distinct"))
+    codes = answers(grams, code_table(total, order), contexts, n_blocks)
+    counts = answers(found, seen.where("c > 0").select("key", F.col("c").cast("double").alias("v")), seen._measured.get("n", 0), n_blocks)
+    entries = codes.select(F.lit(GRAMS).alias("kind"), "block", "keys", "v").unionAll(counts.select(F.lit(WORDS), "block", "keys", "v"))
 
     def score(texts: pa.Table, model: pa.Table) -> pa.Table:
         kinds = model.column("kind").to_numpy()
@@ -343,14 +354,6 @@ ENTRY = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("v", pa.binary
 ENTRY_DDL = "block long, keys binary, v binary"
 
 
-def _with_part(codes: DataFrame, parts: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(b.column(0).to_numpy(), parts).astype(np.int32)), b.column(0), b.column(1)], ["model_part", "key", "logp"])
-
-    return codes.mapInArrow(run, "model_part int, key long, logp double")
-
-
 class Trie:
     """The same model for one sequence, learning as it codes; plain Python, for adaptive code lengths."""
 
