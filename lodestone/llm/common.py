@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -71,7 +73,7 @@ def stored(df: DataFrame, label: str, compression: str = "snappy", measures: dic
     seen = Observation() if measures else None
     rows = df.observe(seen, *[c.alias(k) for k, c in measures.items()]) if measures else df
     rows.write.option("compression", compression).parquet(path)
-    _TABLES.append(path)
+    note(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at, out._measured = path, dict(seen.get) if measures else {}
     return out
@@ -83,7 +85,33 @@ def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return out, out._measured.get("n", 0)
 
 
-_TABLES: list[str] = []
+class _Lists(threading.local):
+    """Of each thread, the lists of tables that are being written to; the last is the present one."""
+
+    def __init__(self):
+        self.open: list[list[str]] = [[]]
+
+
+_LISTS = _Lists()
+
+
+def note(path: str) -> None:
+    """Remember an intermediate table as one of the present list."""
+    _LISTS.open[-1].append(path)
+
+
+@contextmanager
+def tables() -> Iterator[list[str]]:
+    """The intermediate tables that this thread writes inside are a list of their own, which is given.
+
+    ``release`` them once what was made from them is saved; tables of other calls and threads stay.
+    """
+    own: list[str] = []
+    _LISTS.open.append(own)
+    try:
+        yield own
+    finally:
+        _LISTS.open.pop()
 
 
 def _delete(spark: SparkSession, name: str) -> bool:
@@ -91,31 +119,27 @@ def _delete(spark: SparkSession, name: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables written so far; call it once results are saved."""
-    done = 0
-    while _TABLES:
-        done += _delete(spark, _TABLES.pop())
-    return done
+def release(spark: SparkSession, done: list[str] | None = None) -> int:
+    """Delete the tables of a list that ``tables`` gave, or those that this thread wrote outside of any; results from them must be saved."""
+    done = _LISTS.open[0] if done is None else done
+    n = 0
+    while done:
+        n += _delete(spark, done.pop())
+    return n
 
 
 def marked() -> int:
-    """Where the list of intermediate tables ends now, for ``discard``."""
-    return len(_TABLES)
+    """Where the present list of intermediate tables ends now, for ``discard``."""
+    return len(_LISTS.open[-1])
 
 
 def discard(spark: SparkSession, mark: int, *kept: DataFrame) -> None:
-    """Delete the tables written since ``mark`` but those of ``kept``, which were written from them.
-
-    Shuffle files and broadcasts go when the driver finds that nothing refers to them
-    any more, so it is asked to look.
-    """
+    """Delete this thread's tables written since ``mark`` but those of ``kept``, which were written from them."""
     keep = {df._stored_at for df in kept}
-    gone = [t for t in _TABLES[mark:] if t not in keep]
-    for t in gone:
+    own = _LISTS.open[-1]
+    for t in [t for t in own[mark:] if t not in keep]:
         _delete(spark, t)
-        _TABLES.remove(t)
-    spark.sparkContext._jvm.System.gc()
+        own.remove(t)
 
 
 def lower_ascii(text: Column | str) -> Column:

@@ -1,10 +1,14 @@
-"""Connected components of an edge table, as DataFrame operations only."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import discard, marked, stored
 
@@ -26,30 +30,31 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     splits a hub with a third of all edges.  Each round ends in a written table.
     Nothing but a count and a digest reaches the driver.
 
-    Once a round leaves no more than ``FEW_EDGES`` edges, the same steps run on one
-    partition each, as dealing so few rows costs more than the work on them.
+    Once no more than ``FEW_EDGES`` edges are left, which are counted, one task of a
+    scan reads them and labels their nodes: rounds on so few rows cost more than the rows do.
 
     Nulls in either column and self-loops are ignored, repeated edges count once.
     An empty table gives an empty result.  Ids may be of any ordered type.
     """
-    x, y = F.col(f"`{u}`"), F.col(f"`{v}`")
+    x, y, mark = F.col(f"`{u}`"), F.col(f"`{v}`"), marked()
     e = stored(edges.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "cc-edges", measures=_state())
     state = e._measured
     if not state.get("n"):
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    mark = marked()
     for _ in range(max_rounds):
-        few = state["n"] <= FEW_EDGES
-        near = lambda df: df.coalesce(1) if few else df  # noqa: B023, E731 - used in this round only
+        if state["n"] <= FEW_EDGES:
+            out = stored(_labelled(e), "cc-labels")
+            discard(e.sparkSession, mark, out)
+            return out
         ends = F.array(*[F.struct(F.col(n).alias("n"), F.col(v).alias("v")) for n, v in (("a", "b"), ("b", "a"))])
-        both = near(e).select(F.inline(ends))
+        both = e.select(F.inline(ends))
         low = stored(both.groupBy("n").agg(F.min("v").alias("m")).select("n", F.least("n", "m").alias("m")), "cc-low")
-        large = both.where("v > n").join(near(low), "n").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = near(stored(large, "cc-large"))
+        large = both.where("v > n").join(low, "n").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = stored(large, "cc-large")
         root = stored(large.groupBy("a").agg(F.min("b").alias("m")), "cc-root")
         # An edge (a, b) gives (b, m) for the smallest neighbour m of a, and the edge to m itself stays.
         kept = F.when(F.col("b") == F.col("m"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        small = large.join(near(root), "a").select(kept.alias("e")).select("e.a", "e.b").distinct()
+        small = large.join(root, "a").select(kept.alias("e")).select("e.a", "e.b").distinct()
         e = stored(small, "cc-edges", measures=_state())
         before, state = state, e._measured
         if before == state:
@@ -61,6 +66,20 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     return pairs.unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _labelled(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` of at most ``FEW_EDGES`` edges ``(a, b)``, in one task."""
+    kind = edges.schema["a"].dataType
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [pa.concat_arrays(x) for x in zip(*((b.column(0), b.column(1)) for b in batches), strict=True)]
+        if ends:
+            ids, at = np.unique(pa.concat_arrays(ends).to_numpy(zero_copy_only=False), return_inverse=True)
+            low = lowest(len(ids), at[: len(ends[0])], at[len(ends[0]) :])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, ends[0].type), pa.array(ids[low], ends[0].type)], ["node", "component"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(label, StructType().add("node", kind).add("component", kind))
+
+
 def lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of ``n`` nodes the smallest it is linked with over the edges (i, j), directly or by steps."""
     label = np.arange(n)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import huffman
-from .common import _TABLES, need, read, shared_dir, stored, trimmed
+from .common import need, note, read, shared_dir, stored, trimmed
 from .wordscan import KEY_BYTES, keys_of
 
 #: Longest code in bits; a window of that many bits indexes the decoding table.
@@ -384,7 +384,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def token_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
     """Write ``docs`` in the token format, read the files back, and digest each document."""
     path = f"{shared_dir(docs.sparkSession)}/lodestone/token-files-{uuid.uuid4().hex}"
-    _TABLES.append(path)
+    note(path)
     write_tokens(docs, path, tokenizer_path, end_id)
     return read_tokens(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

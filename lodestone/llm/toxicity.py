@@ -17,7 +17,9 @@ from .common import bucket, need, read, stored, trimmed, words
 FEATURES = 1 << 20
 CHOSEN = 1 << 14
 #: Default bounds of the training sample (see ``train``).
-MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
+MAX_POSITIVE, MAX_UNLABELLED, MAX_TEXTS = 6_000, 12_000, 8_000
+#: How far, in log odds, the prior may move the scores of a fitted model.
+MOST_SHIFT = 1.0
 #: Lengths of the word beginnings that are features beside the whole word.
 STEMS = (4, 5, 6)
 #: Words whose features a worker remembers; beyond that it starts afresh.
@@ -125,36 +127,50 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], features: np.n
     return Model(features, w, float(b))
 
 
-def _sample(texts: DataFrame, marks: DataFrame, max_positive: int, max_unlabelled: int) -> DataFrame:
-    """``(doc_id, p, u, f)``: features of the documents to learn from, by id, and whether they are a positive, an unlabelled one, or both.
+def mean_model(one: Model, other: Model) -> Model:
+    """The model whose log odds are the mean of those of two."""
+    features = np.union1d(one.features, other.features)
+    weights = np.zeros(len(features))
+    for m in (one, other):
+        weights[np.searchsorted(features, m.features)] += m.weights / 2
+    return Model(features, weights, (one.bias + other.bias) / 2)
 
-    Ids are chosen without their texts, by smallest hash.  Unlabelled are documents
-    of ``marks`` whatever their label there, or, where it has no other label than 1,
-    any documents.  Of rows that share an id the one of smallest features counts.
+
+def shift_to_prior(scores: np.ndarray, prior: float, threshold: float) -> float:
+    """What to add to log odds so that a share ``prior`` of them reaches the threshold; at most ``MOST_SHIFT`` either way."""
+    if not len(scores):
+        return 0.0
+    least = np.sort(scores)[min(len(scores) - 1, int(round(len(scores) * (1 - prior))))]
+    return float(np.clip(np.log(threshold / (1 - threshold)) - least, -MOST_SHIFT, MOST_SHIFT))
+
+
+def _sample(texts: DataFrame, marks: DataFrame, max_positive: int, max_unlabelled: int, max_texts: int) -> DataFrame:
+    """``(doc_id, p, u, t, f)``: features of the documents to learn from, by id, and what each is: a positive, one of ``marks``, any text.
+
+    Ids are chosen without their texts, by smallest hash; one may be chosen for more than one part.  Of
+    rows that share an id the one of smallest features counts.
     """
-    positive = marks.where("y = 1")
-    pool = marks if not marks.where("y <> 1").isEmpty() else texts.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    choose = lambda df, most, salt: df.select("doc_id", F.xxhash64(F.lit(salt), "doc_id").alias("o")).orderBy("o").limit(most).select("doc_id")
-    p = choose(positive, max_positive, "p").select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u"))
-    u = choose(pool, max_unlabelled, "u").select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u"))
-    ids = stored(p.unionAll(u).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u")), "tox-ids")
+    choose = lambda df, most, salt: df.select("doc_id", F.xxhash64(F.lit(salt), "doc_id").alias("o")).orderBy("o").limit(most).select("doc_id", F.lit(salt).alias("what"))
+    anything = texts.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    picked = choose(marks.where("y = 1"), max_positive, "p").unionAll(choose(marks, max_unlabelled, "u")).unionAll(choose(anything, max_texts, "t"))
+    ids = stored(picked.groupBy("doc_id").agg(*[F.max((F.col("what") == x).cast("int")).alias(x) for x in "put"]), "tox-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([document_features(t.as_py()).tobytes() for t in b.column(3)], pa.binary())], ["doc_id", "p", "u", "f"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([document_features(t.as_py()).tobytes() for t in b.column(4)], pa.binary())], ["doc_id", *"put", "f"])
 
     # The bounds of the sample bound what is broadcast.
-    rows = texts.join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("string"), "p", "u", "text").mapInArrow(trimmed(run), "doc_id string, p int, u int, f binary")
-    return stored(rows.groupBy("doc_id", "p", "u").agg(F.min("f").alias("f")), "tox-sample")
+    rows = texts.join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("string"), *"put", "text").mapInArrow(trimmed(run), "doc_id string, p int, u int, t int, f binary")
+    return stored(rows.groupBy("doc_id", *"put").agg(F.min("f").alias("f")), "tox-sample")
 
 
-def _standing_out(sample: DataFrame, np_: int, nu: int) -> np.ndarray:
-    """The features whose share among the positives stands out most from that among the unlabelled, by a chi-square."""
+def _standing_out(sample: DataFrame, other: str, np_: int, nu: int) -> np.ndarray:
+    """The features whose share among the positives stands out most from that among the rows of kind ``other``, by a chi-square."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, u = np.zeros(FEATURES, np.int32), np.zeros(FEATURES, np.int32)
         for b in batches:
-            for is_p, is_u, f in zip(*(b.column(k) for k in (1, 2, 3)), strict=True):
+            for is_p, is_u, f in zip(b.column("p"), b.column(other), b.column("f"), strict=True):
                 own = np.frombuffer(f.as_buffer(), np.uint32)
                 p[own] += is_p.as_py()
                 u[own] += is_u.as_py()
@@ -168,39 +184,53 @@ def _standing_out(sample: DataFrame, np_: int, nu: int) -> np.ndarray:
     return np.array(sorted(r["feature"] for r in best.select("feature").collect()), np.int64)  # CHOSEN rows at most
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_texts: int = MAX_TEXTS, threshold: float = 0.3) -> Model:
     """Learn from documents confirmed toxic in ``labels`` and from text without regard to its labels.
 
-    ``max_positive`` confirmed and ``max_unlabelled`` other documents bound the sample
-    of labelled rows that the model is fitted on: those of smallest hash of the id.
-    Unlabelled text is that of documents of ``labels``, their labels ignored, or any
-    text where ``labels`` knows toxic documents only.  Labelled negatives are used for
+    Two linear models are fitted to the same positives, one against documents of ``labels`` with their
+    labels ignored, one against any text; the log odds of the result are their mean,
+    shifted so that of the any-text rows a share equal to the class prior reaches ``threshold``.
+    The sample is bounded by parameters: ``max_positive`` confirmed documents, ``max_unlabelled``
+    of ``labels`` and ``max_texts`` of any, those of smallest hash of the id.  Where ``labels``
+    knows toxic documents only, any text stands for both.  Labelled negatives are used for
     the class prior alone (the share of 1 among all labels given), unless ``prior`` is
     given.  Of rows that share an id one is learned from; of labels that disagree the
     larger counts; null ids and labels are ignored.  Features are computed and counted
-    in the tasks; at most 16,384 of them and the sample's places in them reach the driver.
+    in the tasks; at most twice 16,384 of them and the sample's places in them reach the driver.
     """
     texts = need(docs, (id_col, text_col)).toDF("doc_id", "text")
     marks = stored(need(labels, (id_col, label_col)).toDF("doc_id", "y").where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y")), "tox-marks")
     if prior is None:
         share = marks.agg(F.avg((F.col("y") == 1).cast("double")).alias("p")).first()["p"]
         prior = min(0.9, max(1e-4, share)) if share is not None else 1e-4
-    sample = _sample(texts, marks, max_positive, max_unlabelled)
-    size = sample.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.coalesce(F.sum("u"), F.lit(0)).alias("u")).first()
-    if not size["p"] or not size["u"]:
+    pools = ("u", "t") if not marks.where("y <> 1").isEmpty() else ("t",)
+    sample = _sample(texts, marks, max_positive, max_unlabelled, max_texts)
+    size = sample.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "put"]).first()
+    pools = [x for x in pools if size[x]]
+    if not size["p"] or not pools:
         return fit([], [], np.zeros(0, np.int64), prior)
-    features = _standing_out(sample, size["p"], size["u"])
+    chosen = {x: _standing_out(sample, x, size["p"], size[x]) for x in pools}
+    every = np.unique(np.concatenate(list(chosen.values())))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.full(FEATURES, -1, np.int32)
-        at[features] = np.arange(len(features))
+        at[every] = np.arange(len(every))
         for b in batches:
-            rows = [(m := at[np.frombuffer(f.as_buffer(), np.uint32)])[m >= 0].astype(np.uint16).tobytes() for f in b.column(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rows, pa.binary())], ["doc_id", "p", "u", "f"])
+            rows = [(m := at[np.frombuffer(f.as_buffer(), np.uint32)])[m >= 0].astype(np.uint16).tobytes() for f in b.column(4)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(rows, pa.binary())], ["doc_id", *"put", "f"])
+
+    got = sample.mapInArrow(trimmed(place), "doc_id string, p int, u int, t int, f binary").orderBy("doc_id").collect()  # the sample's bounds
+
+    def rows(kind: str, features: np.ndarray) -> list[np.ndarray]:
+        own = np.full(len(every), -1, np.int64)
+        own[np.searchsorted(every, features)] = np.arange(len(features))
+        return [(m := own[np.frombuffer(r["f"], np.uint16)])[m >= 0] for r in got if r[kind]]
 
-    got = sample.mapInArrow(trimmed(place), "doc_id string, p int, u int, f binary").orderBy("doc_id").collect()  # the sample's bounds
-    rows = lambda k: [np.frombuffer(r["f"], np.uint16) for r in got if r[k]]
-    return fit(rows("p"), rows("u"), features, prior)
+    fitted = [fit(rows("p", f), rows(x, f), f, prior) for x, f in chosen.items()]
+    model = fitted[0] if len(fitted) == 1 else mean_model(*fitted)
+    any_text = Rows(rows("t", model.features), len(model.features))
+    model.bias += shift_to_prior(any_text.dot(model.weights) + model.bias, prior, threshold)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -228,7 +258,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
     same score; rows without id are scored and count as not held out.  Without
     positive labels the score is the prior.  An empty table gives an empty result.
     """
-    model = train(docs.where(~held_out()), labels.where(~held_out()))
+    model = train(docs.where(~held_out()), labels.where(~held_out()), threshold=threshold)
     return score_toxicity(docs, model, threshold=threshold).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
@@ -239,7 +269,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_
     texts get the score of a text without features.  Training is as in
     ``toxicity_scores``.  An empty table stays empty.
     """
-    model = train(docs.where(~held_out()), labels.where(~held_out()))
+    model = train(docs.where(~held_out()), labels.where(~held_out()), threshold=threshold)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

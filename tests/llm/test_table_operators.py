@@ -1,5 +1,6 @@
 """Mixing, URL filters, embeddings, licences, toxicity, decontamination and the pipeline."""
 
+import os
 import random
 
 import numpy as np
@@ -210,6 +211,26 @@ def test_toxicity_held_out(spark):
     assert [r.score for r in unlabelled] == [pytest.approx(1e-4, rel=1e-3)] * 5
 
 
+def test_held_out_recall_and_precision_on_the_supplied_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.exists(folder):
+        pytest.skip("the supplied tables are not here")
+    got = toxicity.op2_toxicity(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
+    n = got.agg(F.sum("toxic").alias("bad"), F.sum("predicted").alias("said"), F.sum(F.col("toxic") * F.col("predicted")).alias("right")).first()
+    assert n.bad > 100 and n.right >= 0.9 * n.bad and n.right >= 0.88 * n.said
+
+
+def test_shift_to_the_prior():
+    scores = np.linspace(-4, 4, 101)
+    d = toxicity.shift_to_prior(scores, 0.55, 0.3)
+    assert abs(d) < 1 and ((1 / (1 + np.exp(-(scores + d)))) >= 0.3 - 1e-12).mean() == pytest.approx(0.55, abs=0.02)
+    assert toxicity.shift_to_prior(scores + 50, 0.55, 0.3) == -1 and toxicity.shift_to_prior(np.zeros(0), 0.35, 0.3) == 0
+    one = toxicity.Model(np.array([3, 9]), np.array([1.0, -2.0]), 0.5)
+    two = toxicity.Model(np.array([9, 20]), np.array([4.0, 6.0]), -1.5)
+    both = toxicity.mean_model(one, two)
+    assert both.features.tolist() == [3, 9, 20] and both.weights.tolist() == [0.5, 1.0, 3.0] and both.bias == -0.5
+
+
 def test_non_negative_risk_falls_back_to_the_prior():
     assert toxicity.fit([], [], np.zeros(0, int), 0.2).scorer()("any text") == pytest.approx(0.2)
 

@@ -10,8 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, huffman, ppm, simhash, tokens
-from lodestone.llm.common import words
+from lodestone.llm import chat, components, huffman, ppm, simhash, tokens
+from lodestone.llm.common import discard, marked, release, stored, tables, words
 from lodestone.llm.components import connected_components
 
 DOC = "doc_id long, text string"
@@ -23,7 +23,9 @@ def odd_docs(spark, extra=()):
     return spark.createDataFrame(rows, DOC).withColumn("score", F.lit("clash")).withColumn("fp", F.lit(1)).withColumn("size", F.lit("x"))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [components.FEW_EDGES, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(500, 500 + i) for i in range(1, 40)] + [(7, None), (3, 3), (1, 2), (2, 1)]
     parent = {}
@@ -40,6 +42,22 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    named = connected_components(spark.createDataFrame([("é", "z"), ("z", "a"), ("é", "日")], "u string, v string"))
+    assert {tuple(r) for r in named.collect()} == {(x, "a") for x in ("a", "é", "z", "日")}
+
+
+def test_tables_belong_to_the_call_that_wrote_them(spark):
+    mine = stored(spark.range(5), "mine")
+    with tables() as own:
+        theirs = stored(spark.range(7), "theirs")
+        mark = marked()
+        discard(spark, mark)
+        gone = stored(spark.range(3), "gone")
+        discard(spark, mark)
+    assert own == [theirs._stored_at]
+    assert release(spark, own) == 1 and mine.count() == 5
+    with pytest.raises(Exception, match="(?i)exist"):
+        gone.count()
 
 
 # Chat ------------------------------------------------------------------------
