@@ -169,13 +169,6 @@ def _classes_of(good: DataFrame, dim: int, threshold: float, kind: str) -> DataF
     tiled = stored(classes.select("cls", "embedding", "copies").mapInArrow(place, f"cls long, embedding array<{kind}>, copies long, tile long, lead array<double>"), "emb-tiled")
     corners = tiled.groupBy("tile").agg(F.count("*").alias("n"), *[f(F.col("lead")[k]).alias(f"{w}{k}") for k in range(box) for w, f in (("lo", F.min), ("hi", F.max))]).orderBy("tile").toPandas()  # at most TILES rows
     lo, hi = (corners[[f"{w}{k}" for k in range(box)]].to_numpy() for w in ("lo", "hi"))
-    # Unit vectors at cosine c are sqrt(2 - 2c) apart, and no projection stretches that.
-    near = []
-    for k in range(len(lo)):
-        gap = np.maximum(0, np.maximum(lo[k] - hi[k:], lo[k:] - hi[k]))
-        close = np.flatnonzero((gap**2).sum(1) <= 2 - 2 * threshold + EPS) + k
-        near.append(np.stack([np.full(len(close), k), close], axis=1))
-    near = np.concatenate(near)
     parts = np.ceil(corners["n"].to_numpy() / BLOCK).astype(int)
     counts = dict(zip(corners["tile"].tolist(), parts.tolist(), strict=True))
     shares = F.element_at(F.create_map(*[F.lit(v) for kv in counts.items() for v in kv]), F.col("tile"))
@@ -186,8 +179,19 @@ def _classes_of(good: DataFrame, dim: int, threshold: float, kind: str) -> DataF
         return pd.DataFrame({"block": frame["block"].iloc[:1], "ids": [frame["cls"].to_numpy(np.int64).tobytes()], "copies": [frame["copies"].to_numpy(np.int64).tobytes()], "data": [np.stack(frame["embedding"].to_numpy()).astype(packed).tobytes()]})
 
     blocks = stored(blocked.select("cls", "embedding", "copies", "block").groupBy("block").applyInPandas(pack, "block long, ids binary, copies binary, data binary"), "emb-blocks")
-    pairs = pd.DataFrame({"ta": corners["tile"].to_numpy()[near[:, 0]], "tb": corners["tile"].to_numpy()[near[:, 1]], "na": parts[near[:, 0]], "nb": parts[near[:, 1]]})
-    each = spark.createDataFrame(pairs).withColumn("pa", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    numbers = corners["tile"].to_numpy(np.int64)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each tile the ones from it on that are near enough: unit vectors at cosine c are sqrt(2 - 2c) apart, and no projection stretches that."""
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                gap = np.maximum(0, np.maximum(lo[k] - hi[k:], lo[k:] - hi[k]))
+                at = np.flatnonzero((gap**2).sum(1) <= 2 - 2 * threshold + EPS) + k
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (np.full(len(at), numbers[k]), numbers[at], np.full(len(at), parts[k]), parts[at])], ["ta", "tb", "na", "nb"])
+
+    # The boxes of at most TILES tiles go to the tasks, which form the pairs.
+    pairs = spark.range(len(lo)).mapInArrow(close, "ta long, tb long, na long, nb long")
+    each = pairs.withColumn("pa", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1))).withColumn("pb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     each = each.select((F.col("ta") * F.lit(1 << 32) + F.col("pa")).alias("a"), (F.col("tb") * F.lit(1 << 32) + F.col("pb")).alias("b")).where("a <= b")
     left = blocks.select(F.col("block").alias("a"), F.col("ids").alias("ia"), F.col("copies").alias("ca"), F.col("data").alias("da"))
     right = blocks.select(F.col("block").alias("b"), F.col("ids").alias("ib"), F.col("copies").alias("cb"), F.col("data").alias("db"))

@@ -110,7 +110,8 @@ def _rated(sized: DataFrame, plan: DataFrame, cap: int) -> DataFrame:
 
 
 def _copied(rated: DataFrame, limit: DataFrame) -> DataFrame:
-    return rated.join(F.broadcast(limit), rated.source.eqNullSafe(limit.c)).withColumn("copies", F.col("whole") + F.when(F.col("order") <= F.col("cut"), 1).otherwise(0))
+    up = F.col("order") <= F.try_element_at("cuts", _class().cast("string"))
+    return rated.join(F.broadcast(limit), rated.source.eqNullSafe(limit.c)).withColumn("copies", F.col("whole") + F.when(up, 1).otherwise(0))
 
 
 def _planned(slim: DataFrame, weights: Sequence[float], share: float, cap: int) -> tuple[DataFrame, DataFrame]:
@@ -127,8 +128,26 @@ def _planned(slim: DataFrame, weights: Sequence[float], share: float, cap: int)
     totals = {r["source"]: (r["words"], r["docs"]) for r in found}
     tilts = solve_tilts(cells, targets, totals, cap)
     plan = _table(spark, [{"k": s, "source_size": totals[s][0], "mean": totals[s][0] / max(1, totals[s][1]), "target": targets[s], "tilt": tilts[s]} for s in targets], "k string, source_size long, mean double, target double, tilt double")
-    cuts = _thresholds(spark, _rated(slim, plan, cap), targets)
-    return plan, _table(spark, [{"c": s, "cut": c} for s, c in cuts.items()], "c string, cut double")
+    rated = stored(_rated(slim, plan, cap).where("order IS NOT NULL").select("source", "size", "order", ((F.col("rate") - F.col("whole")) * F.col("size")).alias("part"), _class().alias("class")), "mix-rated")
+    parts = rated.groupBy("source", "class").agg(F.sum("part").alias("w"), F.sum("size").alias("all")).collect()  # a row for each source and class of sizes
+    cuts: dict[str | None, dict[str, float]] = {s: {} for s in targets}
+    carry = dict.fromkeys(targets, 0.0)
+    # What smaller classes can take less or more than their fractions stand for.
+    room = {s: (-sum(r["w"] for r in parts if r["source"] == s), sum(r["all"] - r["w"] for r in parts if r["source"] == s)) for s in {r["source"] for r in parts}}
+    for c in sorted({r["class"] for r in parts}, reverse=True):
+        wanted = {r["source"]: r["w"] + carry[r["source"]] for r in parts if r["class"] == c}
+        for r in (r for r in parts if r["class"] == c):
+            less, more = room[r["source"]]
+            room[r["source"]] = less + r["w"], more - (r["all"] - r["w"])
+        cut, got = _thresholds(spark, rated.where(F.col("class") == c), wanted, room)
+        for s, w in wanted.items():
+            cuts[s][str(c)], carry[s] = cut[s], w - got[s]
+    return plan, _table(spark, [{"c": s, "cuts": c} for s, c in cuts.items()], "c string, cuts map<string, double>")
+
+
+def _class() -> Column:
+    """Documents whose sizes differ by less than four times are of one class."""
+    return F.floor(F.log2("size") / 2).cast("int")
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -138,7 +157,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     repeating and share ``share`` of all words, none above ``cap`` times its own.
     Rates come from ``solve_tilts`` and are rounded to whole copies: the whole part
     stays, and the fractions are rounded by a threshold on a hash of (id, text) over
-    the fraction, chosen so that the source's words come nearest to its target: the
+    the fraction.  Each class of sizes has a threshold of its own, which comes nearest to the
+    words that its fractions stand for and what larger classes left over or took too
+    much, so the last to settle are the smallest documents.  A
     threshold is found by counting words in bins and again within one bin, so no
     task sees more than bins.  Reruns agree, and repeated rows fare alike.
 
@@ -152,10 +173,17 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     return _copied(_rated(slim, plan, cap), limit).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
-def _thresholds(spark: SparkSession, rated: DataFrame, targets: dict[str | None, float]) -> dict[str | None, float]:
-    """For each source the ``order`` up to which rounding up comes nearest to its target."""
-    wanted = {r["source"]: targets[r["source"]] - r["w"] for r in rated.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("w")).collect()}
-    cut = dict.fromkeys(wanted, -1.0)
+def _thresholds(spark: SparkSession, rated: DataFrame, wanted: dict[str | None, float], room: dict[str | None, tuple[float, float]]) -> tuple[dict[str | None, float], dict[str | None, float]]:
+    """For each source the ``order`` up to which rounding up comes nearest to the words wanted, and the words it gives.
+
+    What is left over (or, below 0, too much) should be little and, which counts twice, lie within ``room``.
+    """
+
+    def off(s: str | None, left: float) -> float:
+        less, more = room[s]
+        return 2 * max(0.0, less - left, left - more) + abs(left)
+
+    cut, got = dict.fromkeys(wanted, -1.0), dict.fromkeys(wanted, 0.0)
     # The window of orders still open, and the words that lie below it.
     low, high, below = dict.fromkeys(wanted, 0.0), dict.fromkeys(wanted, 4.0), dict.fromkeys(wanted, 0)
     open_ = {s for s, w in wanted.items() if w > 0}
@@ -176,19 +204,19 @@ def _thresholds(spark: SparkSession, rated: DataFrame, targets: dict[str | None,
             seen.add(s)
             want = wanted[s] - below[s]
             if under is not None and under["upto"] is not None:
-                cut[s] = under["top"]
+                cut[s], got[s] = under["top"], below[s] + under["upto"]
             if over is None or over["upto"] is None:
                 open_.discard(s)
             elif over["lo"] == over["top"]:
                 # One document, or several that cannot be told apart: all or none, whichever is nearer.
-                if over["upto"] - want < want - (over["upto"] - over["w"]):
-                    cut[s] = over["top"]
+                if off(s, want - over["upto"]) < off(s, want - (over["upto"] - over["w"])):
+                    cut[s], got[s] = over["top"], below[s] + over["upto"]
                 open_.discard(s)
             else:
                 below[s] += over["upto"] - over["w"]
                 low[s], high[s] = over["lo"], math.nextafter(over["top"], math.inf)
         open_ &= seen
-    return cut
+    return cut, got
 
 
 def _by_bin():

@@ -52,6 +52,17 @@ def test_mix_meets_targets(spark):
     assert mixing.mix_sources(docs.where("false")).count() == 0
 
 
+def test_large_documents_do_not_keep_a_mix_from_its_target(spark):
+    rng = random.Random(12)
+    for seed in range(3):
+        sizes = [rng.randrange(2, 90) for _ in range(60)] + [2770, 900, 300]
+        docs = spark.createDataFrame([(i + 1000 * seed, f"{i} " * n, "en", "x", 0) for i, n in enumerate(sizes)], DOC)
+        rows = mixing.mix_sources(docs, weights=(1,), share=0.7).collect()
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 45 and all(r.taken <= 2 * r["size"] for r in rows)
+        copies = {r.doc_id: r.copies for r in rows}
+        assert {(r.doc_id, r.n) for r in mixing.mixed(docs, weights=(1,), share=0.7).groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {(i, n) for i, n in copies.items() if n}
+
+
 def test_rates_solve_the_dual(spark):
     docs = mix_docs(spark).where("source = 'a'")
     rows = [r for r in mixing.mix_sources(docs, weights=(1,), share=1.3).collect() if r["size"]]
@@ -433,6 +444,28 @@ def test_near_duplicates_of_a_crowded_group(spark):
     assert 1 < len(set(label)) < 300 and set(label) <= kept and len(kept) - len(set(label)) <= 4
 
 
+def test_stages_of_odd_input(spark, tmp_path):
+    said = ["some words that are said here over and over again by many", "other words of quite another kind stand in this one now"]
+    rows = [(i, f"{said[i % 2]} number {i // 2 * 7919 % 97} and {i // 2} more {chr(97 + i // 2 % 26) * 5}", "en", "s", 1) for i in range(24)]
+    rows += [(None, None, None, None, None), (None, "", "en", "s", 0), (50, None, "en", "s", None), (51, "", None, "t", 0), (52, "x " * 20_000, "en", "t", 1), (3, "an id again, with words of its own", "en", "s", 1), (53, rows[0][1], "en", "t", 1)]
+    docs = spark.createDataFrame(rows, DOC).withColumn("fp", F.lit("clash")).withColumn("copies", F.lit(7))
+    folder = str(tmp_path)
+    spark.createDataFrame([(900, "an item that no document has in it at all, of some length")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i, 0, 0) for i in range(0, 24, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, folder)
+        if name != "token_output":
+            assert sorted(got.columns) == sorted(docs.columns), name
+        kept = [(r.doc_id, r.text) for r in got.collect()] if name != "token_output" else None
+        if name in ("toxicity", "decontamination"):
+            assert sorted(map(str, kept)) == sorted(str(r[:2]) for r in rows), name
+        if name == "near_duplicates":
+            assert sorted(map(str, kept)) == sorted(str(r[:2]) for r in rows if r[0] not in (51, 53)), name  # the copy, and one of two texts without words
+        if name == "token_output":
+            assert got.count() == len(rows)
+        assert stage(spark, docs.where("false"), folder).count() == 0, name
+
+
 def test_pipeline(spark, tmp_path):
     docs, labels, bad = corpus(spark, 600)
     twice = docs.where("doc_id % 50 = 1").withColumn("doc_id", F.col("doc_id") + 10_000)
