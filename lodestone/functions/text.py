@@ -73,13 +73,17 @@ def remove_toc(c: Column | str) -> Column:
 def remove_duplicate_lines(c: Column | str) -> Column:
     """Keep the first of lines that are equal after trimming, anywhere in the text; blank lines all stay.
 
-    Keys are looked up in an array, n squared in the lines of one text;
-    ``remove_duplicate_lines_long`` takes texts of very many lines.
+    The lines' places are sorted by key, so that equal lines are neighbours, and what is kept is sorted
+    back: n log n in the lines of a text.
     """
 
     def firsts(z: Column) -> Column:
-        keys = F.transform(z, lambda x: x["key"])
-        return _bind(keys, lambda k: F.transform(F.filter(z, lambda x, i: (x["key"] == "") | (F.array_position(k, x["key"]) == i + 1)), lambda x: x["line"]))
+        by_key = F.array_sort(F.transform(z, lambda x, i: F.struct(x["key"].alias("key"), i.alias("i"))))
+        return _bind(by_key, lambda o: _bind(kept(o), lambda places: F.transform(places, lambda i: F.get(z, i)["line"])))
+
+    def kept(o: Column) -> Column:
+        first = F.filter(o, lambda x, j: (x["key"] == "") | (j == 0) | (x["key"] != F.element_at(o, F.greatest(j, F.lit(1)))["key"]))
+        return F.array_sort(F.transform(first, lambda x: x["i"]))
 
     keyed = F.transform(_lines(text_or_empty(c)), lambda x: F.struct(x.alias("line"), trimmed(x).alias("key")))
     return F.when(_col(c).isNull(), "").otherwise(_joined(_bind(keyed, firsts)))
@@ -141,13 +145,22 @@ def overlap_ratio(a: Column | str, b: Column | str, least_step: int = 1) -> Colu
     least: 1 compares single characters of short texts, 8 avoids false duplicates.
     """
     x, y = text_or_empty(a), text_or_empty(b)
-    short = F.when(F.length(x) <= F.length(y), x).otherwise(y)
-    long_ = F.when(F.length(x) <= F.length(y), y).otherwise(x)
-    n = F.length(short)
-    step = F.least(n, F.greatest(F.lit(least_step), F.floor(n / 100).cast("int")))
-    hits = F.aggregate(F.sequence(F.lit(0), n - step, step), F.lit(0), lambda m, i: m + F.when(F.contains(long_, F.substring(short, i + 1, step)), step).otherwise(0))
-    covered = n if least_step == 1 else F.floor(n / step) * step
-    return F.when(n == 0, 0.0).otherwise(hits / covered)
+
+    def sides(t: Column) -> Column:
+        first = t["m"] <= t["n"]
+        return F.struct(F.when(first, t["x"]).otherwise(t["y"]).alias("short"), F.when(first, t["y"]).otherwise(t["x"]).alias("long"), F.least(t["m"], t["n"]).alias("n"))
+
+    def ratio(t: Column) -> Column:
+        n = t["n"]
+        return _bind(F.least(n, F.greatest(F.lit(least_step), F.floor(n / 100).cast("int"))), lambda step: share(t, n, step))
+
+    def share(t: Column, n: Column, step: Column) -> Column:
+        hits = F.aggregate(F.sequence(F.lit(0), n - step, step), F.lit(0), lambda m, i: m + F.when(F.contains(t["long"], F.substring(t["short"], i + 1, step)), step).otherwise(0))
+        covered = n if least_step == 1 else F.floor(n / step) * step
+        return F.when(n == 0, 0.0).otherwise(hits / covered)
+
+    # Texts and lengths are bound, so that they are not worked out again for each window.
+    return _bind(F.struct(x.alias("x"), y.alias("y"), F.length(x).alias("m"), F.length(y).alias("n")), lambda t: _bind(sides(t), ratio))
 
 
 def terms(c: Column | str) -> Column:

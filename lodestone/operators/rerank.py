@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import estimate_tokens
+from ..functions.text import estimate_tokens, overlap_ratio
 
 
 def _by_score():
@@ -50,23 +50,22 @@ def overlap(a: str, b: str, least_step: int) -> float:
 def deduplicate(hits: DataFrame, threshold: float = 0.9, least_step: int = 8) -> DataFrame:
     """Best first, drop a hit whose text overlaps a kept one of its query by more than ``threshold``.
 
-    Each decision rests on those before it, so a query's hits (a top-k list) are
-    folded in one Arrow batch.  ``least_step=1`` compares single characters of short
+    Each decision rests on those before it, so a query's hits (a top-k list) are one array and
+    one ordered fold inside the JVM.  Without a score a hit comes last.  ``least_step=1`` compares single characters of short
     texts; the default of 8 does not take unrelated short texts for duplicates.
     """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "rank", "chunk_id"], ascending=[False, True, True], kind="stable")
-        kept: list[str] = []
-        keep = []
-        for text in frame["content"].fillna(""):
-            good = all(overlap(text, other, least_step) <= threshold for other in kept)
-            keep.append(good)
-            if good:
-                kept.append(text)
-        return frame[keep]
-
-    return hits.groupBy("query_id").applyInPandas(fold, hits.schema)
+    score = lambda h: F.coalesce(h["score"].cast("double"), F.lit(float("-inf")))
+
+    def before(a: Column, b: Column) -> Column:
+        less = F.when(score(a) != score(b), score(a) > score(b)).when(a["rank"] != b["rank"], a["rank"] < b["rank"]).otherwise(a["chunk_id"] < b["chunk_id"])
+        same = (score(a) == score(b)) & (a["rank"] == b["rank"]) & (a["chunk_id"] == b["chunk_id"])
+        return F.when(same, 0).when(less, -1).otherwise(1)
+
+    ordered = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in hits.columns])), before).alias("hs"))
+    start = F.slice("hs", 1, 0)
+    alike = lambda h, o: overlap_ratio(h["content"], o["content"], least_step) > threshold
+    kept = F.aggregate("hs", start, lambda kept, h: F.when(F.exists(kept, lambda o: alike(h, o)), kept).otherwise(F.array_append(kept, h)))
+    return ordered.select(F.inline(kept)).select(*[F.col(f"`{c}`") for c in hits.columns])
 
 
 def limit_tokens(hits: DataFrame, max_tokens: int) -> DataFrame:

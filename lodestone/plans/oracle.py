@@ -133,6 +133,55 @@ def lines_of(source: str) -> str:
 UNIQUE = f"u AS (SELECT *, trim(line, {BLANK}) AS tr, min(k) OVER (PARTITION BY doc_id, trim(line, {BLANK})) AS first FROM ll), dd AS (SELECT doc_id, coalesce(string_agg(line || chr(10), '' ORDER BY k), '') AS t FROM u WHERE tr = '' OR k = first GROUP BY doc_id)"
 NORMAL = rf"trim(regexp_replace(regexp_replace(regexp_replace(translate(t, '{WIDE}', '{NARROW}'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), {BLANK})"
 
+
+def overlap(x: str, y: str) -> str:
+    """Share of the shorter text whose windows of a hundredth of it, 8 characters at least, are in the longer."""
+    return f"""(CASE WHEN least(length({x}), length({y})) = 0 THEN 0.0e0 ELSE
+  list_sum(list_transform(range(0, least(length({x}), length({y})) - least(least(length({x}), length({y})), greatest(8, least(length({x}), length({y})) // 100)) + 1, least(least(length({x}), length({y})), greatest(8, least(length({x}), length({y})) // 100))),
+    lambda p: CASE WHEN contains(CASE WHEN length({x}) <= length({y}) THEN {y} ELSE {x} END, substr(CASE WHEN length({x}) <= length({y}) THEN {x} ELSE {y} END, p + 1, least(least(length({x}), length({y})), greatest(8, least(length({x}), length({y})) // 100)))) THEN 1 ELSE 0 END))
+  / (least(length({x}), length({y})) // least(least(length({x}), length({y})), greatest(8, least(length({x}), length({y})) // 100))) END)"""
+
+
+GREEDY = f"""WITH RECURSIVE {HITS},
+f AS (SELECT query_id, 0::BIGINT AS i, []::VARCHAR[] AS kept, NULL::BIGINT AS chunk_id, NULL::DOUBLE AS score, false AS good FROM (SELECT DISTINCT query_id FROM o)
+  UNION ALL SELECT f.query_id, o.i, CASE WHEN g THEN list_append(f.kept, coalesce(o.content, '')) ELSE f.kept END, o.chunk_id, o.score, g
+  FROM f JOIN o ON o.query_id = f.query_id AND o.i = f.i + 1, LATERAL (SELECT len(list_filter(f.kept, lambda k: {overlap("coalesce(o.content, '')", "k")} > 0.9e0)) = 0 AS g))
+SELECT query_id, chunk_id, score FROM f WHERE good"""
+
+
+def folded(size: int) -> str:
+    """Greedy packing with line feeds between segments, over each group of ``s(doc_id, section, j, cnt, content, kind)``; ``made`` has the parts in order of ``(j, k)``."""
+    return f"""
+f AS (
+  SELECT doc_id, section, 0::BIGINT AS j, ''::VARCHAR AS buf, 0::BIGINT AS n, NULL::VARCHAR AS kind, []::STRUCT(content VARCHAR, kind VARCHAR)[] AS closed FROM (SELECT DISTINCT doc_id, section FROM s)
+  UNION ALL
+  SELECT f.doc_id, f.section, s.j,
+    CASE WHEN s.kind = 'table' THEN '' WHEN over OR f.buf = '' THEN s.content ELSE f.buf || chr(10) || s.content END,
+    CASE WHEN s.kind = 'table' THEN 0 WHEN over THEN length(s.content) ELSE f.n + length(s.content) END,
+    CASE WHEN s.kind = 'table' THEN CASE WHEN f.buf = '' THEN f.kind END WHEN over OR f.buf = '' THEN s.kind ELSE f.kind END,
+    CASE WHEN f.buf <> '' AND (s.kind = 'table' OR over) THEN [{{'content': f.buf, 'kind': coalesce(f.kind, 'text')}}] ELSE [] END || CASE WHEN s.kind = 'table' THEN [{{'content': s.content, 'kind': s.kind}}] ELSE [] END
+  FROM f JOIN s ON s.doc_id = f.doc_id AND s.section = f.section AND s.j = f.j + 1, LATERAL (SELECT f.n + length(s.content) > {size} AND f.buf <> '' AS over)),
+made AS (
+  SELECT doc_id, section, j, unnest(range(len(closed))) AS k, unnest(closed).content AS content, unnest(closed).kind AS kind FROM f
+  UNION ALL SELECT f.doc_id, f.section, f.j + 1, 0, f.buf, coalesce(f.kind, 'text') FROM f JOIN s ON s.doc_id = f.doc_id AND s.section = f.section AND s.j = f.j AND s.j = s.cnt WHERE f.buf <> '')"""
+
+
+HIERARCHICAL = f"""WITH RECURSIVE {LINES},
+sec AS (SELECT *, coalesce(last_value(title IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '_no_section_') AS section FROM seg),
+grp AS (SELECT doc_id, section, min(seg_idx) AS first, sum(length(content)) AS total, string_agg(content, chr(10) ORDER BY seg_idx) AS whole, arg_max(kind, seg_idx) FILTER (WHERE kind <> 'text') AS special FROM sec GROUP BY ALL),
+s AS (SELECT doc_id, section, content, kind, row_number() OVER (PARTITION BY doc_id, section ORDER BY seg_idx) AS j, count(*) OVER (PARTITION BY doc_id, section) AS cnt FROM sec SEMI JOIN (SELECT doc_id, section FROM grp WHERE total > 512) USING (doc_id, section)),{folded(512)},
+every AS (SELECT doc_id, section, j, k, content, kind FROM made UNION ALL SELECT doc_id, section, 0, 0, whole, coalesce(special, 'text') FROM grp WHERE total <= 512)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first, j, k) - 1 AS INTEGER) AS chunk_index, content, kind AS content_type, nullif(section, '_no_section_') AS section_title FROM every JOIN grp USING (doc_id, section)"""
+
+SEMANTIC = f"""WITH RECURSIVE {LINES},
+s AS (SELECT doc_id, '' AS section, content, kind, i AS j, n AS cnt FROM seg),{folded(256)},
+g AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY j, k) AS i, content, replace(content, chr(10), ' ') AS t FROM made),
+v AS (SELECT *, [CAST(len(regexp_extract_all(t, 'e')) AS DOUBLE), len(regexp_extract_all(t, 'n')), len(regexp_extract_all(t, 'ch')), len(regexp_extract_all(t, 'qu'))] AS e FROM g),
+w AS (SELECT *, lag(e) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM v),
+c AS (SELECT *, CASE WHEN b IS NULL OR list_sum(e) = 0 OR list_sum(b) = 0 THEN 1.0e0 ELSE list_dot_product(b, e) / (sqrt(list_dot_product(b, b)) * sqrt(list_dot_product(e, e))) END AS sim FROM w),
+l AS (SELECT *, sum(CASE WHEN sim < 0.95e0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM c)
+SELECT doc_id, CAST(island AS INTEGER) AS chunk_index, string_agg(content, chr(10) ORDER BY i) AS content FROM l GROUP BY doc_id, island"""
+
 ANSWERS = "a AS (SELECT conv_id, turn, text || ' [' || turn || '] x [' || (turn + 2) || ']' AS answer, turn % 4 + 1 AS sources FROM conversations), b AS (SELECT *, list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)) AS cited FROM a), c AS (SELECT *, list_filter(cited, lambda x: x < 1 OR x > sources) AS bad FROM b)".replace("\\\\", "\\")
 
 TITLE = "split_part(text, chr(10), 1)"
@@ -146,6 +195,8 @@ ORACLE_SQL: dict[str, str] = {
     "bm25_fields": f"WITH {bm25_fields(content='text', title=TITLE)} SELECT query_id, chunk_id, score, rank, 'bm25' AS source FROM bmr WHERE rank <= 10",
     "contained_items": "SELECT d.doc_id AS text_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "vector_topk": f"WITH {vector(EVERY_HUNDREDTH, ALL_VECTORS)} SELECT query_id, chunk_id, score, rank, 'vector' AS source FROM vr WHERE rank <= 10",
+    "vector_indexed": f"WITH {vector(EVERY_HUNDREDTH, ALL_VECTORS)} SELECT query_id, chunk_id, score, rank, 'vector' AS source FROM vr WHERE rank <= 10",
+    "vector_indexed_recall": f"WITH {vector(EVERY_HUNDREDTH, ALL_VECTORS)} SELECT count(*) AS neighbours, true AS enough FROM vr WHERE rank <= 10",
     "vector_topk_filtered": f"WITH {vector(EVERY_HUNDREDTH, ALL_VECTORS + ' WHERE label = 3')} SELECT query_id, chunk_id, score, rank, 'vector' AS source FROM vr WHERE rank <= 5",
     "hybrid_search": f"WITH {ROUTES}, {fused('routes')} SELECT query_id, chunk_id, score, rank, 'fusion' AS source FROM fus",
     "rrf_dup_positions": f"WITH {ROUTES}, twice AS (SELECT query_id, route, 2 * pos - 1 AS pos, chunk_id FROM routes), {fused('twice')} SELECT query_id, chunk_id, score, rank, 'fusion' AS source FROM fus",
@@ -162,13 +213,16 @@ SELECT route, metric, round(v, 9) AS value, total, CAST(floor(round(v * total, 9
 SELECT page_id, CASE WHEN ext IN ('html', 'htm') THEN 'HTML' WHEN ext = 'pdf' THEN 'PDF' WHEN ext IN ('md', 'markdown') THEN 'MARKDOWN' WHEN ext = 'txt' THEN 'PLAIN_TEXT' ELSE 'UNKNOWN' END AS file_type FROM n""",
     "content_md5": "SELECT doc_id, coalesce(md5(text), '') AS md5 FROM documents",
     "segments_lines": f"WITH {LINES} SELECT doc_id, seg_idx, content, 'text' AS content_type FROM seg0",
-    "page_table_segments": """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source FROM documents)
-SELECT doc_id, 0 AS seg_idx, 'intro ' || lang AS content, 'text' AS content_type, 1 AS page_num, NULL AS section_title, 0 AS heading_level, NULL AS table_markdown FROM d
+    "page_table_segments": """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, text FROM documents)
+SELECT doc_id, 0 AS seg_idx, trim('intro ' || lang || ' ' || text, chr(9) || chr(10) || chr(13) || ' ') AS content, 'text' AS content_type, 1 AS page_num, NULL AS section_title, 0 AS heading_level, NULL AS table_markdown FROM d
 UNION ALL SELECT doc_id, 1, '## Facts' || chr(10) || 'id  lang  source' || chr(10) || doc_id || '  ' || lang || '  ' || source, 'table', 1, 'Facts', 2,
   '| ## Facts | ' || chr(10) || '| --- |' || chr(10) || '| id | lang | source | ' || chr(10) || '| ' || doc_id || ' | ' || lang || ' | ' || source || ' | ' || chr(10) FROM d""",
     "html_h1_segments": r"SELECT CAST(page_id AS VARCHAR) AS doc_id, trim(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')) AS content FROM pages WHERE regexp_matches(html, '(?is)<h1[^>]*>.*?</h1>')".replace('\\"', '"'),
     "chunk_fixed": f"WITH RECURSIVE {packed(0)} {CHUNK}",
     "chunk_fixed_overlap": f"WITH RECURSIVE {packed(128)} {CHUNK}",
+    "chunk_hierarchical": HIERARCHICAL,
+    "semantic_chunks": SEMANTIC,
+    "near_dup_greedy": GREEDY,
     "chunk_validate": f"WITH RECURSIVE {packed(0)} SELECT doc_id, CAST(idx AS INTEGER) AS chunk_index, content FROM chunks WHERE regexp_matches(content, '\\S') AND length(content) >= 200",
     "adaptive_overlap": f"""WITH RECURSIVE {packed(0)}, o AS (SELECT doc_id, idx, CASE WHEN kind = 'table' OR length(content) < 100 THEN 0 WHEN length(content) > 1000 THEN 128 ELSE 128 END AS own FROM chunks)
 SELECT doc_id, CAST(idx AS INTEGER) AS chunk_index, CASE WHEN lead(own) OVER (PARTITION BY doc_id ORDER BY idx) = 0 THEN 0 ELSE own END AS overlap FROM o""",
@@ -192,5 +246,6 @@ SELECT query_id, chunk_id, score, fallback FROM s WHERE fallback OR score >= 0.4
     "upsert_result": "SELECT doc_id, md5(text) AS md5 FROM documents",
     "delete_anti": "SELECT doc_id, source FROM documents WHERE doc_id % 4 <> 1",
     "ttl_expire": "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'",
+    "ttl_by_day": "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'",
     "sync_latest_action": """SELECT CAST(user_id AS VARCHAR) AS "docId", arg_max(CASE event_type WHEN 'purchase' THEN 'DELETE' WHEN 'click' THEN 'UPDATE' ELSE 'ADD' END, event_id) AS action, max(event_id) AS last FROM events GROUP BY user_id""",
 }

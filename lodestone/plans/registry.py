@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkConfig, RetrievalConfig, VectorIndexConfig
 from ..functions import text as T
-from ..operators import chunking, contains, context, evaluation, fusion, indexing, rerank, retrieval, textindex, validation
+from ..operators import chunking, contains, context, evaluation, fusion, indexing, rerank, retrieval, textindex, validation, vectorindex
 from ..sources import parsers, segments
 from ..sources.files import parse_files
 from ..streaming import sync
@@ -164,6 +164,26 @@ def ivf_probe(spark, sf):
     return indexing.ivf_topk(_vector_queries(spark, sf), v, centers, 10, 8)
 
 
+def _indexed(spark: SparkSession, sf: str, k: int, probes: int) -> DataFrame:
+    path = new_folder(spark, "vector-index")
+    vectorindex.build(_vectors(spark, sf), path, VectorIndexConfig(dim=64, lists=16))
+    return vectorindex.search(_vector_queries(spark, sf), path, k, probes)
+
+
+@query
+def vector_indexed(spark, sf):
+    """From a stored index, with every list probed: candidates by code, compared exactly."""
+    return _indexed(spark, sf, 10, 16)
+
+
+@query
+def vector_indexed_recall(spark, sf):
+    """Whether twelve of sixteen lists give nine in ten of the exact neighbours; these vectors have hardly any clusters."""
+    got, want = _indexed(spark, sf, 10, 12), retrieval.vector_topk(_vector_queries(spark, sf), _vectors(spark, sf), 10)
+    both = want.select("query_id", "chunk_id").join(got.select("query_id", "chunk_id", F.lit(1).alias("found")), ["query_id", "chunk_id"], "left")
+    return both.agg(F.count("*").alias("neighbours"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
+
+
 # Evaluation --------------------------------------------------------------------
 
 
@@ -243,10 +263,10 @@ def segments_lines(spark, sf):
 
 @query
 def page_table_segments(spark, sf):
-    """Two blocks a document: its text's beginning, and a table made from its columns."""
+    """Two blocks a document: its whole text, and a table made from its columns."""
     d = _read(spark, sf, "documents")
     block = F.concat_ws("\n", F.lit("## Facts"), F.concat_ws("  ", F.lit("id"), F.lit("lang"), F.lit("source")), F.concat_ws("  ", F.col("doc_id").cast("string"), "lang", "source"))
-    pages = d.select("doc_id", F.lit(1).alias("page_num"), F.concat(F.lit("intro "), F.col("lang"), F.lit("\n\n"), block).alias("text"))
+    pages = d.select("doc_id", F.lit(1).alias("page_num"), F.concat(F.lit("intro "), F.col("lang"), F.lit(" "), F.col("text"), F.lit("\n\n"), block).alias("text"))
     return segments.page_segments(pages).select("doc_id", "seg_idx", "content", "content_type", "page_num", "section_title", "heading_level", "table_markdown")
 
 
@@ -436,6 +456,16 @@ def ttl_expire(spark, sf):
     return indexing.expire(e, "2024-01-20 00:00:00", 10).select("event_id")
 
 
+@query
+def ttl_by_day(spark, sf):
+    """The same rows, from a table with a folder a day, of which expired ones go without being read."""
+    e = _read(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("updated_at"))
+    path = new_folder(spark, "events-by-day")
+    indexing.write_by_day(e, path)
+    indexing.purge_expired(spark, path, "2024-01-20 00:00:00", 10)
+    return indexing.read_unexpired(spark, path, "2024-01-20 00:00:00", 10).select("event_id")
+
+
 @query
 def sync_latest_action(spark, sf):
     action = F.when(F.col("event_type") == "purchase", "DELETE").when(F.col("event_type") == "click", "UPDATE").otherwise("ADD")
