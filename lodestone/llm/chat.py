@@ -157,7 +157,11 @@ DIGEST_DDL = "conv_id long, n_turns long, turns_sha256 string, loss_chars long,
 
 
 def digests(chats: DataFrame, template: ChatTemplate | None = None) -> DataFrame:
-    """Read formatted conversations back: turns from the marks, loss text from the mask."""
+    """Read formatted conversations back: turns from the marks, loss text from the mask.
+
+    One row for each row of ``format_chats``, which has no nulls but a conversation's id; without
+    turns there is nothing to hash, without rows no row.
+    """
     template = template or ChatTemplate()
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

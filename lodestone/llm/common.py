@@ -41,7 +41,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def give_back() -> None:
-    """Return freed memory of this Python worker to the machine; an idle worker keeps what its process holds."""
+    """Return freed memory of this Python process, a worker or the driver, to the machine."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -120,11 +120,17 @@ def _delete(spark: SparkSession, name: str) -> bool:
 
 
 def release(spark: SparkSession, done: list[str] | None = None) -> int:
-    """Delete the tables of a list that ``tables`` gave, or those that this thread wrote outside of any; results from them must be saved."""
+    """Delete the tables of a list that ``tables`` gave, or those that this thread wrote outside of any; results from them must be saved.
+
+    Shuffle files and broadcasts of what is done with go when the driver's collector finds that nothing
+    refers to them; Spark asks for that now and then, and so does this, once a call.
+    """
     done = _LISTS.open[0] if done is None else done
     n = 0
     while done:
         n += _delete(spark, done.pop())
+    spark.sparkContext._jvm.System.gc()
+    give_back()
     return n
 
 

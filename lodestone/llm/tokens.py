@@ -253,7 +253,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None, i
     """``(doc_id, ids, counts)``: ids as a binary of little-endian integers of two or four bytes (``id_type``), ``end_id`` appended.
 
     Each task ends with one row that has only ``counts``: its ids and how often each
-    occurred, so that counting need not read the ids again.
+    occurred, so that counting need not read the ids again.  A null or empty text has no ids
+    but ``end_id``; null ids stay, repeated rows are encoded each; other columns are ignored.
     """
     rows = need(docs, (id_col, text_col)).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     dtype = id_type(largest_id(tokenizer_path))
@@ -356,6 +357,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` of every document, decoded from the files at ``path``.
 
     ``start`` counts the ids of all documents before it.  Tasks read blocks in any order.
+    Documents without ids have an empty binary, those without an id of their own a null
+    one; files of an empty table give no rows.
     """
     book = spark.read.parquet(f"{path}/codebook").first()
     lengths, every = np.frombuffer(bytes(book["lengths"]), np.uint8), book["every"]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, need, read, stored, trimmed, words
+from .common import bucket, give_back, need, read, stored, trimmed, words
 
 #: Hashed features, and how many of them a model may weigh.
 FEATURES = 1 << 20
@@ -80,11 +80,18 @@ class Rows:
         self.col = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
         self.n, self.width = len(rows), width
 
+    def _sums(self, into: np.ndarray, values: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
+        """A million entries at a time, so that the driver holds no more numbers than the entries themselves."""
+        out = np.zeros(n)
+        for a in range(0, len(into), 1 << 20):
+            out += np.bincount(into[a : a + (1 << 20)], values[by[a : a + (1 << 20)]], n)
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.col], self.n)
+        return self._sums(self.row, w, self.col, self.n)
 
     def transposed_dot(self, v: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, v[self.row], self.width)
+        return self._sums(self.col, v, self.row, self.width)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -222,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col
     got = sample.mapInArrow(trimmed(place), "doc_id string, p int, u int, t int, f binary").orderBy("doc_id").collect()  # the sample's bounds
 
     def rows(kind: str, features: np.ndarray) -> list[np.ndarray]:
-        own = np.full(len(every), -1, np.int64)
+        own = np.full(len(every), -1, np.int32)
         own[np.searchsorted(every, features)] = np.arange(len(features))
         return [(m := own[np.frombuffer(r["f"], np.uint16)])[m >= 0] for r in got if r[kind]]
 
@@ -230,6 +237,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col
     model = fitted[0] if len(fitted) == 1 else mean_model(*fitted)
     any_text = Rows(rows("t", model.features), len(model.features))
     model.bias += shift_to_prior(any_text.dot(model.weights) + model.bias, prior, threshold)
+    del got, any_text
+    give_back()
     return model
 
 
