@@ -67,8 +67,15 @@ def _routes(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", F.col("source").alias("route"), F.col("rank").alias("pos"), "chunk_id")
 
 
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once and read back, as what follows uses it several times."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
-    routes = _routes(spark, sf)
+    routes = _stored(_routes(spark, sf), "routes")
     fused = fusion.fuse(routes).select("query_id", F.lit("rrf").alias("route"), F.col("rank").alias("pos"), "chunk_id")
     return routes.unionByName(fused)
 
@@ -153,7 +160,7 @@ def hybrid_search(spark, sf):
 @query
 def rrf_dup_positions(spark, sf):
     """Routes with every position twice: only first positions count, later ones keep theirs."""
-    r = _routes(spark, sf)
+    r = _stored(_routes(spark, sf), "routes")
     return fusion.fuse(r.withColumn("pos", 2 * F.col("pos") - 1).unionByName(r.withColumn("pos", 2 * F.col("pos"))), final_top_k=8)
 
 
@@ -194,14 +201,14 @@ def contained_items(spark, sf):
 
 @query
 def eval_per_query(spark, sf):
-    q = _qrels(spark, sf)
+    q = _stored(_qrels(spark, sf), "judgments")
     s = evaluation.per_query(q.select("query_id").distinct(), q, _runs(spark, sf), 5)
     return s.select("route", "query_id", *[F.round(m, 9).alias(m) for m in evaluation.METRICS], "hits", "relevant", "returned")
 
 
 @query
 def ablation_by_route(spark, sf):
-    q = _qrels(spark, sf)
+    q = _stored(_qrels(spark, sf), "judgments")
     m = evaluation.macro(evaluation.per_query(q.select("query_id").distinct(), q, _runs(spark, sf), 5))
     return m.select("route", "metric", F.round("value", 9).alias("value"), "total", "correct", "hits")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,9 +25,14 @@ def read_kafka(spark: SparkSession, servers: str, topic: str = "rag-doc-sync") -
 
 
 def latest_action(messages: DataFrame, by: str = "docId", order: str = "timestamp") -> DataFrame:
-    """The last message of each document; of messages of one time a deletion goes first, then the larger md5."""
-    w = Window.partitionBy(by).orderBy(F.desc_nulls_last(order), (F.col("action") == "DELETE").desc(), F.desc_nulls_last("md5"))
-    return messages.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """The last message of each document; of messages of one time a deletion goes first, then the larger md5.
+
+    A message without a time is older than any with one.  Each task keeps one message a document before the
+    shuffle; of messages that are alike in all of this the largest by its columns is taken.
+    """
+    rank = F.struct(F.col(order).isNotNull().alias("timed"), F.col(order).alias("at"), F.coalesce(F.col("action") == "DELETE", F.lit(False)).alias("deleted"), F.coalesce("md5", F.lit("")).alias("md5"))
+    last = messages.groupBy(F.col(by).alias("_of")).agg(F.max(F.struct(rank.alias("rank"), F.struct(*[F.col(f"`{c}`") for c in messages.columns]).alias("row"))).alias("m"))
+    return last.select("m.row.*")
 
 
 def split_batch(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

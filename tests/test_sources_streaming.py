@@ -125,3 +125,8 @@ def test_stream_equals_batch(spark, tmp_path):
     good = [m for m in messages if m["docId"] and m["action"] != "NOPE"]
     assert state == {m["docId"]: (m["action"], m["timestamp"]) for m in good}
     assert spark.read.json(str(tmp_path / "dead")).count() == len(messages) - len(good)
+
+
+def test_kafka_needs_its_connector(spark):
+    with pytest.raises(Exception, match="(?i)kafka"):
+        sync.read_kafka(spark, "localhost:9092")
