@@ -1,6 +1,6 @@
 """Evaluate BM25, vector and fused retrieval on a question set, and write rankings, scores and a report.
 
-    spark-submit jobs/evaluate_retrieval.py --config jobs/evaluate_retrieval.json [--documents PATH] [--questions PATH] [--embeddings PATH] [--output PATH]
+    python -m jobs.evaluate_retrieval --config jobs/evaluate_retrieval.json [--documents PATH] [--questions PATH] [--embeddings PATH] [--output PATH]
 
 Reads ``documents(doc_id, text)``, ``questions(item_id, text)`` and ``embeddings(vec_id,
 embedding)``; a question's vector is that of its number, as a document's is.  A
@@ -8,6 +8,7 @@ document that contains a question's text is relevant to it; questions without
 any such document are not judged.  Below the output:
 
 * ``index``          the BM25 index of the documents' texts, built in this run;
+* ``routes/route=R`` the rankings of the two routes before they are fused;
 * ``runs/route=R``   the rankings ``(query_id, pos, chunk_id)`` of ``bm25``, ``vector`` and ``rrf``;
 * ``judgments``      ``(query_id, chunk_id)``;
 * ``scores/route=R`` recall, precision, MRR and nDCG at ``k`` by question;

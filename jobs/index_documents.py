@@ -1,6 +1,6 @@
 """Keep a chunk table and its BM25 index in step with a growing folder of documents.
 
-    spark-submit jobs/index_documents.py --config jobs/index_documents.json [--documents PATH] [--output PATH] [--checkpoint PATH]
+    python -m jobs.index_documents --config jobs/index_documents.json [--documents PATH] [--output PATH] [--checkpoint PATH]
 
 The folder's Parquet files ``(doc_id, text, lang, source)`` are a file stream; a run takes
 what is new since the last one and stops (``availableNow``).  Of each micro-batch only
