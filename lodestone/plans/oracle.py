@@ -220,9 +220,6 @@ UNION ALL SELECT doc_id, 1, '## Facts' || chr(10) || 'id  lang  source' || chr(1
     "html_h1_segments": r"SELECT CAST(page_id AS VARCHAR) AS doc_id, trim(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')) AS content FROM pages WHERE regexp_matches(html, '(?is)<h1[^>]*>.*?</h1>')".replace('\\"', '"'),
     "chunk_fixed": f"WITH RECURSIVE {packed(0)} {CHUNK}",
     "chunk_fixed_overlap": f"WITH RECURSIVE {packed(128)} {CHUNK}",
-    "markdown_segments": """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, length('# ' || lang || chr(10) || text || chr(10)) + 13 + 1 + 30 AS n FROM documents)
-SELECT doc_id, 0 AS seg_idx, 'code' AS content_type, NULL AS section_title, 0 AS heading_level, 13 AS n FROM d
-UNION ALL SELECT doc_id, 1, 'table', NULL, 0, 29 FROM d UNION ALL SELECT doc_id, 2, 'text', lang, 1, n FROM d UNION ALL SELECT doc_id, 3, 'text', 'End', 2, 4 FROM d""",
     "chunk_hierarchical": HIERARCHICAL,
     "semantic_chunks": SEMANTIC,
     "near_dup_greedy": GREEDY,
