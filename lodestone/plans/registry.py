@@ -32,9 +32,14 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 # Inputs in the engine's shapes -------------------------------------------------
 
 
+def _plain(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as chunks, without vectors."""
+    return _read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "lang", "source")
+
+
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as chunks; the vector of the same number stands for a document's embedding."""
-    docs = _read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "lang", "source")
+    docs = _plain(spark, sf)
     vectors = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     return docs.join(vectors, "chunk_id", "left")
 
@@ -62,8 +67,8 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _routes(spark: SparkSession, sf: str) -> DataFrame:
-    chunks, questions = _chunks(spark, sf), _questions(spark, sf)
-    found = retrieval.vector_topk(questions, chunks, 20).unionByName(retrieval.bm25_topk(questions, chunks, 20))
+    questions = _questions(spark, sf)
+    found = retrieval.vector_topk(questions, _chunks(spark, sf), 20).unionByName(retrieval.bm25_topk(questions, _plain(spark, sf), 20))
     return found.select("query_id", F.col("source").alias("route"), F.col("rank").alias("pos"), "chunk_id")
 
 
@@ -101,8 +106,9 @@ def _titled(spark: SparkSession, sf: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 hits with their content; chunk ids as text, as the context formats them."""
-    chunks = _chunks(spark, sf)
-    found = retrieval.bm25_topk(_questions(spark, sf), chunks, 8)
+    chunks = _plain(spark, sf)
+    # Stored, so that its size is known where it meets the documents, which then are not shuffled.
+    found = _stored(retrieval.bm25_topk(_questions(spark, sf), chunks, 8), "hits")
     return found.join(chunks.select("chunk_id", "content", F.col("source").alias("doc_name")), "chunk_id").withColumn("page_num", (F.col("chunk_id") % 7).cast("int"))
 
 
@@ -111,7 +117,7 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bm25_topk(spark, sf):
-    return retrieval.bm25_topk(_questions(spark, sf), _chunks(spark, sf).select("chunk_id", "content"), 10)
+    return retrieval.bm25_topk(_questions(spark, sf), _plain(spark, sf), 10)
 
 
 @query
