@@ -60,6 +60,15 @@ def _first_folders(spark: SparkSession, output: str) -> None:
     spark.createDataFrame([], MARKS).drop("batch").write.mode("overwrite").parquet(f"{output}/marks/batch=-1")
 
 
+def _fresh(named: DataFrame, changed: DataFrame) -> DataFrame:
+    """One row of ``named`` for each of ``changed(doc_id, md5)``, whose digest is the id's largest.
+
+    An equality of digests would become a key of the join, and texts be dealt twice: by both keys, then by id.
+    """
+    newest = changed.select("doc_id", F.col("md5").alias("newest"))
+    return named.join(newest, "doc_id").where("md5 >= newest").drop("newest").dropDuplicates(["doc_id"])
+
+
 def apply_batch(docs: DataFrame, batch: int, output: str, config: Mapping) -> None:
     """Bring the tables at ``output`` up to a batch of documents.
 
@@ -74,12 +83,12 @@ def apply_batch(docs: DataFrame, batch: int, output: str, config: Mapping) -> No
     # The texts stay where they are: what a document is to become is decided on digests.
     newest = named.groupBy("doc_id").agg(F.max("md5").alias("md5"))
     changed = indexing.detect_changes(newest, _marks(spark, output, batch)).where("changed").select("doc_id", "md5")
-    fresh = named.join(changed, ["doc_id", "md5"]).dropDuplicates(["doc_id"])
+    fresh = _fresh(named, changed)
     sizes = ChunkConfig("fixed", config["chunk_size"], config["overlap"], config["min_chunk"])
     lines = segments.line_segments(fresh.withColumn("text", T.normalize("text")))
     made = chunking.chunk(lines, sizes).join(fresh.select("doc_id", "source", F.coalesce("lang", F.lit("none")).alias("lang")), "doc_id")
     columns = [c for c in spark.createDataFrame([], CHUNKS).columns if c != "batch"]
-    made.select(*columns).repartition("lang", "doc_id").write.mode("overwrite").partitionBy("lang").parquet(f"{output}/chunks/batch={batch}")
+    made.select(*columns).write.mode("overwrite").partitionBy("lang").parquet(f"{output}/chunks/batch={batch}")
     added = spark.read.schema(CHUNKS).parquet(f"{output}/chunks").where(F.col("batch") == batch)
     replaced = _chunks(spark, output, _marks(spark, output, batch).join(changed.select("doc_id"), "doc_id", "left_semi"))
     textindex.add_segment(f"{output}/index", batch, added, replaced, buckets=config["buckets"])
