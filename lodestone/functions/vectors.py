@@ -16,8 +16,9 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Of length one; null, empty and zero vectors stay null."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    # The length is an element of an array, as inside the inner function it would be taken anew for each component.
+    of = lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    return F.element_at(F.transform(F.array(norm(a)), of), 1)
 
 
 def cosine(a: Column, b: Column, undefined: float | None = None) -> Column:

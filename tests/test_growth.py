@@ -1,8 +1,11 @@
-"""What grows with the input: how often texts are dealt, how many tasks build an index."""
+"""What grows with the input: how often texts are dealt, how many tasks build an index, what a unit vector costs."""
 
 import re
 
+from pyspark.sql import functions as F
+
 from jobs import index_documents
+from lodestone.functions.vectors import unit
 from lodestone.operators import textindex
 
 
@@ -22,3 +25,12 @@ def test_changed_texts_are_dealt_once_by_id(spark):
 def test_tasks_of_a_build_grow_with_the_text():
     assert textindex._tasks(1, 100, 8) == 1 and textindex._tasks(64, 100, 8) == 16
     assert textindex._tasks(64, 100 * textindex.TASK, 8) == 100
+
+
+def test_the_length_of_a_vector_is_taken_once(spark):
+    rows = [([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,), ([None, 1.0],)]
+    df = spark.createDataFrame(rows, "v array<float>").select(unit(F.col("v")).alias("u"))
+    assert [r["u"] for r in df.collect()] == [[0.6, 0.8], None, None, None, None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # What divides a component is a variable, no sum over the vector.
+    assert "aggregate(" in plan and not re.search(r"/ (?:SQRT|sqrt)\(", plan)
