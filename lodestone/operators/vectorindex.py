@@ -3,6 +3,7 @@
 Under a path: ``centers`` ``(list, center)``, and ``lists``, partitioned by ``list``, with ``chunk_id``,
 ``vector`` and what approximates it without reading it: ``code``, the signed bytes of its
 residual from the centroid, and ``step``, what one unit of the code is worth.
+``units`` holds the unit vectors that a build trains and places, dealt by id.
 """
 
 from __future__ import annotations
@@ -13,15 +14,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..config import VectorIndexConfig
 from ..functions.vectors import cosine, unit
+from . import scoring
 from .retrieval import DIGITS, top_k
 
 #: Queries that are compared with a list at once; of more, blocks are taken one after the other.
 QUERY_BLOCK = 2_000
 #: Candidates by code that are compared exactly, for each result asked for.
 REFINE = 4
+#: Rows that are compared with a block of queries at once.
+ROWS = 1024
 #: Centroids times dimensions that an index may have: they are in every task.
 MAX_CENTERS = 1 << 25
 
@@ -74,12 +80,16 @@ def build(vectors: DataFrame, path: str, config: VectorIndexConfig, rounds: int
     """Index ``vectors(chunk_id, vector)`` at ``path``, replacing what is there.
 
     Vectors that are null, zero, of another length or with components that are null or not finite
-    match nothing and are left out.  Large lists are spread over several files.
+    match nothing and are left out.  Large lists are spread over several files.  Vectors are dealt by id
+    and made unit vectors once, however few tasks their files make; each round of training reads those.
     """
     spark = vectors.sparkSession
     if config.lists * config.dim > MAX_CENTERS:
         raise ValueError(f"lists times dim must be at most {MAX_CENTERS}")
-    units = _units(vectors, "chunk_id", vector_col, config.dim)
+    dealt = vectors.select("chunk_id", vector_col).repartition("chunk_id")
+    made = _units(dealt, "chunk_id", vector_col, config.dim)
+    made.write.mode("overwrite").parquet(f"{path}/units")
+    units = spark.read.schema(made.schema).parquet(f"{path}/units")
     kind = units.schema["id"].dataType.simpleString()
     centers = train(units, config, rounds)
     spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centers)], "list int, center array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
@@ -115,7 +125,7 @@ def search(queries: DataFrame, path: str, k: int = 20, probes: int = 10, thresho
     lists = spark.read.parquet(f"{path}/lists")
     chunk = lists.schema["chunk_id"].dataType.simpleString()
     asked = _units(queries, "query_id", vector_col, dim).groupBy("id").agg(F.max("v").alias("v"))
-    kind = asked.schema["id"].dataType.simpleString()
+    kind = asked.schema["id"].dataType
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
     for n in range(blocks):
@@ -125,29 +135,35 @@ def search(queries: DataFrame, path: str, k: int = 20, probes: int = 10, thresho
         probing = {c: np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near).tolist()}
         found_in = _scan(lists.where(F.col("list").isin(list(probing))), ids, q, centers, probing, k * REFINE, kind, chunk)
         found = found_in if found is None else found.unionByName(found_in)
-    best = top_k(found.withColumnRenamed("near", "score"), k * REFINE).select("query_id", "chunk_id", "list")
+    best = top_k(found.withColumn("score", F.round("near", DIGITS)), k * REFINE).select("query_id", "chunk_id", "list")
     exact = best.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").join(lists.select("chunk_id", "list", "vector"), ["list", "chunk_id"])
     scored = exact.select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("vector")), DIGITS).alias("score")).where(F.col("score") >= threshold)
     return top_k(scored.dropDuplicates(["query_id", "chunk_id"]), k).withColumn("source", F.lit("vector"))
 
 
-def _scan(lists: DataFrame, ids: list, q: np.ndarray, centers: np.ndarray, probing: dict[int, np.ndarray], most: int, kind: str, chunk: str) -> DataFrame:
-    """``(query_id, chunk_id, list, near)``: of each batch the best by code for every query that probes its list."""
-    names = np.array(ids, dtype=object)
+def _scan(lists: DataFrame, ids: list, q: np.ndarray, centers: np.ndarray, probing: dict[int, np.ndarray], most: int, kind: DataType, chunk: str) -> DataFrame:
+    """``(query_id, chunk_id, list, near)``: of each task and list the best by code for every query that probes the list; of equal ones the smaller ids."""
+    names = pa.array(ids, to_arrow_type(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, scoring.Best] = {}
         for b in batches:
-            own = b.column(3).to_numpy(zero_copy_only=False)
-            code = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int8).reshape(b.num_rows, q.shape[1]) if b.num_rows else None
-            step = b.column(2).to_numpy(zero_copy_only=False)
+            if not b.num_rows:
+                continue
+            b = b.take(pa.array(scoring.ascending(b.column(0))))
+            own, step = b.column(3).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            code = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int8).reshape(b.num_rows, q.shape[1])
             for c in np.unique(own).tolist():
                 rows, who = np.flatnonzero(own == c), probing[c]
-                near = (q[who] @ centers[c])[:, None] + (q[who] @ code[rows].T.astype(np.float64)) * step[rows]
-                keep = np.argsort(-near, axis=1, kind="stable")[:, :most]
-                flat = rows[keep].ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[np.repeat(who, keep.shape[1])].tolist()), b.column(0).take(pa.array(flat)), pa.array(np.full(len(flat), c, np.int32)), pa.array(np.take_along_axis(near, keep, axis=1).ravel())],
-                    ["query_id", "chunk_id", "list", "near"],
-                )
-
-    return lists.select("chunk_id", "code", "step", F.col("list").cast("int").alias("list")).mapInArrow(run, f"query_id {kind}, chunk_id {chunk}, list int, near double")
+                kept = best.setdefault(c, scoring.Best(len(who), most))
+                for a in range(0, len(rows), ROWS):
+                    at = rows[a : a + ROWS]
+                    x, chunks = code[at].T.astype(np.float64), b.column(0).take(pa.array(at))
+                    for first in range(0, len(who), scoring.QUERIES):
+                        asked = q[who[first : first + scoring.QUERIES]]
+                        kept.offer(first, chunks, (asked @ centers[c])[:, None] + (asked @ x) * step[at])
+        for c, kept in best.items():
+            for found in scoring.emitted(kept, names.take(pa.array(probing[c]))):
+                yield pa.RecordBatch.from_arrays([*found.columns[:2], pa.array(np.full(found.num_rows, c, np.int32)), found.column(2)], ["query_id", "chunk_id", "list", "near"])
+
+    return lists.select("chunk_id", "code", "step", F.col("list").cast("int").alias("list")).mapInArrow(run, f"query_id {kind.simpleString()}, chunk_id {chunk}, list int, near double")

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lodestone.config import VectorIndexConfig
 from lodestone.operators import retrieval, vectorindex
@@ -53,3 +54,26 @@ def test_odd_queries_and_an_empty_index(spark, index, tmp_path):
     assert vectorindex.search(chunks.select(F.col("chunk_id").alias("query_id"), "vector"), f"{tmp_path}/none", 3).count() == 0
     with pytest.raises(ValueError):
         vectorindex.build(chunks, f"{tmp_path}/x", VectorIndexConfig(dim=1 << 13, lists=1 << 13))
+
+
+def test_more_copies_than_candidates_give_the_smallest_ids(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 16)).astype(np.float32)
+    far_first = spark.createDataFrame([(i, x[i % 30].tolist()) for i in range(2999, -1, -1)], VECTOR).coalesce(1)
+    vectorindex.build(far_first, f"{tmp_path}/copies", VectorIndexConfig(dim=16, lists=4), rounds=2)
+    asked = far_first.where("chunk_id < 30").select(F.col("chunk_id").alias("query_id"), "vector")
+    assert rows(vectorindex.search(asked, f"{tmp_path}/copies", 10, probes=4)) == rows(retrieval.vector_topk(asked, far_first, 10))
+
+
+def test_a_task_passes_on_the_best_of_all_its_batches(spark, index):
+    path, chunks = index
+    lists = spark.read.parquet(f"{path}/lists").coalesce(1)
+    centers = np.array([r["center"] for r in spark.read.parquet(f"{path}/centers").orderBy("list").collect()])
+    q = np.random.default_rng(6).normal(size=(3, 16))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        found = vectorindex._scan(lists, [5, 6, 7], q, centers, {c: np.arange(3) for c in range(12)}, 4, LongType(), "bigint")
+        assert max(r["count"] for r in found.groupBy("query_id", "list").count().collect()) == 4
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
